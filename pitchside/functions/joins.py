@@ -1,12 +1,14 @@
-"""Join helpers with explicit, checked broadcast decisions.
-
-Two kinds of small sides are broadcast:
-
-* dimension tables (teams, positions) — only after their row count is checked
-  against ``max_rows``; above the bound the join is left to Spark (AQE picks
-  sort-merge or a runtime broadcast from measured sizes);
-* one-row aggregates (a global ``agg`` without grouping) — exactly one row by
-  construction, so ``scalar_join`` always broadcasts them.
+"""Join helpers with explicit broadcast decisions.
+
+* Dimension tables (teams, positions) are joined without a hint: the planner
+  broadcasts them when their estimated size is under
+  ``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a sort-merge
+  join, which AQE may still turn into a broadcast from measured shuffle
+  sizes. That is a size-checked broadcast with a fallback, and it costs no job.
+* ``bounded_broadcast`` forces the hint after counting rows against a bound,
+  for small inputs whose size the planner cannot estimate.
+* One-row aggregates (a global ``agg`` without grouping) have exactly one row
+  by construction, so ``scalar_join`` always broadcasts them.
 """
 
 from __future__ import annotations
@@ -18,12 +20,7 @@ DIM_MAX_ROWS = 1_000_000
 
 
 def bounded_broadcast(dim: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only when the dimension is proven small.
-
-    The check is a row count of the (already pruned) dimension; for a parquet
-    dimension it is answered from file footers. Above the bound no hint is
-    given and AQE chooses the strategy from runtime statistics.
-    """
+    """Hint a broadcast only when a row count proves the input small; otherwise leave it to AQE."""
     if dim.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(dim)
     return dim

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
-from pitchside.functions.joins import bounded_broadcast, scalar_join
+from pitchside.functions.joins import scalar_join
 from pitchside.sources import schemas
 
 
@@ -19,14 +19,14 @@ def upcoming_fixtures(fixtures_raw: DataFrame | None, teams: DataFrame, ordered:
     """Unfinished fixtures with valid gameweeks and both team names, by gameweek.
 
     ``finished == FALSE`` drops NULL as well (R's filter does). Team names come
-    from two left joins with the (size-checked) team dimension; a missing team
+    from two left joins with the team dimension (broadcast when its size estimate is small); a missing team
     keeps a NULL name. ``ordered=False`` skips the final sort for consumers
     that do not need it (the difficulty resolver).
     """
     if fixtures_raw is None:
         return empty_upcoming(teams.sparkSession)
-    home = bounded_broadcast(teams.select(F.col("id").alias("_h_id"), F.col("name").alias("home_team")))
-    away = bounded_broadcast(teams.select(F.col("id").alias("_a_id"), F.col("name").alias("away_team")))
+    home = teams.select(F.col("id").alias("_h_id"), F.col("name").alias("home_team"))
+    away = teams.select(F.col("id").alias("_a_id"), F.col("name").alias("away_team"))
     out = (fixtures_raw.filter(~F.col("finished"))
            .join(home, F.col("team_h") == F.col("_h_id"), "left")
            .join(away, F.col("team_a") == F.col("_a_id"), "left")
@@ -61,20 +61,30 @@ def target_gameweek(upcoming: DataFrame, gameweek: int | None) -> DataFrame:
     return upcoming.agg(F.min("gameweek").alias("_gw"))
 
 
-def first_fixture_per_team(upcoming: DataFrame, gameweek: int | None = None) -> DataFrame:
-    """For the target gameweek, each team's first fixture (lowest fixture id, home leg first).
+def first_fixture_per_team_week(upcoming: DataFrame) -> DataFrame:
+    """Each team's first fixture in every gameweek (lowest fixture id, home leg first).
 
     ``min(struct(id, leg, ...))`` is an ordinary aggregate with map-side
     combine, so a team with very many fixtures costs one partial row per task
-    instead of a sorted window partition.
+    instead of a sorted window partition. The output has one row per
+    (team, gameweek).
+    """
+    return fixture_legs(upcoming).groupBy("team_id", "gameweek").agg(
+        F.min(F.struct("id", "leg", "effective_difficulty")).alias("_first"))
+
+
+def first_fixture_per_team(upcoming: DataFrame, gameweek: int | None = None) -> DataFrame:
+    """For the target gameweek (default: the first upcoming one), each team's first fixture.
+
+    The default gameweek is the minimum of the (team, gameweek) aggregate, so
+    the fixtures are read once: both branches share the aggregate's exchange.
     """
-    legs = scalar_join(fixture_legs(upcoming), target_gameweek(upcoming, gameweek))
-    legs = legs.filter(F.col("gameweek") == F.col("_gw"))
-    first = legs.groupBy("team_id").agg(
-        F.min(F.struct("id", "leg", "effective_difficulty", "gameweek")).alias("_first"))
+    per_week = first_fixture_per_team_week(upcoming)
+    target = target_gameweek(per_week, gameweek)
+    first = scalar_join(per_week, target).filter(F.col("gameweek") == F.col("_gw"))
     return first.select(F.col("team_id").alias("_team_id"),
                         F.col("_first.id").alias("fixture_id"),
-                        F.col("_first.gameweek").alias("gameweek"),
+                        F.col("gameweek"),
                         F.col("_first.effective_difficulty").alias("_fixture_difficulty"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.functions.exprs import nan_to_null, parse_number, r_paste
-from pitchside.functions.joins import bounded_broadcast, scalar_join
+from pitchside.functions.joins import scalar_join
 
 _UNSET = object()
 
@@ -25,7 +25,9 @@ COUNT_COLUMNS = ["minutes", "total_points", "goals_scored", "assists", "clean_sh
 
 def _cost_text(cost_million):
     """``format(round(cost, 1), nsmall = 1)`` before padding; NA prints as ``NA``."""
-    return F.coalesce(F.format_string("%.1f", F.bround(cost_million, 1) + F.lit(0.0)), F.lit("NA"))
+    # format_string prints a NULL argument as text, so NULL is handled before formatting.
+    return (F.when(cost_million.isNull(), F.lit("NA"))
+            .otherwise(F.format_string("%.1f", F.bround(cost_million, 1) + F.lit(0.0))))
 
 
 def build_players(players_raw: DataFrame, teams: DataFrame, positions: DataFrame, *,
@@ -47,9 +49,9 @@ def build_players(players_raw: DataFrame, teams: DataFrame, positions: DataFrame
     if on_nonpositive_cost is _UNSET:
         on_nonpositive_cost = 0.0 if variant == "v2" else None
 
-    t = bounded_broadcast(teams.select(F.col("id").alias("_team_id"), F.col("name").alias("_team_name")))
-    p = bounded_broadcast(positions.select(F.col("id").alias("_pos_id"),
-                                           F.col("singular_name").alias("_pos_name")))
+    # Dimensions: no hint; the planner broadcasts them when their size estimate is small.
+    t = teams.select(F.col("id").alias("_team_id"), F.col("name").alias("_team_name"))
+    p = positions.select(F.col("id").alias("_pos_id"), F.col("singular_name").alias("_pos_name"))
     joined = (players_raw
               .join(t, players_raw["team"] == t["_team_id"], "left")
               .join(p, players_raw["element_type"] == p["_pos_id"], "left"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
+from pitchside.functions.joins import scalar_join
 
 
 def long_features(features: DataFrame, cols: list[str]) -> DataFrame:
@@ -22,22 +23,30 @@ def long_features(features: DataFrame, cols: list[str]) -> DataFrame:
 def feature_correlation(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every feature pair over complete rows, as long rows (x, y, corr).
 
-    One aggregate computes the k*(k-1)/2 covariances and k deviations; a
-    constant column gives NULL (R: NA) instead of a division error. The
-    diagonal is 1 for non-constant columns.
+    Two passes, each one global aggregate with partial aggregation: the means,
+    then the k*(k+1)/2 centred cross-product sums (plain sums: cheap buffers,
+    and centring keeps them numerically stable). A constant column gives NULL
+    (R: NA) instead of a division error; the diagonal is 1 for non-constant columns.
     """
     cols = list(K.CORRELATION_FEATURES if cols is None else cols)
     df = features.select(*cols).dropna(how="any")
-    aggs = [F.stddev_samp(c).alias(f"_sd_{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_samp(a, b).alias(f"_cv_{i}_{j}")
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-    one = df.agg(*aggs)
+    k = len(cols)
+    means = df.agg(*[F.avg(c).alias(f"_m_{i}") for i, c in enumerate(cols)],
+                   *[(F.min(c) < F.max(c)).alias(f"_v_{i}") for i, c in enumerate(cols)])
+    centred = scalar_join(df, means).select(
+        *[(F.col(c) - F.col(f"_m_{i}")).alias(f"_d_{i}") for i, c in enumerate(cols)],
+        *[F.col(f"_v_{i}") for i in range(k)])
+    one = centred.agg(*[F.sum(F.col(f"_d_{i}") * F.col(f"_d_{j}")).alias(f"_s_{i}_{j}")
+                        for i in range(k) for j in range(k) if i <= j],
+                      *[F.first(f"_v_{i}").alias(f"_v_{i}") for i in range(k)])
 
     def corr(i, j):
+        # A column varies iff min < max (exact, unlike a sum of squared deviations).
         if i == j:
-            return F.when(F.col(f"_sd_{i}") > 0, F.lit(1.0))
+            return F.when(F.col(f"_v_{i}"), F.lit(1.0))
         a, b = min(i, j), max(i, j)
-        return F.try_divide(F.col(f"_cv_{a}_{b}"), F.col(f"_sd_{a}") * F.col(f"_sd_{b}"))
+        return F.when(F.col(f"_v_{a}") & F.col(f"_v_{b}"),
+                      F.try_divide(F.col(f"_s_{a}_{b}"), F.sqrt(F.col(f"_s_{a}_{a}") * F.col(f"_s_{b}_{b}"))))
 
     items = F.array(*[F.struct(F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"),
                                corr(i, j).alias("corr"))

@@ -18,6 +18,7 @@ from pitchside.operators import (aggregates, cards, classify, explain, features,
                                  predict, rankings, stats, timeseries)
 from pitchside.plans.oracle import CHECK_DIGITS
 from pitchside.sources import testdata
+from pitchside.sources.stage import stage
 
 
 class League:
@@ -51,11 +52,13 @@ class League:
     # ---- derived tables -----------------------------------------------------------
     @cached_property
     def players(self) -> DataFrame:
-        return players.build_players(self.players_raw, self.teams, self.positions)
+        """Staged once: every scalar branch (widths, quantiles, team means) re-reads it."""
+        return stage(players.build_players(self.players_raw, self.teams, self.positions), "players")
 
     @cached_property
     def players_v1(self) -> DataFrame:
-        return players.build_players(self.players_raw, self.teams, self.positions, variant="v1")
+        return stage(players.build_players(self.players_raw, self.teams, self.positions, variant="v1"),
+                     "players_v1")
 
     @cached_property
     def active(self) -> DataFrame:
