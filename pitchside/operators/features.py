@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitchside.functions import constants as K
 from pitchside.functions.exprs import lookup, r_ifelse, r_pmin, safe_div
 from pitchside.functions.joins import scalar_join
+from pitchside.functions.quantiles import exact_quantiles
 
 FEATURE_COLUMNS = [
     "id", "full_name", "TEAMS", "position", "total_points", "form_numeric", "form_weight",
@@ -22,20 +23,23 @@ FEATURE_COLUMNS = [
 def table_statistics(active: DataFrame, approx_quantile: bool = False) -> DataFrame:
     """The two table-wide scalars the features use, as one row.
 
-    * ``q75``: 75th percentile of total_points, interpolated (R type 7). The
-      exact aggregate keeps one counter per distinct value, and points are
-      integer-valued, so its state is bounded by the points range, not by rows.
-      ``approx_quantile=True`` switches to the mergeable sketch.
+    * ``q75``: 75th percentile of total_points, interpolated (R type 7), from
+      the distributed exact quantile (range partitioned, no group gathered in
+      one task); ``approx_quantile=True`` uses the mergeable sketch instead.
     * ``pooled_sd``: sample sd of goals, assists and clean sheets taken as one
       pooled vector (R's ``sd(c(a, b, c))`` inside an ungrouped mutate is one
       scalar for the table). NULL when any of them is NULL, as in R.
+
+    Both are global aggregates, so the result has exactly one row (NULLs on an
+    empty table).
     """
     if approx_quantile:
-        q75 = F.percentile_approx("total_points", K.HIGH_PERFORMER_QUANTILE, 100_000).cast("double")
+        q = active.agg(F.percentile_approx("total_points", K.HIGH_PERFORMER_QUANTILE, 100_000)
+                       .cast("double").alias("_q75"))
     else:
-        q75 = F.percentile("total_points", F.lit(K.HIGH_PERFORMER_QUANTILE))
+        q = (exact_quantiles(active, "total_points", [K.HIGH_PERFORMER_QUANTILE], tiebreak_col="id")
+             .agg(F.max("quantile").alias("_q75")))
     pooled = F.explode(F.array("goals_scored", "assists", "clean_sheets")).alias("_v")
-    q = active.agg(q75.alias("_q75"))
     sd = active.select(pooled).agg(
         F.when(F.count("_v") == F.count(F.lit(1)), F.stddev_samp("_v")).alias("_pooled_sd"))
     return q.crossJoin(sd)

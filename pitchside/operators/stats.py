@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.functions.joins import scalar_join
+from pitchside.functions.quantiles import exact_quantiles
 
 
 def long_features(features: DataFrame, cols: list[str]) -> DataFrame:
+    """``(feature_ord, feature, x[, id])``: one row per (row, feature); keeps ``id`` as a tiebreak when present."""
     items = F.array(*[F.struct(F.lit(i).alias("feature_ord"), F.lit(c).alias("feature"),
                                F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])
-    return features.select(F.explode(items).alias("_f")).select("_f.feature_ord", "_f.feature", "_f.x")
+    keep = ["id"] if "id" in features.columns else []
+    return features.select(*keep, F.explode(items).alias("_f")).select(
+        "_f.feature_ord", "_f.feature", "_f.x", *keep)
 
 
 def feature_correlation(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -89,17 +93,24 @@ def feature_histogram(features: DataFrame, cols: list[str] | None = None, bins:
 def feature_box(features: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Box statistics per feature: quartiles (interpolated), fences at 1.5 IQR, whisker ends, outliers.
 
-    ``approx=True`` uses the mergeable quantile sketch instead of the exact
-    aggregate (whose state grows with the distinct values of a feature).
+    Quartiles come from the distributed exact quantile (no feature's values
+    are gathered in one task); ``approx=True`` uses the mergeable sketch.
     """
     cols = list(K.CORRELATION_FEATURES if cols is None else cols)
     long = long_features(features, cols).filter(F.col("x").isNotNull())
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile_approx("x", probs, 100_000) if approx else F.percentile("x", probs)
-    quart = long.groupBy("feature_ord", "feature").agg(q.alias("_q"), F.count(F.lit(1)).alias("n"))
-    quart = quart.select("feature_ord", "feature", "n",
-                         F.col("_q")[0].cast("double").alias("q1"), F.col("_q")[1].cast("double").alias("median"),
-                         F.col("_q")[2].cast("double").alias("q3"))
+    if approx:
+        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        quart = long.groupBy("feature_ord", "feature").agg(
+            F.percentile_approx("x", probs, 100_000).alias("_q"), F.count(F.lit(1)).alias("n"))
+        quart = quart.select("feature_ord", "feature", "n", *[F.col("_q")[i].cast("double").alias(name)
+                                                              for i, name in enumerate(("q1", "median", "q3"))])
+    else:
+        tiebreak = "id" if "id" in long.columns else None
+        q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["feature_ord", "feature"], tiebreak)
+        quart = q.groupBy("feature_ord", "feature").agg(
+            F.max("n").alias("n"),
+            *[F.max(F.when(F.col("prob_idx") == i, F.col("quantile"))).alias(name)
+              for i, name in enumerate(("q1", "median", "q3"))])
     iqr = F.col("q3") - F.col("q1")
     quart = quart.select("*", iqr.alias("iqr"),
                          (F.col("q1") - F.lit(K.BOX_WHISKER_IQR) * iqr).alias("lower_fence"),

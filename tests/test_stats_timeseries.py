@@ -93,3 +93,18 @@ def test_weeks_outside_season_are_ignored(spark):
     pts = spark.createDataFrame([(1, 0, 9), (1, 31, 9), (1, 2, 4)], "player_id long, week int, points long")
     got = timeseries.rolling_form(pts, 30)
     assert got.count() == 30 and got.agg(F.sum("points")).first()[0] == 4
+
+
+def test_exact_quantiles_with_a_hot_value(spark):
+    from pitchside.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(1)
+    n = 3000
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, n), "id": np.arange(n), "x": rng.normal(size=n)})
+    pdf.loc[pdf.sample(frac=0.35, random_state=1).index, "x"] = 0.25   # a third of the rows share one value
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = exact_quantiles(spark.createDataFrame(pdf), "x", probs, ["g"], "id", num_partitions=7).collect()
+    assert len(got) == 3 * len(probs)
+    for row in got:
+        want = np.percentile(pdf[pdf.g == row.g].x, probs[row.prob_idx] * 100)
+        assert row["quantile"] == pytest.approx(want, abs=1e-12)
+    assert exact_quantiles(spark.createDataFrame(pdf).filter("x > 100"), "x", [0.5]).count() == 0
