@@ -7,13 +7,13 @@ the tiebreak spreads even one hot value over many partitions. Each row's
 global rank within its group is its record number inside its partition
 (the low 33 bits of ``monotonically_increasing_id``, a documented property)
 plus the number of the group's rows in earlier partitions, taken from a small
-table of per-(partition, group) counts. Only the rows at the two ranks around
-each requested position survive a join with the target ranks, so the final
-interpolation touches at most 2 * len(probs) rows per group.
+table of per-(partition, group) counts. Each target rank is located on that
+small table first (which block, which row number), so the values are read in
+one pass that keeps at most 2 * len(probs) rows per group.
 
-Sizes: the per-block table has (partitions x groups) rows and the target
-table 2 * len(probs) * groups rows. Callers pass few groups (features), so
-both are broadcast.
+Sizes: the per-block table has (partitions x groups) rows and the located
+targets 2 * len(probs) * groups rows. Callers pass few groups (features), so
+the located targets are broadcast.
 """
 
 from __future__ import annotations
@@ -51,19 +51,27 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     prob_items = F.array(*[F.struct(F.lit(i).alias("prob_idx"), F.lit(float(p)).alias("prob"))
                            for i, p in enumerate(probs)])
     targets = (sizes.select(*g, "n", F.explode(prob_items).alias("_p"))
-               .select(*g, "n", "_p.prob_idx", "_p.prob",
-                       ((F.col("n") - 1) * F.col("_p.prob")).alias("_h"))
-               .select("*", F.floor("_h").alias("_lo"), F.ceil("_h").alias("_hi")))
-    wanted = targets.select(*g, F.explode(F.array("_lo", "_hi")).alias("_rank")).distinct()
+               .select(*g, "n", "_p.prob_idx", "_p.prob", ((F.col("n") - 1) * F.col("_p.prob")).alias("_h")))
+    ends = targets.select(*g, "n", "prob_idx", "prob", "_h", F.explode(F.array(
+        F.struct(F.lit(0).alias("_end"), F.floor("_h").alias("_rank")),
+        F.struct(F.lit(1).alias("_end"), F.ceil("_h").alias("_rank")))).alias("_e")) \
+        .select(*g, "n", "prob_idx", "prob", "_h", "_e._end", "_e._rank")
 
-    ranked = indexed.join(F.broadcast(blocks), ["_pid", *g]).select(
-        *g, "_x", (F.col("_before") + F.col("_mid") - F.col("_start")).alias("_rank"))
-    picked = ranked.join(F.broadcast(wanted), [*g, "_rank"])
+    # Locate each target rank on the small block table: the block holding it and
+    # the row number (unique across the table) it has there.
+    located = (ends.crossJoin(blocks) if not g else ends.join(blocks, g)) \
+        .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c"))) \
+        .select(*g, "n", "prob_idx", "prob", "_h", "_end",
+                (F.col("_start") + F.col("_rank") - F.col("_before")).alias("_mid"))
 
-    lo = picked.select(*g, F.col("_rank").alias("_lo"), F.col("_x").alias("_xlo"))
-    hi = picked.select(*g, F.col("_rank").alias("_hi"), F.col("_x").alias("_xhi"))
-    frac = F.col("_h") - F.col("_lo")
-    out = targets.join(lo, [*g, "_lo"]).join(hi, [*g, "_hi"]).select(
+    # One pass over the sorted values: keep the few rows whose number was located.
+    picked = indexed.select("_mid", "_x").join(F.broadcast(located), "_mid")
+    out = picked.groupBy(*g, "prob_idx", "prob", "n").agg(
+        F.first("_h").alias("_h"),
+        F.max(F.when(F.col("_end") == 0, F.col("_x"))).alias("_xlo"),
+        F.max(F.when(F.col("_end") == 1, F.col("_x"))).alias("_xhi"))
+    frac = F.col("_h") - F.floor("_h")
+    out = out.select(
         *g, "prob_idx", "prob", "n",
         F.when(F.col("_xlo") == F.col("_xhi"), F.col("_xlo"))
         .otherwise((F.lit(1.0) - frac) * F.col("_xlo") + frac * F.col("_xhi")).alias("quantile"))

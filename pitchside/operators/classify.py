@@ -48,7 +48,8 @@ def classify_rules(features: DataFrame, ids=None) -> DataFrame:
 
 
 def train_classifiers(features: DataFrame, seed: int = 42, test_fraction: float = 0.3,
-                      max_iter: int = 20) -> dict[str, DataFrame]:
+                      max_iter: int = 10, num_trees: int = 20,
+                      models: tuple[str, ...] = ("SVM", "Random Forest", "XGBoost")) -> dict[str, DataFrame]:
     """Train the three model families on the feature table to predict ``is_high_performer``.
 
     Returns ``predictions`` (test rows, one per model), ``metrics`` (accuracy,
@@ -66,13 +67,14 @@ def train_classifiers(features: DataFrame, seed: int = 42, test_fraction: float
                            (F.col("is_high_performer") == "High").cast("double").alias("label"))
     data = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features").transform(data)
     train, test = data.randomSplit([1.0 - test_fraction, test_fraction], seed=seed)
-    models = {
+    estimators = {
         "SVM": LinearSVC(maxIter=max_iter, regParam=0.01),
-        "Random Forest": RandomForestClassifier(numTrees=50, seed=seed),
+        "Random Forest": RandomForestClassifier(numTrees=num_trees, seed=seed),
         "XGBoost": GBTClassifier(maxIter=max_iter, seed=seed),
     }
     preds, metric_rows, importances = None, [], None
-    for name, estimator in models.items():
+    for name in models:
+        estimator = estimators[name]
         fitted = estimator.fit(train)
         p = fitted.transform(test).select("id", F.lit(name).alias("model"), "label", "prediction")
         preds = p if preds is None else preds.unionByName(p)
@@ -82,7 +84,10 @@ def train_classifiers(features: DataFrame, seed: int = 42, test_fraction: float
             metric_rows.append((name, metric, float(value)))
         if name == "Random Forest":
             imp = fitted.featureImportances.toArray().tolist()
+            # Ten numbers from the fitted model; chart_order is the chart's ascending order.
+            ranked = sorted(zip(MODEL_FEATURES, imp), key=lambda fv: (fv[1], fv[0]))
             importances = spark.createDataFrame(
-                [(f, float(v) * 100.0) for f, v in zip(MODEL_FEATURES, imp)], "feature string, importance double")
+                [(f, float(v) * 100.0, i + 1) for i, (f, v) in enumerate(ranked)],
+                "feature string, importance double, chart_order int")
     metrics = spark.createDataFrame(metric_rows, "model string, metric string, value double")
     return {"predictions": preds, "metrics": metrics, "importances": importances}

@@ -31,31 +31,33 @@ def feature_correlation(features: DataFrame, cols: list[str] | None = None) -> D
     then the k*(k+1)/2 centred cross-product sums (plain sums: cheap buffers,
     and centring keeps them numerically stable). A constant column gives NULL
     (R: NA) instead of a division error; the diagonal is 1 for non-constant columns.
+
+    The k*k generated expressions are written as SQL expression strings: one
+    call each instead of one per Column operation, which keeps plan
+    construction cheap.
     """
     cols = list(K.CORRELATION_FEATURES if cols is None else cols)
-    df = features.select(*cols).dropna(how="any")
     k = len(cols)
-    means = df.agg(*[F.avg(c).alias(f"_m_{i}") for i, c in enumerate(cols)],
-                   *[(F.min(c) < F.max(c)).alias(f"_v_{i}") for i, c in enumerate(cols)])
-    centred = scalar_join(df, means).select(
-        *[(F.col(c) - F.col(f"_m_{i}")).alias(f"_d_{i}") for i, c in enumerate(cols)],
-        *[F.col(f"_v_{i}") for i in range(k)])
-    one = centred.agg(*[F.sum(F.col(f"_d_{i}") * F.col(f"_d_{j}")).alias(f"_s_{i}_{j}")
-                        for i in range(k) for j in range(k) if i <= j],
-                      *[F.first(f"_v_{i}").alias(f"_v_{i}") for i in range(k)])
-
-    def corr(i, j):
+    q = lambda c: f"`{c}`"
+    df = features.select(*cols).dropna(how="any")
+    means = df.selectExpr(*[f"avg({q(c)}) AS _m_{i}" for i, c in enumerate(cols)],
+                          *[f"min({q(c)}) < max({q(c)}) AS _v_{i}" for i, c in enumerate(cols)])
+    centred = scalar_join(df, means).selectExpr(*[f"{q(c)} - _m_{i} AS _d_{i}" for i, c in enumerate(cols)],
+                                                *[f"_v_{i}" for i in range(k)])
+    one = centred.selectExpr(*[f"sum(_d_{i} * _d_{j}) AS _s_{i}_{j}" for i in range(k) for j in range(i, k)],
+                             *[f"first(_v_{i}) AS _v_{i}" for i in range(k)])
+
+    def corr(i: int, j: int) -> str:
         # A column varies iff min < max (exact, unlike a sum of squared deviations).
         if i == j:
-            return F.when(F.col(f"_v_{i}"), F.lit(1.0))
+            return f"CASE WHEN _v_{i} THEN 1.0D END"
         a, b = min(i, j), max(i, j)
-        return F.when(F.col(f"_v_{a}") & F.col(f"_v_{b}"),
-                      F.try_divide(F.col(f"_s_{a}_{b}"), F.sqrt(F.col(f"_s_{a}_{a}") * F.col(f"_s_{b}_{b}"))))
+        return f"CASE WHEN _v_{a} AND _v_{b} THEN try_divide(_s_{a}_{b}, sqrt(_s_{a}_{a} * _s_{b}_{b})) END"
 
-    items = F.array(*[F.struct(F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"),
-                               corr(i, j).alias("corr"))
-                      for i, a in enumerate(cols) for j, b in enumerate(cols)])
-    return one.select(F.explode(items).alias("_c")).select("_c.feature_x", "_c.feature_y", "_c.corr")
+    items = ", ".join(f"named_struct('feature_x', '{a}', 'feature_y', '{b}', 'corr', {corr(i, j)})"
+                      for i, a in enumerate(cols) for j, b in enumerate(cols))
+    return one.select(F.expr(f"explode(array({items}))").alias("_c")).select(
+        "_c.feature_x", "_c.feature_y", "_c.corr")
 
 
 def _title(feature: F.Column) -> F.Column:

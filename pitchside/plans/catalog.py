@@ -70,7 +70,8 @@ class League:
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.build_features(self.active)
+        """Staged once: correlation, histograms, box statistics and explanations re-read it."""
+        return stage(features.build_features(self.active), "features")
 
     @cached_property
     def upcoming(self) -> DataFrame:
@@ -163,6 +164,7 @@ QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "rolling_form": lambda L: timeseries.rolling_form(L.player_points),
     # trained models (no SQL oracle: rows-only check)
     "classifier_metrics": lambda L: classify.train_classifiers(L.features)["metrics"],
+    "feature_importance": lambda L: classify.train_classifiers(L.features, models=("Random Forest",))["importances"],
 }
 
 

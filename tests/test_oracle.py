@@ -12,7 +12,7 @@ SQL = oracle_sql()
 
 
 def test_every_query_has_an_oracle_or_is_model_training():
-    assert set(QUERIES) - set(SQL) == {"classifier_metrics"}
+    assert set(QUERIES) - set(SQL) == {"classifier_metrics", "feature_importance"}
     assert set(SQL) <= set(QUERIES)
 
 
@@ -33,3 +33,9 @@ def test_model_training_runs(spark):
     metrics = QUERIES["classifier_metrics"](spark, SF).collect()
     assert {m.model for m in metrics} == {"SVM", "Random Forest", "XGBoost"}
     assert all(0.0 <= m.value <= 1.0 for m in metrics)
+
+
+def test_feature_importance_runs(spark):
+    imp = QUERIES["feature_importance"](spark, SF).collect()
+    assert len(imp) == 10 and sorted(r.chart_order for r in imp) == list(range(1, 11))
+    assert sum(r.importance for r in imp) == pytest.approx(100.0)
