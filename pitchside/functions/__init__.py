@@ -1,5 +1,5 @@
-"""Column helpers, join helpers and fixed values."""
+"""Column helpers, exact quantiles and fixed values."""
 
-from pitchside.functions import constants, exprs, joins
+from pitchside.functions import constants, exprs, quantiles
 
-__all__ = ["constants", "exprs", "joins"]
+__all__ = ["constants", "exprs", "quantiles"]

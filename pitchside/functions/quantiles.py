@@ -57,12 +57,14 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
         F.struct(F.lit(1).alias("_end"), F.ceil("_h").alias("_rank")))).alias("_e")) \
         .select(*g, "n", "prob_idx", "prob", "_h", "_e._end", "_e._rank")
 
-    # Locate each target rank on the small block table: the block holding it and
-    # the row number (unique across the table) it has there.
-    located = (ends.crossJoin(blocks) if not g else ends.join(blocks, g)) \
-        .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c"))) \
-        .select(*g, "n", "prob_idx", "prob", "_h", "_end",
-                (F.col("_start") + F.col("_rank") - F.col("_before")).alias("_mid"))
+    # Locate each target rank on the small block table (a range join: each rank
+    # falls in exactly one block), giving the row number it has there.
+    b = blocks.select(*[F.col(c).alias(f"_b_{c}") for c in g], "_c", "_start", "_before")
+    cond = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
+    for c in g:
+        cond = cond & (F.col(c) == F.col(f"_b_{c}"))
+    located = ends.join(b, cond).select(*g, "n", "prob_idx", "prob", "_h", "_end",
+                                        (F.col("_start") + F.col("_rank") - F.col("_before")).alias("_mid"))
 
     # One pass over the sorted values: keep the few rows whose number was located.
     picked = indexed.select("_mid", "_x").join(F.broadcast(located), "_mid")

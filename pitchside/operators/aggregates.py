@@ -30,10 +30,8 @@ def team_domain(active: DataFrame) -> DataFrame:
 def gameweek_domain(upcoming: DataFrame) -> DataFrame:
     """Sorted distinct gameweeks; ``is_default`` marks the smallest (the picker's default)."""
     weeks = upcoming.select("gameweek").distinct()
-    first = weeks.agg(F.min("gameweek").alias("_first"))
-    return (weeks.crossJoin(F.broadcast(first))
-            .select("gameweek", (F.col("gameweek") == F.col("_first")).alias("is_default"))
-            .orderBy("gameweek"))
+    first = weeks.select(F.min("gameweek")).scalar()
+    return weeks.select("gameweek", (F.col("gameweek") == first).alias("is_default")).orderBy("gameweek")
 
 
 def profile(players: DataFrame, active: DataFrame, upcoming: DataFrame,
@@ -41,21 +39,15 @@ def profile(players: DataFrame, active: DataFrame, upcoming: DataFrame,
     """Start-up diagnostics in one row: stage row counts, positions seen, gameweeks available.
 
     The lists are built from distinct sets whose size is bounded by the
-    position dimension and the calendar, not by the number of rows.
+    position dimension and the calendar, not by the number of rows. Each
+    value is a scalar subquery (a global aggregate) over its own input.
     """
-    p = players.agg(F.count(F.lit(1)).alias("players_rows"))
-    t = teams.agg(F.count(F.lit(1)).alias("teams_rows"))
-    pos = positions.agg(F.count(F.lit(1)).alias("positions_rows"))
-    a = active.agg(
-        F.count(F.lit(1)).alias("active_rows"),
-        F.concat_ws(", ", F.array_sort(F.collect_set("position"))).alias("positions_seen"),
-    )
-    u = upcoming.agg(
-        F.count(F.lit(1)).alias("fixtures_rows"),
-        F.array_sort(F.collect_set("gameweek")).alias("_gw"),
-    )
-    u = u.select("fixtures_rows", F.array_join(F.transform("_gw", lambda x: x.cast("string")), ", ")
-                 .alias("gameweeks"))
-    out = p.crossJoin(t).crossJoin(pos).crossJoin(a).crossJoin(u)
-    return out.select("players_rows", "teams_rows", "positions_rows", "active_rows", "positions_seen",
-                      "fixtures_rows", "gameweeks")
+    count = lambda df: df.select(F.count(F.lit(1))).scalar()
+    positions_seen = active.select(F.concat_ws(", ", F.array_sort(F.collect_set("position")))).scalar()
+    gameweeks = upcoming.select(F.array_join(F.transform(F.array_sort(F.collect_set("gameweek")),
+                                                         lambda x: x.cast("string")), ", ")).scalar()
+    return players.sparkSession.range(1).select(
+        count(players).alias("players_rows"), count(teams).alias("teams_rows"),
+        count(positions).alias("positions_rows"), count(active).alias("active_rows"),
+        positions_seen.alias("positions_seen"), count(upcoming).alias("fixtures_rows"),
+        gameweeks.alias("gameweeks"))

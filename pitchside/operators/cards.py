@@ -7,28 +7,28 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.functions.exprs import safe_div
-from pitchside.functions.joins import scalar_join
 
 
 def radar(active: DataFrame, ids=None, variant: str = "v2") -> DataFrame:
     """Radar values per player.
 
     v2: goals, assists, clean sheets, points, minutes each as % of the table
-    max (one-row aggregate, broadcast), form as form/10 * 100. A zero max gives
+    max, form as form/10 * 100. A zero max gives
     NULL (R would give NaN/Inf). v1: raw stats, only minutes scaled; adds the
-    axis bound (the player's largest value * 1.1).
+    axis bound (the player's largest value * 1.1). The table maxima are scalar
+    subqueries over the same table, which Catalyst merges into one aggregate.
     """
-    maxes = active.agg(*[F.max(c).alias(f"_max_{c}") for c in
-                         ("goals_scored", "assists", "clean_sheets", "total_points", "minutes")])
-    df = scalar_join(active, maxes)
+    top = {c: active.select(F.max(c)).scalar()
+           for c in ("goals_scored", "assists", "clean_sheets", "total_points", "minutes")}
+    df = active
     if ids is not None:
         df = df.filter(F.col("id").isin([int(i) for i in ids]))
     if variant == "v2":
-        rows = [(label, safe_div(c, f"_max_{c}") * F.lit(100.0)) for label, c in K.RADAR_V2]
+        rows = [(label, safe_div(c, top[c]) * F.lit(100.0)) for label, c in K.RADAR_V2]
         rows.append(("Form", F.col("form_numeric") / F.lit(10.0) * F.lit(100.0)))
         extra = []
     elif variant == "v1":
-        rows = [(label, safe_div(c, f"_max_{c}") * F.lit(100.0) if c == "minutes" else F.col(c).cast("double"))
+        rows = [(label, safe_div(c, top[c]) * F.lit(100.0) if c == "minutes" else F.col(c).cast("double"))
                 for label, c in K.RADAR_V1]
         # Row-wise greatest: no shuffle.
         extra = [(F.greatest(*[v.cast("double") for _, v in rows]) * F.lit(K.RADAR_V1_AXIS_FACTOR)).alias("axis_max")]

@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
-from pitchside.functions.joins import scalar_join
 
 
 def decision_path(features: DataFrame, ids=None) -> DataFrame:
     """Six steps per player: table mean, + momentum*2, + efficiency*1.5, + form_weight*0.8,
     * position multiplier, then the player's actual points (labelled as such). Each rounded to 1 place.
 
-    The mean is over the whole feature table (one-row aggregate), before any id filter.
+    The mean is over the whole feature table (a scalar subquery), before any id filter.
     """
-    base = features.agg(F.avg("total_points").alias("_base"))
-    df = scalar_join(features, base)
+    base = features.select(F.avg("total_points")).scalar()
+    df = features
     if ids is not None:
         df = df.filter(F.col("id").isin([int(i) for i in ids]))
     w = K.DECISION_WEIGHTS
-    s1 = F.col("_base")
+    s1 = base
     s2 = s1 + F.col("momentum") * F.lit(w["momentum"])
     s3 = s2 + F.col("efficiency") * F.lit(w["efficiency"])
     s4 = s3 + F.col("form_weight") * F.lit(w["form_weight"])

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.functions.exprs import lookup, r_ifelse, r_pmin, safe_div
-from pitchside.functions.joins import scalar_join
 from pitchside.functions.quantiles import exact_quantiles
 
 FEATURE_COLUMNS = [
@@ -20,8 +19,8 @@ FEATURE_COLUMNS = [
 ]
 
 
-def table_statistics(active: DataFrame, approx_quantile: bool = False) -> DataFrame:
-    """The two table-wide scalars the features use, as one row.
+def table_scalars(active: DataFrame, approx_quantile: bool = False) -> tuple[Column, Column]:
+    """The two table-wide scalars the features use, as scalar subqueries ``(q75, pooled_sd)``.
 
     * ``q75``: 75th percentile of total_points, interpolated (R type 7), from
       the distributed exact quantile (range partitioned, no group gathered in
@@ -30,19 +29,24 @@ def table_statistics(active: DataFrame, approx_quantile: bool = False) -> DataFr
       pooled vector (R's ``sd(c(a, b, c))`` inside an ungrouped mutate is one
       scalar for the table). NULL when any of them is NULL, as in R.
 
-    Both are global aggregates, so the result has exactly one row (NULLs on an
-    empty table).
+    Both are global aggregates (exactly one row, NULL on an empty table), used
+    as scalar subqueries: computed once and inlined as values, no join.
     """
     if approx_quantile:
-        q = active.agg(F.percentile_approx("total_points", K.HIGH_PERFORMER_QUANTILE, 100_000)
-                       .cast("double").alias("_q75"))
+        q = active.select(F.percentile_approx("total_points", K.HIGH_PERFORMER_QUANTILE, 100_000)
+                          .cast("double"))
     else:
         q = (exact_quantiles(active, "total_points", [K.HIGH_PERFORMER_QUANTILE], tiebreak_col="id")
-             .agg(F.max("quantile").alias("_q75")))
+             .select(F.max("quantile")))
     pooled = F.explode(F.array("goals_scored", "assists", "clean_sheets")).alias("_v")
-    sd = active.select(pooled).agg(
-        F.when(F.count("_v") == F.count(F.lit(1)), F.stddev_samp("_v")).alias("_pooled_sd"))
-    return q.crossJoin(sd)
+    sd = active.select(pooled).select(F.when(F.count("_v") == F.count(F.lit(1)), F.stddev_samp("_v")))
+    return q.scalar(), sd.scalar()
+
+
+def table_statistics(active: DataFrame, approx_quantile: bool = False) -> DataFrame:
+    """The table-wide scalars as a one-row table ``(q75, pooled_sd)``."""
+    q75, sd = table_scalars(active, approx_quantile)
+    return active.sparkSession.range(1).select(q75.alias("q75"), sd.alias("pooled_sd"))
 
 
 def team_means(active: DataFrame) -> DataFrame:
@@ -56,8 +60,8 @@ def build_features(active: DataFrame, approx_quantile: bool = False) -> DataFram
     per_90 = lambda c: r_ifelse(minutes > 0, safe_div(F.col(c) * 90, minutes), F.lit(0.0))
 
     # Team mean joined back by key: the aggregated side has one row per team.
-    with_team = active.join(team_means(active), active["team"] == F.col("_t"), "left")
-    df = scalar_join(with_team, table_statistics(active, approx_quantile))
+    df = active.join(team_means(active), active["team"] == F.col("_t"), "left")
+    q75, pooled_sd = table_scalars(active, approx_quantile)
 
     out = df.select(
         F.col("id"), F.col("full_name"), F.col("TEAMS"), F.col("position"), F.col("total_points"),
@@ -76,9 +80,9 @@ def build_features(active: DataFrame, approx_quantile: bool = False) -> DataFram
         F.when(F.col("team").isNull(), F.col("total_points")).otherwise(F.col("_team_avg")).alias("team_avg_points"),
         (F.coalesce(F.col("selected_by_percent"), F.lit(0.0)) / F.lit(100.0)).alias("popularity"),
         F.col("cost_million"),
-        r_ifelse(F.col("total_points") > F.col("_q75"), F.lit("High"), F.lit("Low")).alias("is_high_performer"),
+        r_ifelse(F.col("total_points") > q75, F.lit("High"), F.lit("Low")).alias("is_high_performer"),
         r_ifelse(minutes > 0,
-                 safe_div(safe_div("total_points", minutes / F.lit(90.0)), F.col("_pooled_sd") + F.lit(1.0)),
+                 safe_div(safe_div("total_points", minutes / F.lit(90.0)), pooled_sd + F.lit(1.0)),
                  F.lit(0.0)).alias("consistency_score"),
         (F.col("form_numeric") * F.col("points_per_game_numeric")).alias("momentum"),
         r_ifelse(F.col("cost_million") > 0, safe_div("total_points", "cost_million"), F.lit(0.0)).alias("efficiency"),

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
-from pitchside.functions.joins import scalar_join
 from pitchside.sources import schemas
 
 
@@ -19,8 +18,8 @@ def upcoming_fixtures(fixtures_raw: DataFrame | None, teams: DataFrame, ordered:
     """Unfinished fixtures with valid gameweeks and both team names, by gameweek.
 
     ``finished == FALSE`` drops NULL as well (R's filter does). Team names come
-    from two left joins with the team dimension (broadcast when its size estimate is small); a missing team
-    keeps a NULL name. ``ordered=False`` skips the final sort for consumers
+    from two left joins with the team dimension (broadcast when its size
+    estimate is small); a missing team keeps a NULL name. ``ordered=False`` skips the final sort for consumers
     that do not need it (the difficulty resolver).
     """
     if fixtures_raw is None:
@@ -54,11 +53,11 @@ def fixture_legs(upcoming: DataFrame) -> DataFrame:
         F.col("_l.leg").alias("leg"), F.col("_l.eff").alias("effective_difficulty"))
 
 
-def target_gameweek(upcoming: DataFrame, gameweek: int | None) -> DataFrame:
-    """One row with the gameweek to resolve: the given one, else the first upcoming one."""
+def target_gameweek(upcoming: DataFrame, gameweek: int | None) -> Column:
+    """The gameweek to resolve: the given one, else the first upcoming one (a scalar subquery)."""
     if gameweek is not None:
-        return upcoming.sparkSession.range(1).select(F.lit(int(gameweek)).cast("int").alias("_gw"))
-    return upcoming.agg(F.min("gameweek").alias("_gw"))
+        return F.lit(int(gameweek)).cast("int")
+    return upcoming.select(F.min("gameweek")).scalar()
 
 
 def first_fixture_per_team_week(upcoming: DataFrame) -> DataFrame:
@@ -80,8 +79,7 @@ def first_fixture_per_team(upcoming: DataFrame, gameweek: int | None = None) ->
     the fixtures are read once: both branches share the aggregate's exchange.
     """
     per_week = first_fixture_per_team_week(upcoming)
-    target = target_gameweek(per_week, gameweek)
-    first = scalar_join(per_week, target).filter(F.col("gameweek") == F.col("_gw"))
+    first = per_week.filter(F.col("gameweek") == target_gameweek(per_week, gameweek))
     return first.select(F.col("team_id").alias("_team_id"),
                         F.col("_first.id").alias("fixture_id"),
                         F.col("gameweek"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.functions.exprs import nan_to_null, parse_number, r_paste
-from pitchside.functions.joins import scalar_join
 
 _UNSET = object()
 
@@ -40,9 +39,8 @@ def build_players(players_raw: DataFrame, teams: DataFrame, positions: DataFrame
     no coercion and no NULL filter.
 
     ``cost_pretty`` pads every cost to the widest formatted cost of the whole
-    table (R formats the column as one vector). The width is a one-row max
-    aggregate over ``now_cost`` alone, so Catalyst can drop the dimension joins
-    from that branch.
+    table (R formats the column as one vector). The width is a scalar subquery
+    (a max over ``now_cost`` alone, computed once and inlined as a value).
     """
     if variant not in ("v1", "v2"):
         raise ValueError(f"unknown variant {variant!r}")
@@ -59,10 +57,9 @@ def build_players(players_raw: DataFrame, teams: DataFrame, positions: DataFrame
     cost_million = F.col("now_cost").cast("double") / F.lit(10.0)
     cost_text = _cost_text(cost_million)
     if pad:
-        width = players_raw.agg(F.max(F.length(_cost_text(F.col("now_cost").cast("double") / F.lit(10.0))))
-                                .alias("_cost_width"))
-        joined = scalar_join(joined, width)
-        cost_pretty = F.concat(F.lit(K.CURRENCY), F.lpad(cost_text, F.col("_cost_width"), " "))
+        width = players_raw.select(
+            F.max(F.length(_cost_text(F.col("now_cost").cast("double") / F.lit(10.0))))).scalar()
+        cost_pretty = F.concat(F.lit(K.CURRENCY), F.lpad(cost_text, width, " "))
     else:
         cost_pretty = F.concat(F.lit(K.CURRENCY), cost_text)
 

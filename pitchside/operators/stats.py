@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
-from pitchside.functions.joins import scalar_join
 from pitchside.functions.quantiles import exact_quantiles
 
 
@@ -27,9 +26,10 @@ def long_features(features: DataFrame, cols: list[str]) -> DataFrame:
 def feature_correlation(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every feature pair over complete rows, as long rows (x, y, corr).
 
-    Two passes, each one global aggregate with partial aggregation: the means,
-    then the k*(k+1)/2 centred cross-product sums (plain sums: cheap buffers,
-    and centring keeps them numerically stable). A constant column gives NULL
+    Two passes, each one global aggregate with partial aggregation: the means
+    (scalar subqueries, merged by Catalyst into one aggregate), then the
+    k*(k+1)/2 centred cross-product sums (plain sums: cheap buffers, and
+    centring keeps them numerically stable). A constant column gives NULL
     (R: NA) instead of a division error; the diagonal is 1 for non-constant columns.
 
     The k*k generated expressions are written as SQL expression strings: one
@@ -40,12 +40,11 @@ def feature_correlation(features: DataFrame, cols: list[str] | None = None) -> D
     k = len(cols)
     q = lambda c: f"`{c}`"
     df = features.select(*cols).dropna(how="any")
-    means = df.selectExpr(*[f"avg({q(c)}) AS _m_{i}" for i, c in enumerate(cols)],
-                          *[f"min({q(c)}) < max({q(c)}) AS _v_{i}" for i, c in enumerate(cols)])
-    centred = scalar_join(df, means).selectExpr(*[f"{q(c)} - _m_{i} AS _d_{i}" for i, c in enumerate(cols)],
-                                                *[f"_v_{i}" for i in range(k)])
-    one = centred.selectExpr(*[f"sum(_d_{i} * _d_{j}) AS _s_{i}_{j}" for i in range(k) for j in range(i, k)],
-                             *[f"first(_v_{i}) AS _v_{i}" for i in range(k)])
+    means = [df.selectExpr(f"avg({q(c)})").scalar() for c in cols]
+    varies = [df.selectExpr(f"min({q(c)}) < max({q(c)})").scalar() for c in cols]
+    centred = df.select(*[(F.col(c) - m).alias(f"_d_{i}") for i, (c, m) in enumerate(zip(cols, means))])
+    one = centred.selectExpr(*[f"sum(_d_{i} * _d_{j}) AS _s_{i}_{j}" for i in range(k) for j in range(i, k)])
+    one = one.select("*", *[v.alias(f"_v_{i}") for i, v in enumerate(varies)])
 
     def corr(i: int, j: int) -> str:
         # A column varies iff min < max (exact, unlike a sum of squared deviations).

@@ -137,8 +137,7 @@ QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "gameweek_domain": lambda L: aggregates.gameweek_domain(L.upcoming),
     "profile": lambda L: aggregates.profile(L.players, L.active, L.upcoming, L.teams, L.positions),
     # features
-    "feature_scalars": lambda L: features.table_statistics(L.active).select(
-        F.col("_q75").alias("q75"), F.col("_pooled_sd").alias("pooled_sd")),
+    "feature_scalars": lambda L: features.table_statistics(L.active),
     "features": lambda L: L.features,
     # fixtures and prediction
     "upcoming_fixtures": lambda L: fixtures.upcoming_fixtures(L.fixtures_raw, L.teams),

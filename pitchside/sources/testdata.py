@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside.functions.constants import POSITION_ORDER
-from pitchside.functions.joins import scalar_join
 from pitchside.sources import schemas
 from pitchside.sources.tables import read_table
 
@@ -70,13 +69,10 @@ def players_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("q_n").alias("q_n"),
         )
     )
-    total_orders = orders.agg(F.count(F.lit(1)).alias("total_orders"))
+    total_orders = orders.select(F.count(F.lit(1))).scalar()
 
     key = F.col("c_custkey")
-    joined = scalar_join(
-        customer.join(per_customer, customer.c_custkey == per_customer.o_custkey, "left"),
-        total_orders,
-    )
+    joined = customer.join(per_customer, customer.c_custkey == per_customer.o_custkey, "left")
     text = lambda c: c.cast("double").cast("string")
     return joined.select(
         key.alias("id"),
@@ -98,7 +94,7 @@ def players_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         text(F.col("q_a")).alias("creativity"),
         text(F.col("q_n")).alias("threat"),
         text(F.col("minutes_d") / F.lit(10.0)).alias("ict_index"),
-        text(F.lit(100.0) * F.col("n_orders") / F.col("total_orders")).alias("selected_by_percent"),
+        text(F.lit(100.0) * F.col("n_orders") / total_orders).alias("selected_by_percent"),
     )
 
 
