@@ -7,7 +7,8 @@ the tiebreak spreads even one hot value over many partitions. Each row's
 global rank within its group is its record number inside its partition
 (the low 33 bits of ``monotonically_increasing_id``, a documented property)
 plus the number of the group's rows in earlier partitions, taken from a small
-table of per-(partition, group) counts. Each target rank is located on that
+table of per-(partition, group) counts. The numbered rows are written once to
+the shared checkpoint folder, so every later read sees the same numbering. Each target rank is located on that
 small table first (which block, which row number), so the values are read in
 one pass that keeps at most 2 * len(probs) rows per group.
 
@@ -23,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchside.sources.stage import stage
+
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group_cols: Sequence[str] = (),
                     tiebreak_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
@@ -38,8 +41,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     ranged = vals.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    indexed = ranged.select(*g, F.col(value_col).cast("double").alias("_x"),
-                            F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    # The numbering is written once: the block counts and the value pick below
+    # must see the same partition boundaries, and a range exchange planned twice
+    # samples its boundaries twice (the sample seed depends on the RDD).
+    indexed = stage(ranged.select(*g, F.col(value_col).cast("double").alias("_x"),
+                                  F.spark_partition_id().alias("_pid"),
+                                  F.monotonically_increasing_id().alias("_mid")), "quantile-ranks")
 
     blocks = indexed.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_start"))
     w = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("_pid")
