@@ -46,9 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names it; only when it is unset (local tests) is a fresh scratch
     folder created and registered.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="pitchside-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(path)
     return path
