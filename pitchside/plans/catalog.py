@@ -17,7 +17,7 @@ from pitchside.functions import constants as K
 from pitchside.operators import (aggregates, cards, classify, explain, features, filters, fixtures, players,
                                  predict, rankings, stats, timeseries)
 from pitchside.plans.oracle import CHECK_DIGITS
-from pitchside.sources import testdata
+from pitchside.sources import json_docs, testdata
 from pitchside.sources.stage import stage
 
 
@@ -108,6 +108,8 @@ QUERIES: dict[str, Callable[[League], DataFrame]] = {
     # sources, players, filters
     "players": lambda L: _players_cols(L.players),
     "players_v1": lambda L: _players_v1_cols(L.players_v1),
+    "players_from_json": lambda L: _players_cols(players.build_players(
+        json_docs.parse_elements(json_docs.to_json_lines(L.players_raw)), L.teams, L.positions)),
     "active_players": lambda L: _players_cols(L.active),
     "active_players_v1": lambda L: _players_v1_cols(L.active_v1),
     "dashboard_filter_position": lambda L: _players_cols(filters.dashboard_filter(L.active, position="Midfielder")),

@@ -457,6 +457,7 @@ def _elite_union() -> str:
 _SQL: dict[str, str] = {
     "players": _with(f"SELECT {_PLAYER_COLS} FROM players"),
     "players_v1": _with(f"SELECT {_PLAYER_V1_COLS} FROM players_v1"),
+    "players_from_json": _with(f"SELECT {_PLAYER_COLS} FROM players"),
     "active_players": _with(f"SELECT {_PLAYER_COLS} FROM active"),
     "active_players_v1": _with(f"SELECT {_PLAYER_V1_COLS} FROM active_v1"),
     "dashboard_filter_position": _with(f"SELECT {_PLAYER_COLS} FROM active WHERE position = 'Midfielder'"),
@@ -547,6 +548,7 @@ _SQL: dict[str, str] = {
 DOUBLE_COLUMNS = {
     'players': ['cost_million', 'value', 'form_numeric', 'points_per_game_numeric', 'influence_numeric', 'creativity_numeric', 'threat_numeric', 'ict_index_numeric', 'selected_by_percent', 'minutes', 'total_points', 'goals_scored', 'assists', 'clean_sheets'],
     'players_v1': ['cost_million', 'value', 'total_points', 'minutes'],
+    'players_from_json': ['cost_million', 'value', 'form_numeric', 'points_per_game_numeric', 'influence_numeric', 'creativity_numeric', 'threat_numeric', 'ict_index_numeric', 'selected_by_percent', 'minutes', 'total_points', 'goals_scored', 'assists', 'clean_sheets'],
     'active_players': ['cost_million', 'value', 'form_numeric', 'points_per_game_numeric', 'influence_numeric', 'creativity_numeric', 'threat_numeric', 'ict_index_numeric', 'selected_by_percent', 'minutes', 'total_points', 'goals_scored', 'assists', 'clean_sheets'],
     'active_players_v1': ['cost_million', 'value', 'total_points', 'minutes'],
     'dashboard_filter_position': ['cost_million', 'value', 'form_numeric', 'points_per_game_numeric', 'influence_numeric', 'creativity_numeric', 'threat_numeric', 'ict_index_numeric', 'selected_by_percent', 'minutes', 'total_points', 'goals_scored', 'assists', 'clean_sheets'],

@@ -8,8 +8,6 @@ are declared, never inferred.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -60,9 +58,16 @@ def load_upcoming(spark: SparkSession, path: str, teams: DataFrame) -> DataFrame
     return upcoming_fixtures(raw, teams)
 
 
-def bootstrap_path(root: str) -> str:
-    return os.path.join(root, "bootstrap")
+def parse_elements(text: DataFrame, column: str = "value") -> DataFrame:
+    """Player objects from JSON text, one object per row (JSON lines), with the declared schema.
+
+    The per-row form of the bootstrap source: splittable, parsed by
+    ``from_json`` in the JVM; malformed text yields a row of NULLs, which the
+    player table's NULL filter then drops.
+    """
+    return text.select(F.from_json(F.col(column), schemas.PLAYERS_RAW).alias("e")).select("e.*")
 
 
-def fixtures_path(root: str) -> str:
-    return os.path.join(root, "fixtures")
+def to_json_lines(players_raw: DataFrame) -> DataFrame:
+    """Serialise player rows to JSON text (one object per row), the shape landed feeds have."""
+    return players_raw.select(F.to_json(F.struct(*players_raw.columns)).alias("value"))

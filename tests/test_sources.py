@@ -9,7 +9,8 @@ import pytest
 from conftest import FIXTURES, PLAYERS, POSITIONS, TEAMS
 from pitchside.operators.players import build_players
 from pitchside.sources import schemas
-from pitchside.sources.json_docs import load_upcoming, read_bootstrap, read_fixtures
+from pitchside.sources.json_docs import (load_upcoming, parse_elements, read_bootstrap, read_fixtures,
+                                         to_json_lines)
 from pitchside.sources.sinks import publish
 from pitchside.streaming.snapshots import start_player_refresh
 
@@ -43,6 +44,13 @@ def test_bootstrap_documents(spark, landing):
     assert built[7].TEAMS == "Unknown" and built[4].cost_pretty == "£10.0"
 
 
+def test_json_lines_roundtrip(spark, league):
+    back = parse_elements(to_json_lines(league["players_raw"]))
+    assert sorted(back.collect()) == sorted(league["players_raw"].collect())
+    bad = parse_elements(spark.createDataFrame([("{not json",)], "value string"))
+    assert bad.first().id is None
+
+
 def test_missing_players_source_is_fatal(spark, landing):
     with pytest.raises(FileNotFoundError):
         read_bootstrap(spark, os.path.join(landing, "nothing-here"))
