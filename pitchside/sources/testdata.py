@@ -24,11 +24,9 @@ EVENT_NULL_MODULUS = 50
 AWAY_TEAMS = 25
 
 
-def _segment_type(c):
-    expr = None
-    for seg, code in SEGMENT_TO_ELEMENT_TYPE.items():
-        expr = F.when(c == seg, F.lit(code)) if expr is None else expr.when(c == seg, F.lit(code))
-    return expr.cast("int")
+def _segment_case(col: str) -> str:
+    whens = " ".join(f"WHEN '{seg}' THEN {code}" for seg, code in SEGMENT_TO_ELEMENT_TYPE.items())
+    return f"CAST(CASE {col} {whens} END AS INT)"
 
 
 def players_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,30 +69,31 @@ def players_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     total_orders = orders.select(F.count(F.lit(1))).scalar()
 
-    key = F.col("c_custkey")
     joined = customer.join(per_customer, customer.c_custkey == per_customer.o_custkey, "left")
-    text = lambda c: c.cast("double").cast("string")
-    return joined.select(
-        key.alias("id"),
-        F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"),
-        F.split_part("c_name", F.lit("#"), F.lit(2)).alias("second_name"),
-        F.col("c_nationkey").cast("int").alias("team"),
-        _segment_type(F.col("c_mktsegment")).alias("element_type"),
-        F.floor(F.col("c_acctbal") / F.lit(50.0)).cast("int").alias("now_cost"),
-        F.col("total_points").cast("long").alias("total_points"),
-        F.col("minutes_d").cast("long").alias("minutes"),
-        F.col("goals_scored").cast("long").alias("goals_scored"),
-        F.col("assists").cast("long").alias("assists"),
-        F.col("clean_sheets").cast("long").alias("clean_sheets"),
-        F.when(key % FORM_NA_MODULUS == 0, F.lit("n/a"))
-        .otherwise(text(((key * 7) % 101).cast("double") / F.lit(10.0))).alias("form"),
-        F.when(key % PPG_NULL_MODULUS == 0, F.lit(None).cast("string"))
-        .otherwise(text(F.col("total_points").cast("double") / F.col("n_orders"))).alias("points_per_game"),
-        text(F.col("q_r")).alias("influence"),
-        text(F.col("q_a")).alias("creativity"),
-        text(F.col("q_n")).alias("threat"),
-        text(F.col("minutes_d") / F.lit(10.0)).alias("ict_index"),
-        text(F.lit(100.0) * F.col("n_orders") / total_orders).alias("selected_by_percent"),
+    # The mapping is plain SQL (FIXTURES.md), so it is written as SQL expressions.
+    text = lambda e: f"CAST(CAST({e} AS DOUBLE) AS STRING)"
+    joined = joined.withColumn("_sel", F.lit(100.0) * F.col("n_orders") / total_orders)
+    return joined.selectExpr(
+        "c_custkey AS id",
+        "split_part(c_name, '#', 1) AS first_name",
+        "split_part(c_name, '#', 2) AS second_name",
+        "CAST(c_nationkey AS INT) AS team",
+        f"{_segment_case('c_mktsegment')} AS element_type",
+        "CAST(floor(c_acctbal / 50.0D) AS INT) AS now_cost",
+        "CAST(total_points AS BIGINT) AS total_points",
+        "CAST(minutes_d AS BIGINT) AS minutes",
+        "CAST(goals_scored AS BIGINT) AS goals_scored",
+        "CAST(assists AS BIGINT) AS assists",
+        "CAST(clean_sheets AS BIGINT) AS clean_sheets",
+        f"CASE WHEN c_custkey % {FORM_NA_MODULUS} = 0 THEN 'n/a' "
+        f"ELSE {text('CAST((c_custkey * 7) % 101 AS DOUBLE) / 10.0D')} END AS form",
+        f"CASE WHEN c_custkey % {PPG_NULL_MODULUS} = 0 THEN CAST(NULL AS STRING) "
+        f"ELSE {text('CAST(total_points AS DOUBLE) / n_orders')} END AS points_per_game",
+        f"{text('q_r')} AS influence",
+        f"{text('q_a')} AS creativity",
+        f"{text('q_n')} AS threat",
+        f"{text('minutes_d / 10.0D')} AS ict_index",
+        f"{text('_sel')} AS selected_by_percent",
     )
 
 
@@ -113,16 +112,15 @@ def fixtures_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders JOIN customer: one fixture per order, home team = customer's nation."""
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
-    key = F.col("o_orderkey")
-    days = F.datediff(F.to_date("o_orderdate"), F.lit(GAMEWEEK_EPOCH).cast("date"))
-    return orders.join(customer, orders.o_custkey == customer.c_custkey, "inner").select(
-        key.alias("id"),
-        F.when(key % EVENT_NULL_MODULUS == 0, F.lit(None).cast("int"))
-        .otherwise((F.lit(1) + F.floor(days / F.lit(7.0))).cast("int")).alias("event"),
-        (F.col("o_orderstatus") == "F").alias("finished"),
-        F.col("c_nationkey").cast("int").alias("team_h"),
-        ((key * 7 + 3) % AWAY_TEAMS).cast("int").alias("team_a"),
-        (F.lit(1) + key % 5).cast("int").alias("team_h_difficulty"),
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
+    return joined.selectExpr(
+        "o_orderkey AS id",
+        f"CASE WHEN o_orderkey % {EVENT_NULL_MODULUS} = 0 THEN CAST(NULL AS INT) ELSE CAST(1 + "
+        f"floor(datediff(to_date(o_orderdate), DATE'{GAMEWEEK_EPOCH}') / 7.0D) AS INT) END AS event",
+        "o_orderstatus = 'F' AS finished",
+        "CAST(c_nationkey AS INT) AS team_h",
+        f"CAST((o_orderkey * 7 + 3) % {AWAY_TEAMS} AS INT) AS team_a",
+        "CAST(1 + o_orderkey % 5 AS INT) AS team_h_difficulty",
     )
 
 
