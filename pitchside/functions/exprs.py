@@ -1,7 +1,9 @@
 """Column-expression helpers that keep R's NULL/NaN/rounding rules on Spark.
 
-Everything here returns a ``Column`` built from ``pyspark.sql.functions``, so it
-stays inside whole-stage codegen; no Python runs per row.
+Everything here returns a ``Column`` built from ``pyspark.sql.functions`` or a
+Spark SQL expression, so it stays inside whole-stage codegen; no Python runs per
+row. When the input is a column name, the helpers build one SQL expression
+(one call to the JVM instead of one per Column operation).
 """
 
 from __future__ import annotations
@@ -22,6 +24,22 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _ref(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, float):
+        return f"{v!r}D"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def null_double() -> Column:
     return F.lit(None).cast("double")
 
@@ -38,6 +56,10 @@ def parse_number(c: ColumnLike) -> Column:
     NaN text parses to NaN in R; it is mapped to NULL right away because every
     consumer treats it as missing.
     """
+    if isinstance(c, str):
+        t = f"trim(CAST({_ref(c)} AS STRING))"
+        return F.expr(f"nanvl(CASE WHEN {t} RLIKE r'{NUMERIC_TEXT}' THEN try_cast({t} AS DOUBLE) END, "
+                      f"CAST(NULL AS DOUBLE))")
     text = F.trim(col(c).cast("string"))
     parsed = F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double"))
     return nan_to_null(parsed)
@@ -71,6 +93,9 @@ def safe_div(num: ColumnLike, den: ColumnLike) -> Column:
 
 def lookup(c: ColumnLike, mapping: Mapping, default) -> Column:
     """A CASE over a fixed mapping, ``default`` for anything else (incl. NULL)."""
+    if isinstance(c, str):
+        whens = " ".join(f"WHEN {_sql_literal(k)} THEN {_sql_literal(v)}" for k, v in mapping.items())
+        return F.expr(f"CASE {_ref(c)} {whens} ELSE {_sql_literal(default)} END")
     c = col(c)
     expr = None
     for key, value in mapping.items():
@@ -90,6 +115,12 @@ def num_text(c: ColumnLike, digits: int) -> Column:
     The value is rounded half-to-even (R ``round``), printed with ``digits``
     decimals, then trailing zeros and a bare point are dropped. NULL stays NULL.
     """
+    if isinstance(c, str):
+        r = f"(bround(CAST({_ref(c)} AS DOUBLE), {digits}) + 0.0D)"  # + 0.0 turns -0.0 into 0.0
+        if digits <= 0:
+            return F.expr(f"CASE WHEN {_ref(c)} IS NOT NULL THEN format_string('%.0f', {r}) END")
+        return F.expr(f"CASE WHEN {_ref(c)} IS NOT NULL THEN "
+                      f"regexp_replace(format_string('%.{digits}f', {r}), r'\\.?0+$', '') END")
     c = col(c)
     rounded = F.bround(c.cast("double"), digits) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
     if digits <= 0:
