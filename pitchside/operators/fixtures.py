@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.sources import schemas
+from pitchside.sources.stage import stage
 
 
 def empty_upcoming(spark: SparkSession) -> DataFrame:
@@ -75,10 +76,15 @@ def first_fixture_per_team_week(upcoming: DataFrame) -> DataFrame:
 def first_fixture_per_team(upcoming: DataFrame, gameweek: int | None = None) -> DataFrame:
     """For the target gameweek (default: the first upcoming one), each team's first fixture.
 
-    The default gameweek is the minimum of the (team, gameweek) aggregate, so
-    the fixtures are read once: both branches share the aggregate's exchange.
+    With a given gameweek the filter is pushed below the aggregate, so only
+    that week's fixtures are aggregated. The default gameweek needs the
+    minimum over all fixtures first: the (team, gameweek) aggregate, one row
+    per team and week, is written once and both the minimum and the filter
+    read it, so the fixtures themselves are read in a single pass.
     """
     per_week = first_fixture_per_team_week(upcoming)
+    if gameweek is None:
+        per_week = stage(per_week, "fixtures-per-week")
     first = per_week.filter(F.col("gameweek") == target_gameweek(per_week, gameweek))
     return first.select(F.col("team_id").alias("_team_id"),
                         F.col("_first.id").alias("fixture_id"),
