@@ -36,9 +36,11 @@ def radar(active: DataFrame, ids=None, variant: str = "v2") -> DataFrame:
         raise ValueError(f"unknown variant {variant!r}")
     items = F.array(*[F.struct(F.lit(i + 1).alias("ord"), F.lit(name).alias("metric"),
                                v.cast("double").alias("value")) for i, (name, v) in enumerate(rows)])
-    return df.select("id", *extra, F.explode(items).alias("_m")).select(
-        "id", F.col("_m.ord").alias("ord"), F.col("_m.metric").alias("metric"), F.col("_m.value").alias("value"),
-        *[F.col("axis_max")] * bool(extra))
+    out_cols = ["id", F.col("_m.ord").alias("ord"), F.col("_m.metric").alias("metric"),
+                F.col("_m.value").alias("value")]
+    if extra:
+        out_cols.append("axis_max")
+    return df.select("id", *extra, F.explode(items).alias("_m")).select(*out_cols)
 
 
 def compare(active: DataFrame, pairs: DataFrame, variant: str = "v2") -> DataFrame:
