@@ -41,7 +41,7 @@ def main() -> None:
 
     scratch = tempfile.mkdtemp(prefix="pitchside-bench-")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("pitchside-bench")
-             .config("spark.sql.shuffle.partitions", str(cpus))
+             .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
