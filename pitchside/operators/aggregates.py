@@ -44,8 +44,8 @@ def profile(players: DataFrame, active: DataFrame, upcoming: DataFrame,
     """
     count = lambda df: df.select(F.count(F.lit(1))).scalar()
     positions_seen = active.select(F.concat_ws(", ", F.array_sort(F.collect_set("position")))).scalar()
-    gameweeks = upcoming.select(F.array_join(F.transform(F.array_sort(F.collect_set("gameweek")),
-                                                         lambda x: x.cast("string")), ", ")).scalar()
+    gameweeks = upcoming.select(
+        F.array_join(F.array_sort(F.collect_set("gameweek")).cast("array<string>"), ", ")).scalar()
     return players.sparkSession.range(1).select(
         count(players).alias("players_rows"), count(teams).alias("teams_rows"),
         count(positions).alias("positions_rows"), count(active).alias("active_rows"),

@@ -23,11 +23,9 @@ def dense_weeks(player_points: DataFrame, n_weeks: int = K.SEASON_WEEKS) -> Data
               .groupBy("player_id", "week").agg(F.sum("points").alias("points")))
     per_player = weekly.groupBy("player_id").agg(
         F.map_from_entries(F.collect_list(F.struct("week", "points"))).alias("_wk"))
-    return per_player.select(
-        "player_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(n_weeks)),
-                                              lambda w: F.coalesce(F.col("_wk")[w], F.lit(0).cast("long"))))
-        .alias("_i", "points")).select("player_id", (F.col("_i") + 1).cast("int").alias("week"),
-                                       F.col("points").cast("long").alias("points"))
+    spine = per_player.select("player_id", "_wk", F.explode(F.sequence(F.lit(1), F.lit(n_weeks))).alias("week"))
+    return spine.select("player_id", F.col("week").cast("int").alias("week"),
+                        F.coalesce(F.try_element_at("_wk", F.col("week")), F.lit(0)).cast("long").alias("points"))
 
 
 def rolling_form(player_points: DataFrame, n_weeks: int = K.SEASON_WEEKS,
