@@ -1,8 +1,9 @@
 """Feature statistics: correlation matrix, histograms and box statistics.
 
-All three work on the feature table in long form ``(feature, x)``, obtained with
-a per-row ``explode`` (no shuffle), so one job covers every feature and each
-aggregate is grouped by a key whose cardinality is the number of features.
+Histograms and box statistics work on the feature table in long form
+``(feature, x)``, obtained with a per-row ``explode`` (no shuffle), so one job
+covers every feature and each aggregate is grouped by a key whose cardinality
+is the number of features. The correlation matrix uses wide global aggregates.
 """
 
 from __future__ import annotations
