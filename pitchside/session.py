@@ -48,6 +48,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            # A machine-local folder is not shared by executors: refuse rather than guess.
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="pitchside-ckpt-")
         spark.sparkContext.setCheckpointDir(path)
     return path
