@@ -80,6 +80,47 @@ class League:
         return fixtures.upcoming_fixtures(self.fixtures_raw, self.teams, ordered=False)
 
 
+class LandedLeague(League):
+    """The same tables from landed documents: bootstrap snapshots and a fixtures list.
+
+    Every query in ``QUERIES`` runs on it unchanged except ``rolling_form``,
+    which needs a weekly points table (``player_points``, passed in).
+    """
+
+    def __init__(self, spark: SparkSession, bootstrap_path: str, fixtures_path: str,
+                 player_points: DataFrame | None = None):
+        super().__init__(spark, sf_dir="")
+        self._bootstrap = json_docs.read_bootstrap(spark, bootstrap_path)
+        self._fixtures_path = fixtures_path
+        self._points = player_points
+
+    @cached_property
+    def players_raw(self) -> DataFrame:
+        return self._bootstrap[0]
+
+    @cached_property
+    def teams(self) -> DataFrame:
+        return self._bootstrap[1]
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return self._bootstrap[2]
+
+    @cached_property
+    def fixtures_raw(self) -> DataFrame | None:
+        return json_docs.read_fixtures(self.spark, self._fixtures_path)
+
+    @cached_property
+    def upcoming(self) -> DataFrame:
+        return fixtures.upcoming_fixtures(self.fixtures_raw, self.teams, ordered=False)
+
+    @cached_property
+    def player_points(self) -> DataFrame:
+        if self._points is None:
+            raise ValueError("rolling form needs a player_points table (player_id, week, points)")
+        return self._points
+
+
 def best_at_position_pairs(active: DataFrame) -> DataFrame:
     """Comparison pairs: every active player against the top scorer of their position.
 

@@ -66,6 +66,17 @@ def test_fixtures_document_and_fallback(spark, landing):
     assert empty.count() == 0 and empty.schema == schemas.UPCOMING_FIXTURES
 
 
+def test_landed_league_runs_the_catalog(spark, landing):
+    from pitchside.plans.catalog import QUERIES, LandedLeague
+    lg = LandedLeague(spark, os.path.join(landing, "bootstrap"), os.path.join(landing, "fixtures.json"))
+    assert {r.id for r in QUERIES["active_players"](lg).collect()} == {1, 2, 3, 4, 7, 11}
+    assert QUERIES["elite_squad"](lg).count() == 6
+    pred = {r.id: r.fixture_difficulty for r in QUERIES["predict"](lg).collect()}
+    assert pred[1] == 2 and pred[7] == 3
+    missing = LandedLeague(spark, os.path.join(landing, "bootstrap"), os.path.join(landing, "none.json"))
+    assert {r.fixture_difficulty for r in QUERIES["predict"](missing).collect()} == {3}
+
+
 def test_publish_roundtrip(spark, scratch_dir, league):
     out = os.path.join(scratch_dir, "published")
     publish(league["teams"], out, partition_by=["id"])
