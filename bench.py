@@ -2,17 +2,18 @@
 
 Runs at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on ``local[$BENCH_CPUS]``
 and prints one JSON line. Like the dashboard it models, start-up builds the
-player table and the feature table once (``load``: orders x lineitem -> player
-table -> features, both staged in the checkpoint folder), then the headline
-views run over them. Every view is forced to full evaluation with the ``noop``
+player table once (``load``: orders x lineitem -> player table, staged in the
+checkpoint folder) and the feature table from it (``feature_table``, staged),
+then the headline views run over them. Every view is forced to full evaluation with the ``noop``
 sink, so nothing is sampled and nothing is pulled to the driver.
 
 Three passes, each from a fresh ``League`` (all data work redone, nothing
 cached between passes): a first sequential pass that pays JVM start-up and
 code generation (``cold``), a sequential pass (``sequential``), and a pass
 that renders the views concurrently from one session under the FAIR
-scheduler, as a dashboard renders its panels (``value`` and ``queries``: the
-pass's wall time and each view's latency within it).
+scheduler, each as soon as its input table is ready, as a dashboard renders
+its panels (``value`` and ``queries``: the pass's wall time and each step's
+latency within it).
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from concurrent.futures import ThreadPoolExecutor
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
+FEATURE_VIEWS = {"features", "feature_correlation"}
 HEADLINE = {
     "top_value": "T1 top value players",
     "elite_squad": "T5 elite squad under quotas",
     "predict": "R7 fixture-aware prediction for every player",
-    "features": "F13 engineered feature table (built in load, read in full here)",
+    "features": "F13 engineered feature table (built as feature_table, read in full here)",
     "feature_correlation": "A9 correlation matrix",
     "rolling_form": "W2-W6 rolling form",
 }
@@ -63,18 +65,30 @@ def main() -> None:
         t0 = time.time()
         league = League(spark, sf_dir)
         league.players  # noqa: B018  (derive and stage the player table)
-        league.features  # noqa: B018  (and the feature table)
         times["load"] = round(time.time() - t0, 3)
 
-        def view(name: str) -> tuple[str, float]:
+        def build_features() -> float:
+            t = time.time()
+            league.features  # noqa: B018  (derive and stage the feature table)
+            return round(time.time() - t, 3)
+
+        def view(name: str, ready=None) -> tuple[str, float]:
+            if ready is not None and name in FEATURE_VIEWS:
+                ready.result()
             t = time.time()
             QUERIES[name](league).write.format("noop").mode("overwrite").save()
             return name, round(time.time() - t, 3)
 
         if concurrent:
-            with ThreadPoolExecutor(max_workers=len(HEADLINE)) as pool:
-                times.update(pool.map(view, HEADLINE))
+            # Panels render as soon as their input is ready: views over the player table start at
+            # once, the two views over the feature table wait for it.
+            with ThreadPoolExecutor(max_workers=len(HEADLINE) + 1) as pool:
+                ready = pool.submit(build_features)
+                done = [pool.submit(view, name, ready) for name in HEADLINE]
+                times["feature_table"] = ready.result()
+                times.update(f.result() for f in done)
         else:
+            times["feature_table"] = build_features()
             times.update(view(name) for name in HEADLINE)
         return times, round(time.time() - t0, 3)
 
