@@ -126,11 +126,14 @@ def best_at_position_pairs(active: DataFrame) -> DataFrame:
 
     The top scorer per position comes from a row_number filtered by a literal
     (a partial WindowGroupLimit: one row per position per task crosses the shuffle).
+    That table has one row per distinct position, and positions are the position
+    dimension's names or "Unknown", so it is bounded by the dimension and is
+    broadcast: the players are never shuffled by their few, hot position keys.
     """
     w = Window.partitionBy("position").orderBy(F.desc("total_points"), F.asc("id"))
     best = (active.select("position", "id", "total_points").withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= 1).select("position", F.col("id").alias("player2_id")))
-    return active.select("position", F.col("id").alias("player1_id")).join(best, "position") \
+    return active.select("position", F.col("id").alias("player1_id")).join(F.broadcast(best), "position") \
         .select("player1_id", "player2_id")
 
 
