@@ -205,3 +205,26 @@ def test_classify_rules(feats):
     s7 = by[(7, "SVM")].score
     assert by[(7, "Random Forest")].confidence == ("High" if abs(s7 - 0.5) > 0.25 else
                                                    "Medium" if abs(s7 - 0.5) > 0.1 else "Low")
+
+
+def test_point_lookup(active):
+    assert {r.id for r in filters.lookup_players(active, ids=[1, 4, 99]).collect()} == {1, 4}
+    assert {r.id for r in filters.lookup_players(active, names=["Jo Jones"]).collect()} == {11}
+
+
+def test_points_vs_cost_v1_tooltip(league):
+    v1 = players.build_players(league["players_raw"], league["teams"], league["positions"], variant="v1")
+    t = rows_by_id(filters.points_vs_cost(players.active_players(v1, 500, require_form=False), variant="v1"))
+    assert t[1]["tooltip"] == "Ann Able <br>Team: Alpha <br>Cost: £ 4.5 <br>Points: 120"
+    assert t[7]["colour_key"] is None and t[7]["tooltip"].startswith("Gus Gray <br>Team: NA")
+
+
+def test_profile_and_gameweek_domain(league, active, upcoming):
+    p = players.build_players(league["players_raw"], league["teams"], league["positions"])
+    row = aggregates.profile(p, active, upcoming, league["teams"], league["positions"]).first()
+    assert (row.players_rows, row.teams_rows, row.positions_rows, row.active_rows, row.fixtures_rows) == \
+        (11, 3, 4, 6, 4)
+    assert row.positions_seen == "Defender, Forward, Goalkeeper, Midfielder"
+    assert row.gameweeks == "2, 3"
+    gw = [(r.gameweek, r.is_default) for r in aggregates.gameweek_domain(upcoming).collect()]
+    assert gw == [(2, True), (3, False)]
