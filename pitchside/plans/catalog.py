@@ -171,6 +171,7 @@ QUERIES: dict[str, Callable[[League], DataFrame]] = {
         filters.dashboard_filter(L.active, position="Forward", max_cost=8.0, min_minutes=300)),
     "top_value_v1": lambda L: rankings.top_value(L.active_v1, variant="v1"),
     "feature_leaders": lambda L: rankings.feature_leaders(L.features),
+    "team_points": lambda L: rankings.team_points(L.active),
     "top_teams": lambda L: rankings.top_teams(L.active),
     "team_squad": lambda L: rankings.team_squad(L.active),
     "team_squad_one": lambda L: rankings.team_squad(L.active, team="NATION_3"),

@@ -483,6 +483,7 @@ _SQL: dict[str, str] = {
         f"{_br('efficiency', 2)} AS efficiency, {_br('goals_per_90', 2)} AS goals_per_90, "
         f"{_br('assists_per_90', 2)} AS assists_per_90, {_br('consistency_score', 2)} AS consistency "
         "FROM features ORDER BY features.momentum DESC NULLS LAST, id LIMIT 20"),
+    "team_points": _with("SELECT TEAMS, sum(total_points) AS total_points FROM active GROUP BY TEAMS"),
     "top_teams": _with(
         "SELECT TEAMS, total_points, CAST(row_number() OVER (ORDER BY total_points, TEAMS DESC) AS INTEGER) "
         "AS chart_order FROM (SELECT TEAMS, sum(total_points) AS total_points FROM active GROUP BY TEAMS "
@@ -560,6 +561,7 @@ DOUBLE_COLUMNS = {
     'top_value_filtered': ['total_points', 'value', 'form', 'minutes'],
     'top_value_v1': ['total_points', 'value'],
     'feature_leaders': ['momentum', 'efficiency', 'goals_per_90', 'assists_per_90', 'consistency'],
+    'team_points': ['total_points'],
     'top_teams': ['total_points'],
     'team_squad': ['total_points', 'cost', 'value', 'form'],
     'team_squad_one': ['total_points', 'cost', 'value', 'form'],
