@@ -228,3 +228,18 @@ def test_profile_and_gameweek_domain(league, active, upcoming):
     assert row.gameweeks == "2, 3"
     gw = [(r.gameweek, r.is_default) for r in aggregates.gameweek_domain(upcoming).collect()]
     assert gw == [(2, True), (3, False)]
+
+
+def test_team_mean_keeps_own_value_without_team(active):
+    no_team = active.withColumn("team", F.when(F.col("id") == 1, F.lit(None)).otherwise(F.col("team")))
+    f = rows_by_id(features.build_features(no_team))
+    assert f[1]["team_avg_points"] == 120.0                      # R's ave(): NA group keeps its own value
+    assert f[2]["team_avg_points"] == pytest.approx((150 + 130) / 2)
+
+
+def test_null_propagation_helpers(spark):
+    from pitchside.functions.exprs import clip, r_ifelse
+    df = spark.createDataFrame([(None,), (0.5,), (20.0,)], "x double")
+    got = df.select(clip("x", 1.0, 12.0).alias("c"),
+                    r_ifelse(F.col("x") > 1, F.lit("hi"), F.lit("lo")).alias("i")).collect()
+    assert [(r.c, r.i) for r in got] == [(None, None), (1.0, "lo"), (12.0, "hi")]
