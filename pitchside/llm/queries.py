@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import bpe_trie, hypergeometric_shards
+from pitchside.llm import attention_mil, bpe_trie, centroid_langid, hypergeometric_shards, positional_index
 
+QUALITY_THRESHOLD = 0.3
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -17,6 +18,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n (0 where the doc_id is null: its text is empty)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op3_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the nearest centroid, learned from documents with remainder 0, 1 or 3 of 4."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = centroid_langid.fit(docs.filter(_remainder(4) != 2), "doc_id", "text", "lang")
+    found = centroid_langid.predict(docs, model)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and the decoded text of every document."""
     coded = bpe_trie.encode_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
@@ -35,9 +49,49 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in 13-word windows of benchmark items, the items, and the verdict."""
+    found = positional_index.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """The classifier of operator 10, learned from labels whose remainder of 5 is not 0."""
+    return attention_mil.fit(docs, labels.filter(_remainder(5) != 0))
+
+
+def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labelled documents with remainder 1 to 4 of 5."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = attention_mil.score(docs, quality_model(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality")))
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_trie_bpe, op5_hypergeometric_shards)
+    f.__name__: f for f in (op3_centroid_langid, op4_trie_bpe, op5_hypergeometric_shards, op6_positional_index, op10_attention_mil)
 }
 
+_SQL_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+              "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_positional_index": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_SQL_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(len(w), 13) AS k FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g
+       FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM i)),
+dw AS (SELECT rid, k, s, array_to_string(w[s:s + k - 1], ' ') AS g
+       FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+m AS (SELECT rid, item_id, k, s FROM dw JOIN iw USING (k, g)),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + k)) AS p FROM m) GROUP BY rid),
+t AS (SELECT rid, count(DISTINCT item_id) AS n_items,
+             string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""}

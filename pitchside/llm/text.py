@@ -54,14 +54,14 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def blocks(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 4 << 20, max_rows: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows of at most ``max_bytes`` of text (one row at least), with their UTF-8 bytes; null is empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text_col))
         start, size, texts = 0, 0, []
         for i, text in enumerate(column.cast(pa.large_binary())):
             raw = text.as_py() or b""
-            if texts and size + len(raw) > max_bytes:
+            if texts and (size + len(raw) > max_bytes or len(texts) == max_rows):
                 yield batch.slice(start, i - start), texts
                 start, size, texts = i, 0, []
             texts.append(raw)
