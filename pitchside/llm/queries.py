@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import attention_mil, bpe_trie, centroid_langid, hypergeometric_shards, positional_index
+from pitchside.llm import (
+    attention_mil,
+    bpe_trie,
+    centroid_langid,
+    fuzzy_lines,
+    hypergeometric_shards,
+    positional_index,
+    rp_forest,
+    superminhash,
+)
 
 QUALITY_THRESHOLD = 0.3
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +32,12 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many repeat a line kept elsewhere, and a digest of the text that stays."""
+    docs = fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the nearest centroid, learned from documents with remainder 0, 1 or 3 of 4."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -58,6 +73,16 @@ def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for every vec_id divisible by 100, by Euclidean distance."""
+    return rp_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of Jaccard similarity 0.85 on 5-word shingles."""
+    return superminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The classifier of operator 10, learned from labels whose remainder of 5 is not 0."""
     return attention_mil.fit(docs, labels.filter(_remainder(5) != 0))
@@ -72,7 +97,9 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_centroid_langid, op4_trie_bpe, op5_hypergeometric_shards, op6_positional_index, op10_attention_mil)
+    f.__name__: f for f in (
+        op2_fuzzy_lines, op3_centroid_langid, op4_trie_bpe, op5_hypergeometric_shards, op6_positional_index, op8_rp_forest,
+        op9_superminhash, op10_attention_mil)
 }
 
 _SQL_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
