@@ -179,3 +179,16 @@ def score(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: s
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, score double")
+
+
+def keep_good(df: DataFrame, model: dict | None, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose score is at least ``threshold`` (all rows without a model)."""
+    if model is None:
+        return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, text_col, **BLOCK):
+            x, owner = passages(texts)
+            yield batch.filter(pa.array(forward(model, x, owner, len(texts))["score"] >= threshold))
+
+    return df.mapInArrow(run, df.schema)

@@ -39,6 +39,11 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that stand for a row's id and text."""
+    return F.xxhash64(id_col, text_col), F.xxhash64(F.lit(6), id_col, text_col)
+
+
 def items_table(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, item_id, words) of every item that has words; equal (id, words) count once."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.transform(_words(F.col(text_col)), _lower).alias("words"))
@@ -48,8 +53,8 @@ def items_table(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 
 def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The staged index: (k1, k2, id_col, pos, term); a row with the empty term per document has n_words as pos."""
-    keyed = docs.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(6), id_col, text_col).alias("k2"),
-                        F.array_append(_words(F.col(text_col)), F.lit("")).alias("words"))
+    k1, k2 = _keys(id_col, text_col)
+    keyed = docs.select(F.col(id_col), k1.alias("k1"), k2.alias("k2"), F.array_append(_words(F.col(text_col)), F.lit("")).alias("words"))
     terms = items.select(F.explode("words").alias("term")).union(items.sparkSession.createDataFrame([("",)], "term string")).distinct()
     postings = keyed.select(*KEY, id_col, F.posexplode("words").alias("pos", "word")).select(*KEY, id_col, "pos", _lower(F.col("word")).alias("term"))
     return stage(postings.join(broadcast_if_small(terms), "term", "left_semi"), "positional-index")
@@ -134,3 +139,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = total.join(broadcast_if_small(stage(words.join(listed, KEY), "hit-documents")), KEY, "left")
     return found.select(id_col, *KEY, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated: fewer than a twentieth of their words hit, or none."""
+    found = decontaminate(docs, benchmark, id_col, text_col)
+    bad = found.filter((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(*KEY).distinct()
+    bad = broadcast_if_small(stage(bad, "contaminated"))
+    k1, k2 = _keys(id_col, text_col)
+    return docs.join(bad, (k1 == bad["k1"]) & (k2 == bad["k2"]), "left_anti")

@@ -16,6 +16,7 @@ from pitchside.llm import (
     hypergeometric_shards,
     positional_index,
     rp_forest,
+    suffix_tree,
     superminhash,
 )
 
@@ -32,6 +33,12 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a suffix tree learned from documents with remainder 0, 2, 3 or 4 of 5."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(5) == 1).alias("held_out"))
+    return suffix_tree.score_documents(docs)
+
+
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, how many repeat a line kept elsewhere, and a digest of the text that stays."""
     docs = fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -98,7 +105,7 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_fuzzy_lines, op3_centroid_langid, op4_trie_bpe, op5_hypergeometric_shards, op6_positional_index, op8_rp_forest,
+        op1_suffix_tree, op2_fuzzy_lines, op3_centroid_langid, op4_trie_bpe, op5_hypergeometric_shards, op6_positional_index, op8_rp_forest,
         op9_superminhash, op10_attention_mil)
 }
 
