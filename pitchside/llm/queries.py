@@ -14,6 +14,7 @@ from pitchside.llm import (
     centroid_langid,
     fuzzy_lines,
     hypergeometric_shards,
+    lyndon_suffix,
     positional_index,
     rp_forest,
     suffix_tree,
@@ -80,6 +81,13 @@ def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def op7_lyndon_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in 400-byte strings found elsewhere, and a digest of the bytes that stay."""
+    found = lyndon_suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors found for every vec_id divisible by 100, by Euclidean distance."""
     return rp_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
@@ -105,8 +113,8 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_suffix_tree, op2_fuzzy_lines, op3_centroid_langid, op4_trie_bpe, op5_hypergeometric_shards, op6_positional_index, op8_rp_forest,
-        op9_superminhash, op10_attention_mil)
+        op1_suffix_tree, op2_fuzzy_lines, op3_centroid_langid, op4_trie_bpe, op5_hypergeometric_shards, op6_positional_index, op7_lyndon_suffix,
+        op8_rp_forest, op9_superminhash, op10_attention_mil)
 }
 
 _SQL_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "

@@ -36,7 +36,7 @@ from pitchside.llm.text import blocks, join_texts, mix, prefix_sums, span_hash,
 from pitchside.session import checkpoint_dir
 from pitchside.sources.stage import stage
 
-KAPPA = 1.0
+KAPPA = 4.0
 GAIN = 2.0
 CHUNK_BYTES = 8 << 20
 END = int(mix(np.array([0xE17D], np.uint64))[0] >> np.uint64(8))
