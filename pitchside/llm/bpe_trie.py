@@ -7,7 +7,7 @@ distinct words are inserted, one depth-first walk gives every node its state, an
 a prefix share its work. A pair of tokens may follow each other when undoing their merges, latest
 first, never meets a merge across the pair that would have come earlier.
 
-Each task walks the trie of the words that are new to it. Normalisation, splitting and special
+Each task walks the tries of the words that are new to it, block by block, and keeps the ids of words met lately. Normalisation, splitting and special
 tokens follow the tokenizer file (NFC, white space, lower case, words and signs). Decoding joins the
 tokens' texts with a space, as the library does for a file without a decoder.
 """
@@ -32,7 +32,8 @@ END = "</w>"
 #: Texts with other characters (or with \x1c-\x1f, white space to Python alone) are normalised and split by
 #: the library itself: its Unicode tables differ from Python's for some scripts.
 SIMPLE = re.compile("[\x00-\x1b\x20-\u024f]*")
-CACHED_UNITS = 200_000
+#: Words whose ids a process keeps: twice as many at most, some 200 bytes each.
+CACHED_WORDS = 400_000
 
 
 def byte_chars() -> list[str]:
@@ -73,9 +74,10 @@ class TrieBpe:
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.chars = byte_chars()
+        self.byte_of = {c: b for b, c in enumerate(self.chars)}
         self.fits: dict[tuple[int, int], bool] = {}
         self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
+        self.older: dict[str, bytes] = {}
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether two tokens (ranks) stand side by side in some encoding."""
@@ -107,11 +109,17 @@ class TrieBpe:
 
     def _last(self, prefix: str, end: str, states: list[int]) -> int:
         """The last token of a prefix (with ``end``, of the whole word), from the states of shorter prefixes."""
-        d, rank = len(prefix), self.rank
-        for size in range(min(d, self.longest), 0, -1):
-            token = rank.get(prefix[d - size:] + end)
-            if token is not None and (size == d or self.may_follow(states[d - size], token)):
-                return token
+        rank, fits = self.rank, self.fits
+        d = len(prefix)
+        symbols = prefix + end
+        for start in range(max(0, d - self.longest), d):
+            token = rank.get(symbols[start:])
+            if token is not None:
+                if not start:
+                    return token
+                ok = fits.get((states[start], token))
+                if ok or ok is None and self.may_follow(states[start], token):
+                    return token
         raise ValueError(f"no token ends {prefix!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
@@ -143,55 +151,51 @@ class TrieBpe:
                     todo.append((prefix + c, child))
         return out
 
-    def _plain(self, text: str) -> list[str]:
-        """The normalised units between white space."""
-        if text.isascii() and SIMPLE.fullmatch(text):
-            return text.lower().split()
-        if SIMPLE.fullmatch(text):
-            return unicodedata.normalize("NFC", text).lower().split()
-        return [u for u in self.normalizer.normalize_str(text).split(" ") if u]
-
-    def _words(self, unit: str) -> list[str]:
-        """The words of a unit, each byte as its printable character."""
-        if SIMPLE.fullmatch(unit):
-            return ["".join([self.chars[b] for b in w.encode()]) for w in self.word_re.findall(unit)]
-        return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(unit)]
-
-    def units(self, text: str) -> list[str]:
+    def _words(self, text: str) -> list[str]:
+        """The words of a text without special tokens, normalised."""
+        if not SIMPLE.fullmatch(text):
+            pieces = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))
+            return [bytes([self.byte_of[c] for c in w]).decode() for w, _ in pieces]
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        return self.word_re.findall(text.lower())
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text; a special token is its text after a line end, with which no word begins."""
         if self.special_re is None or "<" not in text:
-            return self._plain(text)
+            return self._words(text)
         out: list[str] = []
         for i, part in enumerate(self.special_re.split(text)):
-            if i % 2:
-                out.append("\n" + part)  # no unit begins with white space
-            else:
-                out += self._plain(part)
+            out += ["\n" + part] if i % 2 else self._words(part)
         return out
 
-    def learn(self, units: set[str]) -> None:
-        """Encodings of units that are new, from one trie of their distinct words."""
-        if len(self.ids) + len(units) > CACHED_UNITS:
-            self.ids.clear()
-            self.shown.clear()
-        new = [u for u in units if u not in self.ids]
-        split: dict[str, list[str]] = {}
-        for u in new:
-            if u[0] == "\n":
-                self.ids[u], self.shown[u] = np.uint32(self.special[u[1:]]).tobytes(), u[1:]
-                continue
-            split[u] = self._words(u)
-        known = self.encode_words({w for words in split.values() for w in words})
-        for u, words in split.items():
-            ids = [self.id_of[r] for w in words for r in known[w]]
-            self.ids[u] = np.array(ids, "<u4").tobytes()
-            self.shown[u] = " ".join([self.text_of[i] for i in ids])
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit numbers, decoded text) of each text."""
-        units = [self.units(t) for t in texts]
-        self.learn(set().union(*units) if units else set())
-        ids, shown = self.ids.__getitem__, self.shown.__getitem__
-        return [(b"".join(map(ids, u)), " ".join(filter(None, map(shown, u)))) for u in units]
+    def learn(self, words: set[str]) -> None:
+        """Encodings of the words; the new ones from one trie. Those not met for long are forgotten."""
+        if len(self.ids) > CACHED_WORDS:
+            self.ids, self.older = {}, self.ids
+        new = []
+        for w in words:
+            if w not in self.ids:
+                if (known := self.older.get(w)) is not None:
+                    self.ids[w] = known
+                elif w[0] == "\n":
+                    self.ids[w] = np.uint32(self.special[w[1:]]).tobytes()
+                else:
+                    new.append(w)
+        chars = self.chars
+        spelt = {"".join([chars[b] for b in w.encode()]): w for w in new}
+        for spelling, ranks in self.encode_words(spelt).items():
+            self.ids[spelt[spelling]] = np.array([self.id_of[r] for r in ranks], "<u4").tobytes()
+
+    def decode(self, ids: bytes) -> str:
+        """The tokens' texts, a space between them."""
+        return " ".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
+        words = [self.words(t) for t in texts]
+        self.learn(set().union(*words))
+        return [b"".join(map(self.ids.__getitem__, w)) for w in words]
 
 
 _encoders: dict[str, TrieBpe] = {}
@@ -214,11 +218,10 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer_path)
-        for batch, raw in blocks(batches, "_text", 1 << 20):
-            done = bpe.encode_batch([r.decode() for r in raw])
+        for batch, raw in blocks(batches, "_text", 2 << 20):
+            ids = bpe.encode_batch([r.decode() for r in raw])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string())],
-                names=[id_col, "ids", "decoded"])
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=[id_col, "ids", "decoded"])
 
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded string")
