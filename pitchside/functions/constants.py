@@ -34,7 +34,6 @@ DEFAULT_MANUAL_DIFFICULTY = 3
 # Dashboard thresholds.
 ACTIVE_MIN_MINUTES_V2 = 100
 ACTIVE_MIN_MINUTES_V1 = 500
-DEFAULT_FILTER_MIN_MINUTES = 100
 TOP_VALUE_N_V2 = 20
 TOP_VALUE_N_V1 = 10
 TOP_TEAMS_N = 10
@@ -87,7 +86,6 @@ BOX_WHISKER_IQR = 1.5
 # Rolling form windows.
 ROLLING_SHORT = 3
 ROLLING_LONG = 5
-SEASON_WEEKS = 30
 
 # Radar (v2): (metric label, column); each is divided by the table max and * 100,
 # except Form, which is form / 10 * 100.

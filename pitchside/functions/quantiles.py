@@ -1,20 +1,12 @@
-"""Exact interpolated quantiles (R type 7) without gathering a group into one task.
+"""Exact interpolated quantiles (R type 7) without sorting the table or gathering a group.
 
-``percentile`` keeps one counter per distinct value of a group and merges them
-in a single task, which for a continuous column is the whole column. Here the
-values are instead range-partitioned and sorted by (group, value, tiebreak);
-the tiebreak spreads even one hot value over many partitions. Each row's
-global rank within its group is its record number inside its partition
-(the low 33 bits of ``monotonically_increasing_id``, a documented property)
-plus the number of the group's rows in earlier partitions, taken from a small
-table of per-(partition, group) counts. The numbered rows are written once to
-the shared checkpoint folder, so every later read sees the same numbering. Each target rank is located on that
-small table first (which block, which row number), so the values are read in
-one pass that keeps at most 2 * len(probs) rows per group.
-
-Sizes: the per-block table has (partitions x groups) rows and the located
-targets 2 * len(probs) * groups rows. Callers pass few groups (features), so
-the located targets are broadcast.
+A mergeable sketch gives, for every probability, two values between which the wanted ranks lie
+(``percentile_approx`` is within 1/ACCURACY of the rank, and the bracket is twice as wide). One
+aggregate then counts the rows below each bracket and keeps the nearest values outside it; only the
+distinct values inside are counted one by one and put in order, a hot value being one of them
+however many rows it has. All three steps are aggregates with map-side combine, for all groups
+and probabilities in one pass each; nothing is written, and the only joins are on the group columns,
+to a table of one row per group.
 """
 
 from __future__ import annotations
@@ -24,64 +16,56 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchside.sources.stage import stage
+ACCURACY = 50_000
+_SLACK = 2.0 / ACCURACY
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group_cols: Sequence[str] = (),
-                    tiebreak_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Rows ``(*group_cols, prob_idx, prob, n, quantile)``, NULL values ignored.
+def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group_cols: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(*group_cols, prob_idx, prob, n, quantile)``, NULL values ignored; no values, no row.
 
     The quantile at probability p is x[k] + h * (x[k+1] - x[k]) with
     h = (n - 1) * p - k over the sorted values, computed as R does:
     ``(1 - h) * x[k] + h * x[k+1]``, and exactly x[k] when the two are equal.
+    Values inside a bracket: about 4 / ACCURACY of the rows at most, fewer if they repeat.
     """
-    g = list(group_cols)
-    order = g + [value_col] + ([tiebreak_col] if tiebreak_col else [])
-    vals = df.select(*order).filter(F.col(value_col).isNotNull())
-    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    ranged = vals.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # The numbering is written once: the block counts and the value pick below
-    # must see the same partition boundaries, and a range exchange planned twice
-    # samples its boundaries twice (the sample seed depends on the RDD).
-    indexed = stage(ranged.select(*g, F.col(value_col).cast("double").alias("_x"),
-                                  F.spark_partition_id().alias("_pid"),
-                                  F.monotonically_increasing_id().alias("_mid")), "quantile-ranks")
+    g, m = list(group_cols), len(probs)
+    vals = df.select(*g, F.col(value_col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    edges = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-_SLACK, _SLACK)])
+    sketch = F.percentile_approx("_x", edges, ACCURACY).alias("_edges")
+    if g:
+        rows = vals.join(vals.groupBy(*g).agg(sketch), g)
+    else:
+        rows = vals.withColumn("_edges", vals.agg(sketch).scalar())
+    x = F.col("_x")
+    low, high = (lambda i: F.col("_edges")[2 * i]), (lambda i: F.col("_edges")[2 * i + 1])
+    around = [F.count(F.lit(1)).alias("n"), *[
+        F.struct(F.count_if(x < low(i)).alias("below"), F.max(F.when(x < low(i), x)).alias("prev"),
+                 F.min(F.when(x > high(i), x)).alias("next")).alias(f"_a{i}") for i in range(m)]]
+    around = rows.groupBy(*g).agg(*around) if g else rows.agg(*around).filter("n > 0")
 
-    blocks = indexed.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_start"))
-    w = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("_pid")
-    blocks = blocks.select("_pid", *g, "_c", "_start",
-                           F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                      F.lit(0)).alias("_before"))
+    inside = rows.select(*g, "_x", F.explode(F.filter(F.array(*[
+        F.when((x >= low(i)) & (x <= high(i)), F.lit(i)) for i in range(m)]), lambda i: i.isNotNull())).alias("prob_idx"))
+    counts = inside.groupBy(*g, "prob_idx", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    line = Window.partitionBy(*g, "prob_idx").orderBy("_x")
+    placed = counts.withColumn("_end", F.sum("_c").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    values = placed.groupBy(*g, "prob_idx").agg(F.array_sort(F.collect_list(F.struct("_end", "_x"))).alias("_inside"))
 
-    sizes = blocks.groupBy(*g).agg(F.sum("_c").alias("n")) if g else blocks.agg(F.sum("_c").alias("n"))
-    prob_items = F.array(*[F.struct(F.lit(i).alias("prob_idx"), F.lit(float(p)).alias("prob"))
-                           for i, p in enumerate(probs)])
-    targets = (sizes.select(*g, "n", F.explode(prob_items).alias("_p"))
-               .select(*g, "n", "_p.prob_idx", "_p.prob", ((F.col("n") - 1) * F.col("_p.prob")).alias("_h")))
-    ends = targets.select(*g, "n", "prob_idx", "prob", "_h", F.explode(F.array(
-        F.struct(F.lit(0).alias("_end"), F.floor("_h").alias("_rank")),
-        F.struct(F.lit(1).alias("_end"), F.ceil("_h").alias("_rank")))).alias("_e")) \
-        .select(*g, "n", "prob_idx", "prob", "_h", "_e._end", "_e._rank")
+    probabilities = F.array(*[F.struct(F.lit(i).alias("prob_idx"), F.lit(float(p)).alias("prob"), F.col(f"_a{i}").alias("a"))
+                              for i, p in enumerate(probs)])
+    targets = around.select(*g, "n", F.explode(probabilities).alias("_p")).select(*g, "n", "_p.prob_idx", "_p.prob", "_p.a.*")
+    found = targets.join(values, [*g, "prob_idx"], "left")
+    h = (F.col("n") - 1) * F.col("prob")
 
-    # Locate each target rank on the small block table (a range join: each rank
-    # falls in exactly one block), giving the row number it has there.
-    b = blocks.select(*[F.col(c).alias(f"_b_{c}") for c in g], "_c", "_start", "_before")
-    cond = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
-    for c in g:
-        cond = cond & (F.col(c) == F.col(f"_b_{c}"))
-    located = ends.join(b, cond).select(*g, "n", "prob_idx", "prob", "_h", "_end",
-                                        (F.col("_start") + F.col("_rank") - F.col("_before")).alias("_mid"))
+    def at(rank):
+        """The value at a rank: before the bracket, after it, or the first inside whose running count exceeds it."""
+        own = F.filter("_inside", lambda v: v["_end"] > rank - F.col("below"))
+        return (F.when(rank < F.col("below"), F.col("prev"))
+                .when(F.size(F.coalesce(own, F.array().cast("array<struct<_end:bigint,_x:double>>"))) > 0, F.get(own, F.lit(0))["_x"])
+                .otherwise(F.col("next")))
 
-    # One pass over the sorted values: keep the few rows whose number was located.
-    picked = indexed.select("_mid", "_x").join(F.broadcast(located), "_mid")
-    out = picked.groupBy(*g, "prob_idx", "prob", "n").agg(
-        F.first("_h").alias("_h"),
-        F.max(F.when(F.col("_end") == 0, F.col("_x"))).alias("_xlo"),
-        F.max(F.when(F.col("_end") == 1, F.col("_x"))).alias("_xhi"))
-    frac = F.col("_h") - F.floor("_h")
-    out = out.select(
+    found = found.select(*g, "prob_idx", "prob", "n", at(F.floor(h)).alias("_lo"), at(F.ceil(h)).alias("_hi"))
+    frac = h - F.floor(h)
+    return found.select(
         *g, "prob_idx", "prob", "n",
-        F.when(F.col("_xlo") == F.col("_xhi"), F.col("_xlo"))
-        .otherwise((F.lit(1.0) - frac) * F.col("_xlo") + frac * F.col("_xhi")).alias("quantile"))
-    return out
+        F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
+        .otherwise((F.lit(1.0) - frac) * F.col("_lo") + frac * F.col("_hi")).alias("quantile"))

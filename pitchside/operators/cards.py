@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.functions.exprs import safe_div
+from pitchside.functions.joins import salted_lookup
+from pitchside.operators.filters import lookup_players
 
 
-def radar(active: DataFrame, ids=None, variant: str = "v2") -> DataFrame:
+def radar(active: DataFrame, ids=None, variant: str = "v2", names=None) -> DataFrame:
     """Radar values per player.
 
     v2: goals, assists, clean sheets, points, minutes each as % of the table
@@ -21,8 +23,7 @@ def radar(active: DataFrame, ids=None, variant: str = "v2") -> DataFrame:
     top = {c: active.select(F.max(c)).scalar()
            for c in ("goals_scored", "assists", "clean_sheets", "total_points", "minutes")}
     df = active
-    if ids is not None:
-        df = df.filter(F.col("id").isin([int(i) for i in ids]))
+    df = lookup_players(df, ids, names)
     if variant == "v2":
         rows = [(label, safe_div(c, top[c]) * F.lit(100.0)) for label, c in K.RADAR_V2]
         rows.append(("Form", F.col("form_numeric") / F.lit(10.0) * F.lit(100.0)))
@@ -46,16 +47,20 @@ def radar(active: DataFrame, ids=None, variant: str = "v2") -> DataFrame:
 def compare(active: DataFrame, pairs: DataFrame, variant: str = "v2") -> DataFrame:
     """Side-by-side stats for each (player1_id, player2_id) pair.
 
-    Both sides are looked up by id with equi-joins; a player appearing in many
-    pairs is a hot join key that AQE's skew-join handling splits.
+    Both sides are looked up by id with equi-joins. A player who is the second
+    of very many pairs is a hot key, so that side is first reduced to the
+    players it names and then looked up with salt.
     """
     if variant not in ("v1", "v2"):
         raise ValueError(f"unknown variant {variant!r}")
     stats = K.COMPARE_V2 if variant == "v2" else K.COMPARE_V1
     cols = sorted({c for _, c, _ in stats})
     p1 = active.select(F.col("id").alias("player1_id"), *[F.col(c).alias(f"p1_{c}") for c in cols])
-    p2 = active.select(F.col("id").alias("player2_id"), *[F.col(c).alias(f"p2_{c}") for c in cols])
-    joined = pairs.select("player1_id", "player2_id").join(p1, "player1_id").join(p2, "player2_id")
+    p2 = active.select(F.col("id").alias("_id2"), *[F.col(c).alias(f"p2_{c}") for c in cols])
+    named = pairs.select(F.col("player2_id").alias("_id2")).distinct()
+    first = pairs.select("player1_id", "player2_id").join(p1, "player1_id")
+    joined = salted_lookup(first, p2.join(named, "_id2", "left_semi"), "player2_id", "_id2", "player1_id")
+    joined = joined.filter(F.col("_id2").isNotNull())
     items = F.array(*[
         F.struct(F.lit(i + 1).alias("ord"), F.lit(label).alias("stat"),
                  (F.col(f"p1_{c}").cast("double") / F.lit(div)).alias("player1"),

@@ -47,6 +47,29 @@ def classify_rules(features: DataFrame, ids=None) -> DataFrame:
         F.col("_score").alias("score"))
 
 
+def evaluate(predictions: DataFrame) -> DataFrame:
+    """(model, metric, value): accuracy, and precision and recall of the class "High" (label 1).
+
+    ``predictions``: (model, label, prediction) with labels 0 and 1. One confusion count per model in one aggregate. A ratio
+    over nothing (no positive said, or none there) is NULL.
+    """
+    n = predictions.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("prediction")).alias("ok"),
+        F.count_if((F.col("label") == 1) & (F.col("prediction") == 1)).alias("tp"),
+        F.count_if(F.col("prediction") == 1).alias("said"), F.count_if(F.col("label") == 1).alias("there"))
+    ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in (
+        ("accuracy", ratio("ok", "n")), ("precision", ratio("tp", "said")), ("recall", ratio("tp", "there")))])
+    return n.select("model", F.explode(rows).alias("r")).select("model", "r.metric", "r.value")
+
+
+def rule_predictions(features: DataFrame) -> DataFrame:
+    """(id, model, label, prediction) of the rule: "High" as 1, against the table's own high performers."""
+    truth = features.select("id", (F.col("is_high_performer") == "High").cast("double").alias("label"))
+    said = classify_rules(features).select("id", "model", (F.col("prediction") == "High").cast("double").alias("prediction"))
+    return said.join(truth, "id").select("id", "model", "label", "prediction")
+
+
 def train_classifiers(features: DataFrame, seed: int = 42, test_fraction: float = 0.3,
                       max_iter: int = 10, num_trees: int = 20,
                       models: tuple[str, ...] = ("SVM", "Random Forest", "XGBoost")) -> dict[str, DataFrame]:
@@ -59,29 +82,26 @@ def train_classifiers(features: DataFrame, seed: int = 42, test_fraction: float
     inherited from the feature definitions).
     """
     from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
 
     spark = features.sparkSession
     data = features.select("id", *MODEL_FEATURES,
                            (F.col("is_high_performer") == "High").cast("double").alias("label"))
     data = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features").transform(data)
-    train, test = data.randomSplit([1.0 - test_fraction, test_fraction], seed=seed)
+    # The split depends on the id alone, not on how the rows are laid out.
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    train, test = data.filter(place >= test_fraction), data.filter(place < test_fraction)
     estimators = {
         "SVM": LinearSVC(maxIter=max_iter, regParam=0.01),
         "Random Forest": RandomForestClassifier(numTrees=num_trees, seed=seed),
         "XGBoost": GBTClassifier(maxIter=max_iter, seed=seed),
     }
-    preds, metric_rows, importances = None, [], None
+    preds, importances = None, None
     for name in models:
         estimator = estimators[name]
         fitted = estimator.fit(train)
         p = fitted.transform(test).select("id", F.lit(name).alias("model"), "label", "prediction")
         preds = p if preds is None else preds.unionByName(p)
-        for metric, evaluator_metric in (("accuracy", "accuracy"), ("precision", "weightedPrecision"),
-                                         ("recall", "weightedRecall")):
-            value = MulticlassClassificationEvaluator(metricName=evaluator_metric).evaluate(p)
-            metric_rows.append((name, metric, float(value)))
         if name == "Random Forest":
             imp = fitted.featureImportances.toArray().tolist()
             # Ten numbers from the fitted model; chart_order is the chart's ascending order.
@@ -89,5 +109,4 @@ def train_classifiers(features: DataFrame, seed: int = 42, test_fraction: float
             importances = spark.createDataFrame(
                 [(f, float(v) * 100.0, i + 1) for i, (f, v) in enumerate(ranked)],
                 "feature string, importance double, chart_order int")
-    metrics = spark.createDataFrame(metric_rows, "model string, metric string, value double")
-    return {"predictions": preds, "metrics": metrics, "importances": importances}
+    return {"predictions": preds, "metrics": evaluate(preds), "importances": importances}

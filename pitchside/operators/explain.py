@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
+from pitchside.operators.filters import lookup_players
 
 
-def decision_path(features: DataFrame, ids=None) -> DataFrame:
+def decision_path(features: DataFrame, ids=None, names=None) -> DataFrame:
     """Six steps per player: table mean, + momentum*2, + efficiency*1.5, + form_weight*0.8,
     * position multiplier, then the player's actual points (labelled as such). Each rounded to 1 place.
 
     The mean is over the whole feature table (a scalar subquery), before any id filter.
     """
     base = features.select(F.avg("total_points")).scalar()
-    df = features
-    if ids is not None:
-        df = df.filter(F.col("id").isin([int(i) for i in ids]))
+    df = lookup_players(features, ids, names)
     w = K.DECISION_WEIGHTS
     s1 = base
     s2 = s1 + F.col("momentum") * F.lit(w["momentum"])

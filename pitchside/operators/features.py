@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.functions.exprs import lookup, r_ifelse, r_pmin, safe_div
+from pitchside.functions.joins import salted_lookup
 from pitchside.functions.quantiles import exact_quantiles
 
 FEATURE_COLUMNS = [
@@ -23,8 +24,8 @@ def table_scalars(active: DataFrame, approx_quantile: bool = False) -> tuple[Col
     """The two table-wide scalars the features use, as scalar subqueries ``(q75, pooled_sd)``.
 
     * ``q75``: 75th percentile of total_points, interpolated (R type 7), from
-      the distributed exact quantile (range partitioned, no group gathered in
-      one task); ``approx_quantile=True`` uses the mergeable sketch instead.
+      the distributed exact quantile (a sketch's bracket, then exact counts);
+      ``approx_quantile=True`` uses the mergeable sketch alone.
     * ``pooled_sd``: sample sd of goals, assists and clean sheets taken as one
       pooled vector (R's ``sd(c(a, b, c))`` inside an ungrouped mutate is one
       scalar for the table). NULL when any of them is NULL, as in R.
@@ -36,7 +37,7 @@ def table_scalars(active: DataFrame, approx_quantile: bool = False) -> tuple[Col
         q = active.select(F.percentile_approx("total_points", K.HIGH_PERFORMER_QUANTILE, 100_000)
                           .cast("double"))
     else:
-        q = (exact_quantiles(active, "total_points", [K.HIGH_PERFORMER_QUANTILE], tiebreak_col="id")
+        q = (exact_quantiles(active, "total_points", [K.HIGH_PERFORMER_QUANTILE])
              .select(F.max("quantile")))
     pooled = F.explode(F.array("goals_scored", "assists", "clean_sheets")).alias("_v")
     sd = active.select(pooled).select(F.when(F.count("_v") == F.count(F.lit(1)), F.stddev_samp("_v")))
@@ -55,12 +56,13 @@ def team_means(active: DataFrame) -> DataFrame:
             .groupBy(F.col("team").alias("_t")).agg(F.avg("total_points").alias("_team_avg")))
 
 
-def build_features(active: DataFrame, approx_quantile: bool = False) -> DataFrame:
+def build_features(active: DataFrame, approx_quantile: bool = False, means: DataFrame | None = None) -> DataFrame:
+    """The feature table; ``means`` may pass in ``team_means(active)`` already staged."""
     minutes = F.col("minutes")
     per_90 = lambda c: r_ifelse(minutes > 0, safe_div(F.col(c) * 90, minutes), F.lit(0.0))
 
-    # Team mean joined back by key: the aggregated side has one row per team.
-    df = active.join(team_means(active), active["team"] == F.col("_t"), "left")
+    # Team mean joined back by key, salted: the aggregated side has one row per team, and teams are hot keys.
+    df = salted_lookup(active, team_means(active) if means is None else means, "team", "_t", "id")
     q75, pooled_sd = table_scalars(active, approx_quantile)
 
     out = df.select(

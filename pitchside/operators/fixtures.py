@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
+from pitchside.functions.joins import salted_lookup
 from pitchside.sources import schemas
-from pitchside.sources.stage import stage
 
 
 def empty_upcoming(spark: SparkSession) -> DataFrame:
@@ -73,18 +73,17 @@ def first_fixture_per_team_week(upcoming: DataFrame) -> DataFrame:
         F.min(F.struct("id", "leg", "effective_difficulty")).alias("_first"))
 
 
-def first_fixture_per_team(upcoming: DataFrame, gameweek: int | None = None) -> DataFrame:
+def first_fixture_per_team(upcoming: DataFrame, gameweek: int | None = None, per_week: DataFrame | None = None) -> DataFrame:
     """For the target gameweek (default: the first upcoming one), each team's first fixture.
 
     With a given gameweek the filter is pushed below the aggregate, so only
     that week's fixtures are aggregated. The default gameweek needs the
-    minimum over all fixtures first: the (team, gameweek) aggregate, one row
-    per team and week, is written once and both the minimum and the filter
-    read it, so the fixtures themselves are read in a single pass.
+    minimum over all fixtures first; a caller that has staged the (team,
+    gameweek) aggregate, one row per team and week, passes it as ``per_week``,
+    and both the minimum and the filter read it.
     """
-    per_week = first_fixture_per_team_week(upcoming)
-    if gameweek is None:
-        per_week = stage(per_week, "fixtures-per-week")
+    if per_week is None:
+        per_week = first_fixture_per_team_week(upcoming)
     first = per_week.filter(F.col("gameweek") == target_gameweek(per_week, gameweek))
     return first.select(F.col("team_id").alias("_team_id"),
                         F.col("_first.id").alias("fixture_id"),
@@ -93,19 +92,22 @@ def first_fixture_per_team(upcoming: DataFrame, gameweek: int | None = None) ->
 
 
 def resolve_difficulty(players: DataFrame, upcoming: DataFrame | None, gameweek: int | None = None,
-                       manual: int = K.DEFAULT_MANUAL_DIFFICULTY) -> DataFrame:
+                       manual: int = K.DEFAULT_MANUAL_DIFFICULTY, per_week: DataFrame | None = None) -> DataFrame:
     """Adds ``fixture_id``, ``gameweek`` and ``fixture_difficulty`` to every player.
 
     A player whose team plays in the gameweek gets that fixture's difficulty
-    (home: d, away: 6 - d); otherwise, or with no fixtures or gameweek 0,
-    the manual difficulty.
+    (home: d, away: 6 - d), NULL if the fixture has none; otherwise, or with no
+    fixtures or gameweek 0, the manual difficulty. ``per_week`` may pass in
+    ``first_fixture_per_team_week(upcoming)`` already staged. The few teams are
+    hot keys, so the match is salted by player.
     """
     manual_col = F.lit(int(manual)).cast("int")
     if upcoming is None or gameweek == 0:
         return players.select("*", F.lit(None).cast("long").alias("fixture_id"),
                               F.lit(None).cast("int").alias("gameweek"),
                               manual_col.alias("fixture_difficulty"))
-    per_team = first_fixture_per_team(upcoming, gameweek)
-    joined = players.join(per_team, players["team"] == per_team["_team_id"], "left")
+    per_team = first_fixture_per_team(upcoming, gameweek, per_week)
+    joined = salted_lookup(players, per_team, "team", "_team_id", "id")
     return joined.select(*[F.col(c) for c in players.columns], "fixture_id", "gameweek",
-                         F.coalesce(F.col("_fixture_difficulty"), manual_col).alias("fixture_difficulty"))
+                         F.when(F.col("fixture_id").isNotNull(), F.col("_fixture_difficulty"))
+                         .otherwise(manual_col).alias("fixture_difficulty"))

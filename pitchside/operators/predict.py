@@ -27,14 +27,14 @@ def _raw_prediction(difficulty: F.Column) -> F.Column:
 
 
 def predict(active: DataFrame, upcoming: DataFrame | None = None, gameweek: int | None = None,
-            manual: int = K.DEFAULT_MANUAL_DIFFICULTY) -> DataFrame:
+            manual: int = K.DEFAULT_MANUAL_DIFFICULTY, per_week: DataFrame | None = None) -> DataFrame:
     """Predicted points, with band, for every active player in one job.
 
     With ``upcoming`` the difficulty comes from each player's fixture in the
     gameweek (default: the first upcoming one); without it (manual mode) every
     player uses ``manual``.
     """
-    resolved = resolve_difficulty(active, upcoming, gameweek, manual)
+    resolved = resolve_difficulty(active, upcoming, gameweek, manual, per_week)
     x = _raw_prediction(F.col("fixture_difficulty"))
     return resolved.select(
         "id", "full_name", "TEAMS", "position", "form_numeric", "points_per_game_numeric",
@@ -64,7 +64,7 @@ def prediction_card(predictions: DataFrame) -> DataFrame:
         ("Assists", num_text("assists", 0)),
         ("Minutes Played", F.format_number(F.col("minutes"), 0)),
         ("Value Rating", num_text("value", 2)),
-        ("Fixture Difficulty", F.concat(d.cast("string"), F.lit("/5 "), label)),
+        ("Fixture Difficulty", F.concat(F.coalesce(d.cast("string"), F.lit("NA")), F.lit("/5 "), label)),
         ("Predicted Points", pts("predicted_points")),
         ("Prediction Range", F.when(F.col("predicted_low").isNull() | F.col("predicted_high").isNull(), F.lit("N/A"))
          .otherwise(F.concat(num_text("predicted_low", 1), F.lit(" - "), num_text("predicted_high", 1), F.lit(" pts")))),

@@ -63,7 +63,7 @@ def feature_correlation(features: DataFrame, cols: list[str] | None = None) -> D
 def _title(feature: F.Column) -> F.Column:
     """Chart label: first letter upper-cased, underscores to spaces ("goals_per_90" -> "Goals per 90")."""
     spaced = F.regexp_replace(feature, "_", " ")
-    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 1 << 20))
+    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substr(spaced, F.lit(2)))
 
 
 def feature_histogram(features: DataFrame, cols: list[str] | None = None, bins: int = K.HISTOGRAM_BINS) -> DataFrame:
@@ -107,8 +107,7 @@ def feature_box(features: DataFrame, cols: list[str] | None = None, approx: bool
         quart = quart.select("feature_ord", "feature", "n", *[F.col("_q")[i].cast("double").alias(name)
                                                               for i, name in enumerate(("q1", "median", "q3"))])
     else:
-        tiebreak = "id" if "id" in long.columns else None
-        q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["feature_ord", "feature"], tiebreak)
+        q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["feature_ord", "feature"])
         quart = q.groupBy("feature_ord", "feature").agg(
             F.max("n").alias("n"),
             *[F.max(F.when(F.col("prob_idx") == i, F.col("quantile"))).alias(name)

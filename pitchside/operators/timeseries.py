@@ -1,8 +1,8 @@
 """Rolling form per player over a dense week spine.
 
 Plan: weekly points are summed per (player, week) with map-side combine; each
-player's weeks 1..N are then gathered into one row (at most N entries, the
-spine length, so the group is bounded) and exploded densely with zero fill.
+player's weeks are then gathered into one row (at most N entries, the spine
+length, N being the last week of the data, so the group is bounded) and exploded densely with zero fill.
 The rolling windows are partitioned by player, which the gather already
 clustered on, so they add no shuffle, and each window partition holds exactly
 N rows regardless of how many raw rows a player had.
@@ -10,25 +10,39 @@ N rows regardless of how many raw rows a player had.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 
 
-def dense_weeks(player_points: DataFrame, n_weeks: int = K.SEASON_WEEKS) -> DataFrame:
-    """``(player_id, week, points)`` for weeks 1..n_weeks, zero where a player has no row."""
-    weekly = (player_points
-              .filter((F.col("week") >= 1) & (F.col("week") <= n_weeks))
+def valid_week() -> Column:
+    return F.col("week").isNotNull() & (F.col("week") >= 1)
+
+
+def invalid_weeks(player_points: DataFrame) -> DataFrame:
+    """The rows that no spine can hold: a week below 1 or none. Report them; ``dense_weeks`` leaves their points out."""
+    return player_points.filter(~F.coalesce(valid_week(), F.lit(False)))
+
+
+def dense_weeks(player_points: DataFrame, n_weeks: int | None = None) -> DataFrame:
+    """``(player_id, week, points)`` for every week from 1 to the last of the data, zero where a player has no row.
+
+    ``n_weeks`` can lengthen the spine, never cut it. Every player of the input is kept, also one whose only rows are
+    ``invalid_weeks``.
+    """
+    last = player_points.select(F.max(F.when(valid_week(), F.col("week")))).scalar()
+    end = F.greatest(F.coalesce(last, F.lit(0)), F.lit(int(n_weeks or 0)))
+    weekly = (player_points.withColumn("week", F.when(valid_week(), F.col("week")))
               .groupBy("player_id", "week").agg(F.sum("points").alias("points")))
     per_player = weekly.groupBy("player_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("week", "points"))).alias("_wk"))
-    spine = per_player.select("player_id", "_wk", F.explode(F.sequence(F.lit(1), F.lit(n_weeks))).alias("week"))
+        F.map_from_entries(F.collect_list(F.when(F.col("week").isNotNull(), F.struct("week", "points")))).alias("_wk"))
+    spine = per_player.select("player_id", "_wk", F.explode(F.when(end >= 1, F.sequence(F.lit(1), end))).alias("week"))
     return spine.select("player_id", F.col("week").cast("int").alias("week"),
                         F.coalesce(F.try_element_at("_wk", F.col("week")), F.lit(0)).cast("long").alias("points"))
 
 
-def rolling_form(player_points: DataFrame, n_weeks: int = K.SEASON_WEEKS,
+def rolling_form(player_points: DataFrame, n_weeks: int | None = None,
                  short: int = K.ROLLING_SHORT, long: int = K.ROLLING_LONG) -> DataFrame:
     """3- and 5-week moving averages, 5-week volatility (sample sd) and momentum.
 
@@ -48,7 +62,7 @@ def rolling_form(player_points: DataFrame, n_weeks: int = K.SEASON_WEEKS,
     )
 
 
-def momentum_by_differences(player_points: DataFrame, n_weeks: int = K.SEASON_WEEKS) -> DataFrame:
+def momentum_by_differences(player_points: DataFrame, n_weeks: int | None = None) -> DataFrame:
     """Momentum the long way (lag, then running sum); must equal ``rolling_form``'s momentum."""
     dense = dense_weeks(player_points, n_weeks)
     w = Window.partitionBy("player_id").orderBy("week")

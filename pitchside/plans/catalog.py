@@ -19,16 +19,26 @@ from pitchside.functions import constants as K
 from pitchside.operators import (aggregates, cards, classify, explain, features, filters, fixtures, players,
                                  predict, rankings, stats, timeseries)
 from pitchside.plans.oracle import CHECK_DIGITS
-from pitchside.sources import json_docs, testdata
-from pitchside.sources.stage import stage
+from pitchside.sources import json_docs, sinks, testdata
+from pitchside.sources.stage import Staging
 
 
 class League:
     """The league tables for one scale-factor directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, lazy: bool = False):
+        """``lazy``: derived tables stay plans, for a query that reads them once, so its columns prune every scan."""
         self.spark = spark
         self.sf_dir = sf_dir
+        self._staging = Staging()
+        self._lazy = lazy
+
+    def close(self) -> None:
+        """Remove the tables this league has staged; its queries' results can no longer be read."""
+        self._staging.close()
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        return df if self._lazy else self._staging.stage(df, name)
 
     # ---- inputs (stand-in tables) -------------------------------------------------
     @cached_property
@@ -55,12 +65,11 @@ class League:
     @cached_property
     def players(self) -> DataFrame:
         """Staged once: every scalar branch (widths, quantiles, team means) re-reads it."""
-        return stage(players.build_players(self.players_raw, self.teams, self.positions), "players")
+        return self._stage(players.build_players(self.players_raw, self.teams, self.positions), "players")
 
     @cached_property
     def players_v1(self) -> DataFrame:
-        return stage(players.build_players(self.players_raw, self.teams, self.positions, variant="v1"),
-                     "players_v1")
+        return self._stage(players.build_players(self.players_raw, self.teams, self.positions, variant="v1"), "players_v1")
 
     @cached_property
     def active(self) -> DataFrame:
@@ -73,12 +82,49 @@ class League:
     @cached_property
     def features(self) -> DataFrame:
         """Staged once: correlation, histograms, box statistics and explanations re-read it."""
-        return stage(features.build_features(self.active), "features")
+        return self._stage(features.build_features(self.active, means=self.team_means), "features")
+
+    @cached_property
+    def team_means(self) -> DataFrame:
+        """Staged: one row per team, so the planner knows its true size."""
+        return self._stage(features.team_means(self.active), "team-means")
 
     @cached_property
     def upcoming(self) -> DataFrame:
         return fixtures.upcoming_fixtures(self.fixtures_raw, self.teams, ordered=False)
 
+    @cached_property
+    def fixtures_per_week(self) -> DataFrame:
+        """Staged: one row per team and week; the default gameweek's minimum and the match both read it."""
+        return self._stage(fixtures.first_fixture_per_team_week(self.upcoming), "fixtures-per-week")
+
+    # ---- stand-in sources: the same tables through the landed-document and publishing paths -------
+    def _folder(self, name: str) -> str:
+        return self._staging.folder(self.spark, name)
+
+    @cached_property
+    def landed(self) -> str:
+        """A landing folder with two snapshots; the older one has every player's points changed."""
+        path = self._folder("landing")
+        older = self.players_raw.withColumn("total_points", F.col("total_points") + 7)
+        json_docs.land_bootstrap(older, self.teams, self.positions, f"{path}/snapshot-1")
+        json_docs.land_bootstrap(self.players_raw, self.teams, self.positions, f"{path}/snapshot-2")
+        return path
+
+    def players_from_documents(self) -> DataFrame:
+        raw, teams, positions = json_docs.read_bootstrap(self.spark, f"{self.landed}/snapshot-*")
+        return players.build_players(raw, teams, positions)
+
+    def fixtures_from_document(self) -> DataFrame:
+        path = self._folder("fixtures-document")
+        json_docs.land_fixtures(self.fixtures_raw, path)
+        return json_docs.load_upcoming(self.spark, path, self.teams)
+
+    def published_players(self) -> DataFrame:
+        path = self._folder("published")
+        sinks.publish(self.players, path)
+        return self.spark.read.parquet(path)
+
 
 class LandedLeague(League):
     """The same tables from landed documents: bootstrap snapshots and a fixtures list.
@@ -132,9 +178,10 @@ def best_at_position_pairs(active: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("position").orderBy(F.desc("total_points"), F.asc("id"))
     best = (active.select("position", "id", "total_points").withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= 1).select("position", F.col("id").alias("player2_id")))
-    return active.select("position", F.col("id").alias("player1_id")).join(F.broadcast(best), "position") \
-        .select("player1_id", "player2_id")
+            .filter(F.col("_rn") <= 1).select(F.col("position").alias("_pos"), F.col("id").alias("player2_id")))
+    # v1 keeps players without a position; they are compared among themselves.
+    return active.select("position", F.col("id").alias("player1_id")) \
+        .join(F.broadcast(best), F.col("position").eqNullSafe(F.col("_pos"))).select("player1_id", "player2_id")
 
 
 def _players_cols(df: DataFrame) -> DataFrame:
@@ -190,20 +237,40 @@ QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "features": lambda L: L.features,
     # fixtures and prediction
     "upcoming_fixtures": lambda L: fixtures.upcoming_fixtures(L.fixtures_raw, L.teams),
-    "fixture_difficulty": lambda L: fixtures.resolve_difficulty(L.active, L.upcoming).select(
+    "fixture_difficulty": lambda L: fixtures.resolve_difficulty(L.active, L.upcoming, per_week=L.fixtures_per_week).select(
         "id", "team", "fixture_id", "gameweek", "fixture_difficulty"),
-    "predict": lambda L: predict.predict(L.active, L.upcoming),
+    "predict": lambda L: predict.predict(L.active, L.upcoming, per_week=L.fixtures_per_week),
+    "predict_gameweek": lambda L: predict.predict(L.active, L.upcoming, gameweek=20),
+    "predict_no_fixtures": lambda L: predict.predict(L.active, json_docs.load_upcoming(L.spark, L.landed + "/no-fixtures.json", L.teams)),
     "predict_manual": lambda L: predict.predict(L.active, None, manual=2),
-    "prediction_card": lambda L: predict.prediction_card(predict.predict(L.active, L.upcoming)),
+    "prediction_card": lambda L: predict.prediction_card(predict.predict(L.active, L.upcoming, per_week=L.fixtures_per_week)),
+    "prediction_card_manual": lambda L: predict.prediction_card(predict.predict(L.active, None, manual=2)),
     "difficulty_sweep": lambda L: predict.difficulty_sweep(L.active),
     # cards and explanations
     "radar": lambda L: cards.radar(L.active),
     "radar_v1": lambda L: cards.radar(L.active_v1, variant="v1"),
     "compare": lambda L: cards.compare(L.active, best_at_position_pairs(L.active)),
-    "compare_v1": lambda L: cards.compare(L.active, best_at_position_pairs(L.active), variant="v1"),
+    "compare_v1": lambda L: cards.compare(L.active_v1, best_at_position_pairs(L.active_v1), variant="v1"),
     "decision_path": lambda L: explain.decision_path(L.features),
     "local_contributions": lambda L: explain.local_contributions(L.features),
     "classify_rules": lambda L: classify.classify_rules(L.features),
+    "rule_metrics": lambda L: classify.evaluate(classify.rule_predictions(L.features)),
+    # lookups by name, and one without a match
+    "lookup_by_name": lambda L: _players_cols(filters.lookup_players(L.active, names=["Customer 000000007", "Customer 000000011"])),
+    "lookup_no_match": lambda L: _players_cols(filters.lookup_players(L.active, names=["Nobody"])),
+    "radar_one": lambda L: cards.radar(L.active, names=["Customer 000000007"]),
+    "decision_path_one": lambda L: explain.decision_path(L.features, names=["Customer 000000007"]),
+    # the older table's variants
+    "elite_squad_v1": lambda L: rankings.elite_squad(L.active_v1),
+    "position_distribution_v1": lambda L: aggregates.position_distribution(L.active_v1),
+    "top_teams_v1": lambda L: rankings.top_teams(L.active_v1),
+    "dashboard_filter_v1": lambda L: _players_v1_cols(
+        filters.dashboard_filter(L.active_v1, position="Midfielder", max_cost=12.0, min_minutes=700)),
+    "filter_domains_v1": lambda L: aggregates.filter_domains(L.active_v1),
+    # landed documents and the published table
+    "players_from_documents": lambda L: _players_cols(L.players_from_documents()),
+    "fixtures_from_document": lambda L: L.fixtures_from_document(),
+    "published_players": lambda L: _players_cols(L.published_players()),
     # statistics
     "feature_correlation": lambda L: stats.feature_correlation(L.features),
     "feature_histogram": lambda L: stats.feature_histogram(L.features),
@@ -222,7 +289,13 @@ def for_check(df: DataFrame, digits: int = CHECK_DIGITS) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
+#: Queries that read their table in one branch: nothing is staged for them, and their columns reach the scans.
+ONE_BRANCH = {"position_distribution", "position_domain", "team_domain", "filter_domains", "team_points", "top_teams", "team_squad",
+              "team_squad_one", "elite_squad", "upcoming_fixtures", "position_distribution_v1", "top_teams_v1", "filter_domains_v1",
+              "team_squad_v1", "elite_squad_v1", "predict_manual", "difficulty_sweep", "lookup_no_match"}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(fn):
-        return lambda spark, sf_dir: for_check(fn(League(spark, sf_dir)))
-    return {name: bind(fn) for name, fn in QUERIES.items()}
+    def bind(name, fn):
+        return lambda spark, sf_dir: for_check(fn(League(spark, sf_dir, lazy=name in ONE_BRANCH)))
+    return {name: bind(name, fn) for name, fn in QUERIES.items()}

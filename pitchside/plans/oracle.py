@@ -4,6 +4,9 @@ The driver registers the test tables as views; each query rebuilds the league
 tables with CTEs and computes the operator directly in SQL. Double columns
 are rounded to 6 places half-to-even on both sides (see ``plans.catalog``), so
 last-bit differences between the engines' summation orders do not count.
+
+FIXED VALUES: multipliers, weights, labels, quotas and thresholds below restate those of
+``functions/constants.py`` on purpose, so that the SQL does not depend on the plans.
 """
 
 from __future__ import annotations
@@ -183,7 +186,7 @@ fixtures_raw AS (
          o.o_orderstatus = 'F' AS finished,
          CAST(c.c_nationkey AS INTEGER) AS team_h,
          CAST((o.o_orderkey * 7 + 3) % 25 AS INTEGER) AS team_a,
-         CAST(1 + o.o_orderkey % 5 AS INTEGER) AS team_h_difficulty
+         CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE CAST(1 + o.o_orderkey % 5 AS INTEGER) END AS team_h_difficulty
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 ),
 upcoming AS (
@@ -200,7 +203,7 @@ cand AS (
   WHERE u.gameweek = (SELECT min(gameweek) FROM upcoming)
 ),
 resolved AS (
-  SELECT a.*, c.fid AS fixture_id, c.gameweek, CAST(coalesce(c.eff, 3) AS INTEGER) AS fixture_difficulty
+  SELECT a.*, c.fid AS fixture_id, c.gameweek, CAST(CASE WHEN c.fid IS NOT NULL THEN c.eff ELSE 3 END AS INTEGER) AS fixture_difficulty
   FROM active a LEFT JOIN cand c ON c.pid = a.id AND c.rn = 1
 )
 """
@@ -261,7 +264,7 @@ def _card_sql() -> str:
         ("Assists", _txt("assists", 0)),
         ("Minutes Played", "format('{:,.0f}', minutes)"),
         ("Value Rating", _txt("value", 2)),
-        ("Fixture Difficulty", f"CAST(fixture_difficulty AS VARCHAR) || '/5 ' || coalesce({labels}, 'NA')"),
+        ("Fixture Difficulty", f"coalesce(CAST(fixture_difficulty AS VARCHAR), 'NA') || '/5 ' || coalesce({labels}, 'NA')"),
         ("Predicted Points", f"CASE WHEN predicted_points IS NULL THEN 'N/A' "
                              f"ELSE {_txt('predicted_points', 1)} || ' pts' END"),
         ("Prediction Range", f"CASE WHEN predicted_low IS NULL OR predicted_high IS NULL THEN 'N/A' "
@@ -296,18 +299,19 @@ def _radar_v1() -> str:
 
 
 def _compare(variant: str) -> str:
+    table = "active" if variant == "v2" else "active_v1"
     stats = [("Goals", "goals_scored", 1), ("Assists", "assists", 1), ("Clean Sheets", "clean_sheets", 1),
              ("Total Points", "total_points", 1)]
     stats += [("Minutes/100", "minutes", 100), ("Form", "form_numeric", 1)] if variant == "v2" \
         else [("Minutes", "minutes", 1)]
     parts = [f"SELECT p.p1 AS player1_id, p.p2 AS player2_id, {i + 1} AS ord, '{label}' AS stat, "
              f"x.{c} / CAST({div} AS DOUBLE) AS player1, y.{c} / CAST({div} AS DOUBLE) AS player2 "
-             f"FROM pairs p JOIN active x ON x.id = p.p1 JOIN active y ON y.id = p.p2"
+             f"FROM pairs p JOIN {table} x ON x.id = p.p1 JOIN {table} y ON y.id = p.p2"
              for i, (label, c, div) in enumerate(stats)]
-    pairs = """best AS (
+    pairs = f"""best AS (
   SELECT position, id FROM (SELECT position, id, row_number() OVER (PARTITION BY position
-                                   ORDER BY total_points DESC, id) AS rn FROM active) WHERE rn = 1),
-pairs AS (SELECT a.id AS p1, b.id AS p2 FROM active a JOIN best b ON a.position = b.position)"""
+                                   ORDER BY total_points DESC, id) AS rn FROM {table}) WHERE rn = 1),
+pairs AS (SELECT a.id AS p1, b.id AS p2 FROM {table} a JOIN best b ON a.position IS NOT DISTINCT FROM b.position)"""
     return _with("\nUNION ALL\n".join(parts), pairs)
 
 
@@ -415,10 +419,11 @@ GROUP BY b.feature, b.n, b.q1, b.median, b.q3, b.iqr, b.lower_fence, b.upper_fen
 
 def _rolling() -> str:
     extra = """pp AS (
-  SELECT user_id AS player_id, CAST(day(ts) AS INTEGER) AS week,
+  SELECT user_id AS player_id, CAST(2 * day(ts) - 1 + CASE WHEN hour(ts) >= 12 THEN 1 ELSE 0 END AS INTEGER) AS week,
          CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS points
-  FROM events GROUP BY user_id, day(ts)),
-sp AS (SELECT p.player_id, CAST(w.range AS INTEGER) AS week FROM (SELECT DISTINCT player_id FROM pp) p, range(1, 31) w),
+  FROM events GROUP BY 1, 2),
+sp AS (SELECT p.player_id, CAST(w.range AS INTEGER) AS week FROM (SELECT DISTINCT player_id FROM pp) p,
+       range(1, (SELECT max(week) FROM pp) + 1) w),
 dn AS (SELECT s.player_id, s.week, CAST(coalesce(pp.points, 0) AS BIGINT) AS points
        FROM sp s LEFT JOIN pp ON pp.player_id = s.player_id AND pp.week = s.week)"""
     body = """SELECT player_id, week, points,
@@ -454,6 +459,34 @@ def _elite_union() -> str:
                  "assists, clean_sheets, cost_million, value FROM (" + "\nUNION ALL\n".join(parts) + ")")
 
 
+def _manual(difficulty: int) -> str:
+    return (f"man AS (SELECT a.*, CAST(NULL AS BIGINT) AS fixture_id, CAST(NULL AS INTEGER) AS gameweek, "
+            f"CAST({difficulty} AS INTEGER) AS fixture_difficulty FROM active a)")
+
+
+_MANUAL_2, _MANUAL_3 = _manual(2), _manual(3)
+_GAMEWEEK_3 = """cand_gw AS (
+  SELECT a.id AS pid, u.id AS fid, u.gameweek,
+         CASE WHEN u.team_h = a.team THEN u.difficulty ELSE 6 - u.difficulty END AS eff,
+         row_number() OVER (PARTITION BY a.id ORDER BY u.id) AS rn
+  FROM active a JOIN upcoming u ON (u.team_h = a.team OR u.team_a = a.team)
+  WHERE u.gameweek = 20),
+resolved_gw AS (
+  SELECT a.*, c.fid AS fixture_id, c.gameweek, CAST(CASE WHEN c.fid IS NOT NULL THEN c.eff ELSE 3 END AS INTEGER) AS fixture_difficulty
+  FROM active a LEFT JOIN cand_gw c ON c.pid = a.id AND c.rn = 1)"""
+
+
+def _rule_metrics() -> str:
+    return f"""WITH r AS (
+  SELECT c.model, c.prediction = 'High' AS said, f.is_high_performer = 'High' AS truth
+  FROM ({_classify()}) c JOIN ({_with("SELECT id, is_high_performer FROM features")}) f ON c.id = f.id),
+m AS (SELECT model, count(*) AS n, count(*) FILTER (WHERE said = truth) AS ok, count(*) FILTER (WHERE said AND truth) AS tp,
+             count(*) FILTER (WHERE said) AS p, count(*) FILTER (WHERE truth) AS t FROM r GROUP BY model)
+SELECT model, 'accuracy' AS metric, ok / nullif(n, 0)::DOUBLE AS value FROM m
+UNION ALL SELECT model, 'precision', tp / nullif(p, 0)::DOUBLE FROM m
+UNION ALL SELECT model, 'recall', tp / nullif(t, 0)::DOUBLE FROM m"""
+
+
 _SQL: dict[str, str] = {
     "players": _with(f"SELECT {_PLAYER_COLS} FROM players"),
     "players_v1": _with(f"SELECT {_PLAYER_V1_COLS} FROM players_v1"),
@@ -542,6 +575,32 @@ _SQL: dict[str, str] = {
     "feature_histogram": _histogram(),
     "feature_box": _box(),
     "rolling_form": _rolling(),
+    "elite_squad_v1": _with(
+        "SELECT id, full_name AS player, TEAMS AS team, position, total_points, goals_scored AS goals, assists, "
+        "clean_sheets, cost_million, value FROM (SELECT *, row_number() OVER (PARTITION BY position "
+        "ORDER BY total_points DESC, id) AS rn FROM active_v1) WHERE rn <= CASE position WHEN 'Goalkeeper' THEN 2 "
+        "WHEN 'Defender' THEN 5 WHEN 'Midfielder' THEN 5 WHEN 'Forward' THEN 3 ELSE 0 END"),
+    "position_distribution_v1": _with("SELECT position, count(*) AS count FROM active_v1 GROUP BY position"),
+    "top_teams_v1": _with(
+        "SELECT TEAMS, total_points, CAST(row_number() OVER (ORDER BY total_points, TEAMS DESC) AS INTEGER) "
+        "AS chart_order FROM (SELECT TEAMS, sum(total_points) AS total_points FROM active_v1 GROUP BY TEAMS "
+        "ORDER BY total_points DESC, TEAMS LIMIT 10)"),
+    "dashboard_filter_v1": _with(
+        f"SELECT {_PLAYER_V1_COLS} FROM active_v1 WHERE position = 'Midfielder' AND cost_million <= 12.0 AND minutes >= 700"),
+    "filter_domains_v1": _with("SELECT CAST(floor(min(cost_million)) AS BIGINT) AS cost_min, "
+                               "CAST(ceil(max(cost_million)) AS BIGINT) AS cost_max, max(minutes) AS minutes_max "
+                               "FROM active_v1"),
+    "lookup_by_name": _with(f"SELECT {_PLAYER_COLS} FROM active WHERE full_name IN ('Customer 000000007', 'Customer 000000011')"),
+    "lookup_no_match": _with(f"SELECT {_PLAYER_COLS} FROM active WHERE full_name = 'Nobody'"),
+    "radar_one": f"SELECT * FROM ({_with(_radar_v2())}) WHERE id = 7",
+    "decision_path_one": f"SELECT * FROM ({_decision_path()}) WHERE id = 7",
+    "predict_gameweek": _with("SELECT * FROM pred", _GAMEWEEK_3 + "," + _pred_sql("resolved_gw", "fixture_difficulty")),
+    "prediction_card_manual": _with(_card_sql(), _MANUAL_2 + "," + _pred_sql("man", "fixture_difficulty")),
+    "predict_no_fixtures": _with("SELECT * FROM pred", _MANUAL_3 + "," + _pred_sql("man", "fixture_difficulty")),
+    "players_from_documents": _with(f"SELECT {_PLAYER_COLS} FROM players"),
+    "fixtures_from_document": _with("SELECT id, gameweek, home_team, away_team, difficulty, team_h, team_a FROM upcoming"),
+    "published_players": _with(f"SELECT {_PLAYER_COLS} FROM players"),
+    "rule_metrics": _rule_metrics(),
 }
 
 
@@ -592,10 +651,22 @@ DOUBLE_COLUMNS = {
     'feature_correlation': ['corr'],
     'feature_histogram': ['bin_lo', 'bin_hi'],
     'feature_box': ['q1', 'median', 'q3', 'iqr', 'lower_fence', 'upper_fence', 'whisker_low', 'whisker_high'],
+    'elite_squad_v1': ['total_points', 'goals', 'assists', 'clean_sheets', 'cost_million', 'value'],
+    'top_teams_v1': ['total_points'],
+    'dashboard_filter_v1': ['cost_million', 'value', 'total_points', 'minutes'],
+    'filter_domains_v1': ['minutes_max'],
+    'radar_one': ['value'],
+    'decision_path_one': ['value'],
+    'rule_metrics': ['value'],
     'rolling_form': ['ma_short', 'ma_long', 'volatility', 'momentum'],
 }
 
 
+for _same, _as in (("lookup_by_name", "players"), ("lookup_no_match", "players"), ("players_from_documents", "players"),
+                   ("published_players", "players"), ("predict_gameweek", "predict"), ("predict_no_fixtures", "predict")):
+    DOUBLE_COLUMNS[_same] = DOUBLE_COLUMNS[_as]
+
+
 def _rounded(name: str, sql: str) -> str:
     cols = DOUBLE_COLUMNS.get(name, [])
     if not cols:

@@ -3,47 +3,77 @@
 The reference fetches both over HTTP at start-up; here they are files already
 landed in storage (one document per file; many snapshots are many files, read
 in parallel, one task per file since a JSON document cannot be split). Schemas
-are declared, never inferred.
+are declared, never inferred. Each source is parsed once and staged; its tables
+are read from the staged copy.
 """
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 
 from pitchside.operators.fixtures import empty_upcoming, upcoming_fixtures
 from pitchside.sources import schemas
+from pitchside.sources.stage import stage
 
+CORRUPT = "_corrupt"
 
-def _read_json(spark: SparkSession, schema, path: str) -> DataFrame | None:
-    """The reader checks the path eagerly; a missing path comes back as ``None``."""
+
+def _read_json(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame | None:
+    """Documents with their file and its time, unparsable text in CORRUPT; ``None`` for a missing path."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        docs = (spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
+                .option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path))
     except AnalysisException as err:
         if "PATH_NOT_FOUND" in str(err) or "Path does not exist" in str(err):
             return None
         raise
+    return docs.select(*schema.names, CORRUPT, F.struct(F.col("_metadata.file_modification_time").alias("time"),
+                                                        F.col("_metadata.file_path").alias("file")).alias("_landed"))
+
+
+def _latest(docs: DataFrame, column: str) -> DataFrame:
+    """One row per id, from the document landed last (file time, then file name)."""
+    rows = docs.select("_landed", F.posexplode(column).alias("_at", "_e")).filter(F.col("_e.id").isNotNull())
+    last = rows.groupBy(F.col("_e.id").alias("_id")).agg(F.max_by("_e", F.struct("_landed", "_at")).alias("_e"))
+    return last.select("_e.*")
 
 
 def read_bootstrap(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(players_raw, teams, positions)`` from bootstrap document(s) at ``path``.
+    """``(players_raw, teams, positions)`` from the bootstrap document(s) at ``path``, each id as it landed last.
 
-    Missing players data is fatal (the reference stops): a missing path raises
-    before any plan is built.
+    A missing, empty or malformed players source is fatal (the reference stops): a missing path, a document that is
+    no JSON of this shape, or no document with players raises.
     """
-    doc = _read_json(spark, schemas.BOOTSTRAP, path)
-    if doc is None:
+    docs = _read_json(spark, schemas.BOOTSTRAP, path)
+    if docs is None:
         raise FileNotFoundError(f"players source not found: {path}")
-    players = doc.select(F.explode("elements").alias("e")).select("e.*")
-    teams = doc.select(F.explode("teams").alias("t")).select("t.*").dropDuplicates(["id"])
-    positions = doc.select(F.explode("element_types").alias("p")).select("p.*").dropDuplicates(["id"])
-    return players, teams, positions
+    docs = stage(docs, "bootstrap")
+    bad = [r.file for r in docs.filter(F.col(CORRUPT).isNotNull()).select("_landed.file").limit(5).collect()]
+    if bad:
+        raise ValueError(f"malformed players document(s): {bad}")
+    if docs.filter(F.size("elements") > 0).isEmpty():
+        raise ValueError(f"no document with players at {path}")
+    return _latest(docs, "elements"), _latest(docs, "teams"), _latest(docs, "element_types")
 
 
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame | None:
-    """Fixture rows from a JSON array document; ``None`` when the source is missing."""
-    return _read_json(spark, schemas.FIXTURES_RAW, path)
+    """Fixture rows from JSON array document(s); ``None`` when the source is missing.
+
+    Malformed documents are reported by a warning and give no rows (the reference goes on without fixtures).
+    """
+    docs = _read_json(spark, schemas.FIXTURES_RAW, path)
+    if docs is None:
+        return None
+    docs = stage(docs, "fixtures")
+    bad = [r.file for r in docs.filter(F.col(CORRUPT).isNotNull()).select("_landed.file").distinct().limit(5).collect()]
+    if bad:
+        warnings.warn(f"malformed fixtures document(s) left out: {bad}", stacklevel=2)
+    return docs.filter(F.col(CORRUPT).isNull()).select(*schemas.FIXTURES_RAW.names)
 
 
 def load_upcoming(spark: SparkSession, path: str, teams: DataFrame) -> DataFrame:
@@ -58,16 +88,32 @@ def load_upcoming(spark: SparkSession, path: str, teams: DataFrame) -> DataFrame
     return upcoming_fixtures(raw, teams)
 
 
-def parse_elements(text: DataFrame, column: str = "value") -> DataFrame:
+def parse_elements(text: DataFrame, column: str = "value", mode: str = "FAILFAST") -> DataFrame:
     """Player objects from JSON text, one object per row (JSON lines), with the declared schema.
 
     The per-row form of the bootstrap source: splittable, parsed by
-    ``from_json`` in the JVM; malformed text yields a row of NULLs, which the
-    player table's NULL filter then drops.
+    ``from_json`` in the JVM. Malformed text fails the job; with mode
+    ``PERMISSIVE`` it yields a row of NULLs instead.
     """
-    return text.select(F.from_json(F.col(column), schemas.PLAYERS_RAW).alias("e")).select("e.*")
+    return text.select(F.from_json(F.col(column), schemas.PLAYERS_RAW, {"mode": mode}).alias("e")).select("e.*")
 
 
 def to_json_lines(players_raw: DataFrame) -> DataFrame:
     """Serialise player rows to JSON text (one object per row), the shape landed feeds have."""
     return players_raw.select(F.to_json(F.struct(*players_raw.columns)).alias("value"))
+
+
+def land_bootstrap(players_raw: DataFrame, teams: DataFrame, positions: DataFrame, path: str, documents: int = 16) -> None:
+    """Append one snapshot to the landing folder ``path``: its players dealt over ``documents`` documents, each with the dimensions."""
+    collect = lambda df: df.select(F.array_sort(F.collect_list(F.struct(*df.columns)))).scalar()
+    part = F.pmod(F.xxhash64("id"), F.lit(documents))
+    docs = players_raw.groupBy(part.alias("_part")).agg(F.collect_list(F.struct(*players_raw.columns)).alias("elements"))
+    docs = docs.select("elements", collect(teams).alias("teams"), collect(positions).alias("element_types"))
+    docs.write.mode("append").option("maxRecordsPerFile", 1).json(path)
+
+
+def land_fixtures(fixtures_raw: DataFrame, path: str, documents: int = 16) -> None:
+    """Write fixtures to the folder ``path`` as JSON array documents."""
+    part = F.pmod(F.xxhash64("id"), F.lit(documents))
+    rows = fixtures_raw.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*schemas.FIXTURES_RAW.names))).alias("value")).select("value")
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)

@@ -54,12 +54,6 @@ UPCOMING_FIXTURES = T.StructType([
     T.StructField("team_a", T.IntegerType()),
 ])
 
-PLAYER_POINTS = T.StructType([
-    T.StructField("player_id", T.LongType()),
-    T.StructField("week", T.IntegerType()),
-    T.StructField("points", T.LongType()),
-])
-
 # The bootstrap document: one JSON object with three arrays.
 BOOTSTRAP = T.StructType([
     T.StructField("elements", T.ArrayType(PLAYERS_RAW)),

@@ -21,6 +21,7 @@ FORM_NA_MODULUS = 97
 PPG_NULL_MODULUS = 89
 GAMEWEEK_EPOCH = "1995-01-01"
 EVENT_NULL_MODULUS = 50
+DIFFICULTY_NULL_MODULUS = 11
 AWAY_TEAMS = 25
 
 
@@ -120,15 +121,17 @@ def fixtures_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus = 'F' AS finished",
         "CAST(c_nationkey AS INT) AS team_h",
         f"CAST((o_orderkey * 7 + 3) % {AWAY_TEAMS} AS INT) AS team_a",
-        "CAST(1 + o_orderkey % 5 AS INT) AS team_h_difficulty",
+        f"CASE WHEN o_orderkey % {DIFFICULTY_NULL_MODULUS} = 0 THEN CAST(NULL AS INT) "
+        "ELSE CAST(1 + o_orderkey % 5 AS INT) END AS team_h_difficulty",
     )
 
 
 def player_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly points per player from ``events`` (sparse: weeks without events are absent)."""
     events = read_table(spark, sf_dir, "events", ["user_id", "ts", "value"])
+    half_day = 2 * F.dayofmonth("ts") - 1 + (F.hour("ts") >= 12).cast("int")
     return (
-        events.groupBy(F.col("user_id").alias("player_id"), F.dayofmonth("ts").alias("week"))
+        events.groupBy(F.col("user_id").alias("player_id"), half_day.alias("week"))
         .agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("points"))
         .select(F.col("player_id").cast("long"), F.col("week").cast("int"), F.col("points").cast("long"))
     )

@@ -33,14 +33,31 @@ def snapshot_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger
 def start_player_refresh(spark: SparkSession, landing_dir: str, teams: DataFrame, positions: DataFrame,
                          output_path: str, query_name: str = "player_refresh",
                          checkpoint_location: str | None = None) -> StreamingQuery:
-    """Start a query that rewrites the player table at ``output_path`` for each new snapshot."""
+    """Start a query that adds the player table of each new snapshot at ``output_path``, one ``batch_id`` folder each.
+
+    ``latest_players`` reads the newest; readers never meet a table that is being rewritten.
+    """
     checkpoint_location = checkpoint_location or os.path.join(checkpoint_dir(spark), "streams", query_name)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         # One snapshot per batch (maxFilesPerTrigger=1); the latest snapshot wins.
         players = build_players(batch.drop("snapshot"), teams, positions)
-        players.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(output_path)
+        # A folder per batch, written anew if the batch is retried: earlier batches stay whole while this one is written.
+        players.write.mode("overwrite").parquet(os.path.join(output_path, f"batch_id={batch_id}"))
 
     return (snapshot_stream(spark, landing_dir).writeStream.queryName(query_name)
             .option("checkpointLocation", checkpoint_location)
             .foreachBatch(refresh).start())
+
+
+def latest_players(spark: SparkSession, output_path: str) -> DataFrame:
+    """The player table of the newest complete batch (a batch without its success marker is not complete)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(output_path)
+    fs = root.getFileSystem(conf)
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    done = [int(n.partition("=")[2]) for n in names if n.startswith("batch_id=")
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{output_path}/{n}/_SUCCESS"))]
+    if not done:
+        raise FileNotFoundError(f"no complete batch at {output_path}")
+    return spark.read.parquet(f"{output_path}/batch_id={max(done)}").withColumn("batch_id", F.lit(max(done)))

@@ -243,3 +243,42 @@ def test_null_propagation_helpers(spark):
     got = df.select(clip("x", 1.0, 12.0).alias("c"),
                     r_ifelse(F.col("x") > 1, F.lit("hi"), F.lit("lo")).alias("i")).collect()
     assert [(r.c, r.i) for r in got] == [(None, None), (1.0, "lo"), (12.0, "hi")]
+
+
+def test_fixture_without_difficulty_is_not_manual(active, upcoming):
+    blank = upcoming.withColumn("difficulty", F.lit(None).cast("int"))
+    got = rows_by_id(predict.predict(active, blank, manual=5))
+    plays = [i for i, x in got.items() if x["fixture_id"] is not None]
+    assert plays and all(got[i]["fixture_difficulty"] is None for i in plays)
+    assert all(x["fixture_difficulty"] == 5 for i, x in got.items() if i not in plays)
+    some = got[plays[0]]
+    base = some["form_numeric"] * 0.6 + some["points_per_game_numeric"] * 0.4
+    adj = {"Forward": 1.05, "Midfielder": 1.0, "Defender": 0.9, "Goalkeeper": 0.85}.get(some["position"], 1.0)
+    assert some["predicted_points"] == pytest.approx(min(max(round(base * adj, 1), 1), 12), abs=0.051)   # multiplier 1.0
+    card = {x.metric: x.value for x in predict.prediction_card(predict.predict(active, blank)).collect() if x.id == plays[0]}
+    assert card["Fixture Difficulty"] == "NA/5 NA"
+
+
+def test_compare_v1_keeps_players_without_position(league):
+    from pitchside.plans.catalog import best_at_position_pairs
+    v1 = players.active_players(players.build_players(league["players_raw"], league["teams"], league["positions"], variant="v1"),
+                                500, require_form=False)
+    pairs = best_at_position_pairs(v1)
+    assert pairs.count() == v1.count()
+    assert cards.compare(v1, pairs, variant="v1").count() == 5 * v1.count()
+
+
+def test_evaluate_counts_the_high_class(spark):
+    rows = [("m", 1.0, 1.0), ("m", 1.0, 0.0), ("m", 1.0, 0.0), ("m", 0.0, 1.0), ("m", 0.0, 0.0), ("none", 0.0, 0.0)]
+    got = {(r.model, r.metric): r.value for r in classify.evaluate(spark.createDataFrame(rows, "model string, label double, prediction double")).collect()}
+    assert got[("m", "accuracy")] == pytest.approx(2 / 5) and got[("m", "precision")] == pytest.approx(1 / 2)
+    assert got[("m", "recall")] == pytest.approx(1 / 3) and got[("none", "recall")] is None
+
+
+def test_split_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), *map(float, rng.random(len(classify.MODEL_FEATURES))), "High" if rng.random() < 0.4 else "Low") for i in range(300)]
+    df = spark.createDataFrame(rows, ["id", *classify.MODEL_FEATURES, "is_high_performer"])
+    ids = [sorted(r.id for r in classify.train_classifiers(x, max_iter=2, models=("SVM",))["predictions"].select("id").collect())
+           for x in (df.coalesce(1), df.repartition(7))]
+    assert ids[0] == ids[1] and 50 < len(ids[0]) < 130

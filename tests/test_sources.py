@@ -12,7 +12,7 @@ from pitchside.sources import schemas
 from pitchside.sources.json_docs import (load_upcoming, parse_elements, read_bootstrap, read_fixtures,
                                          to_json_lines)
 from pitchside.sources.sinks import publish
-from pitchside.streaming.snapshots import start_player_refresh
+from pitchside.streaming.snapshots import latest_players, start_player_refresh
 
 PLAYER_KEYS = [f.name for f in schemas.PLAYERS_RAW.fields]
 
@@ -47,8 +47,10 @@ def test_bootstrap_documents(spark, landing):
 def test_json_lines_roundtrip(spark, league):
     back = parse_elements(to_json_lines(league["players_raw"]))
     assert sorted(back.collect()) == sorted(league["players_raw"].collect())
-    bad = parse_elements(spark.createDataFrame([("{not json",)], "value string"))
-    assert bad.first().id is None
+    broken = spark.createDataFrame([("{not json",)], "value string")
+    assert parse_elements(broken, mode="PERMISSIVE").first().id is None
+    with pytest.raises(Exception, match="(?i)malformed"):
+        parse_elements(broken).collect()
 
 
 def test_missing_players_source_is_fatal(spark, landing):
@@ -56,6 +58,39 @@ def test_missing_players_source_is_fatal(spark, landing):
         read_bootstrap(spark, os.path.join(landing, "nothing-here"))
 
 
+def test_latest_snapshot_wins(spark, landing):
+    path = os.path.join(landing, "bootstrap", "snap-3.json")
+    changed = [(*PLAYERS[0][:6], 999, *PLAYERS[0][7:])]
+    with open(path, "w") as fh:
+        json.dump({**_doc(changed), "teams": [{"id": 1, "name": "Renamed"}]}, fh)
+    later = os.stat(path).st_mtime + 60
+    os.utime(path, (later, later))
+    players, teams, positions = read_bootstrap(spark, os.path.join(landing, "bootstrap"))
+    assert players.count() == 12 and players.filter("id = 1").first().total_points == 999
+    assert {r.id: r.name for r in teams.collect()}[1] == "Renamed" and teams.count() == 3 and positions.count() == 4
+
+
+def test_malformed_or_empty_players_source_is_fatal(spark, landing):
+    broken = os.path.join(landing, "broken")
+    os.makedirs(broken)
+    with open(os.path.join(broken, "a.json"), "w") as fh:
+        fh.write(json.dumps(_doc(PLAYERS))[:-40])
+    with pytest.raises(ValueError, match="malformed"):
+        read_bootstrap(spark, broken)
+    empty = os.path.join(landing, "empty")
+    os.makedirs(empty)
+    with pytest.raises(ValueError, match="no document"):
+        read_bootstrap(spark, empty)
+
+
+def test_malformed_fixtures_are_reported(spark, landing):
+    path = os.path.join(landing, "fixtures-broken.json")
+    with open(path, "w") as fh:
+        fh.write('[{"id": 1, "event": ')
+    with pytest.warns(UserWarning, match="malformed"):
+        assert read_fixtures(spark, path).count() == 0
+
+
 def test_fixtures_document_and_fallback(spark, landing):
     raw = read_fixtures(spark, os.path.join(landing, "fixtures.json"))
     assert raw.count() == 7
@@ -91,7 +126,7 @@ def test_streaming_refresh(spark, landing, scratch_dir, league):
         q.processAllAvailable()
     finally:
         q.stop()
-    latest = spark.read.parquet(out)
+    latest = latest_players(spark, out)
     # One snapshot per micro-batch; the table holds the latest snapshot's players.
     assert latest.select("batch_id").distinct().count() == 1
     assert latest.count() in (5, 6)   # snap-1: 6 players; snap-2: 6 players, one without cost

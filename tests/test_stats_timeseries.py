@@ -89,10 +89,16 @@ def test_momentum_equivalence(spark):
     assert a == b
 
 
-def test_weeks_outside_season_are_ignored(spark):
-    pts = spark.createDataFrame([(1, 0, 9), (1, 31, 9), (1, 2, 4)], "player_id long, week int, points long")
-    got = timeseries.rolling_form(pts, 30)
-    assert got.count() == 30 and got.agg(F.sum("points")).first()[0] == 4
+def test_spine_reaches_the_last_week_of_the_data(spark):
+    pts = spark.createDataFrame([(1, 1, 5), (1, 38, 9), (2, 35, 4), (3, 0, 7), (3, None, 1)], "player_id long, week int, points long")
+    got = timeseries.rolling_form(pts)
+    assert got.count() == 3 * 38
+    seen = {(r.player_id, r.week): r.points for r in got.filter("points <> 0").collect()}
+    assert seen == {(1, 1): 5, (1, 38): 9, (2, 35): 4}
+    assert timeseries.rolling_form(pts, 45).count() == 3 * 45 and timeseries.rolling_form(pts, 10).count() == 3 * 38
+    assert sorted((r.player_id, r.points) for r in timeseries.invalid_weeks(pts).collect()) == [(3, 1), (3, 7)]
+    assert timeseries.rolling_form(pts.filter("week < 1")).count() == 0
+    assert timeseries.rolling_form(pts.limit(0)).count() == 0
 
 
 def test_exact_quantiles_with_a_hot_value(spark):
@@ -102,9 +108,20 @@ def test_exact_quantiles_with_a_hot_value(spark):
     pdf = pd.DataFrame({"g": rng.integers(0, 3, n), "id": np.arange(n), "x": rng.normal(size=n)})
     pdf.loc[pdf.sample(frac=0.35, random_state=1).index, "x"] = 0.25   # a third of the rows share one value
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(spark.createDataFrame(pdf), "x", probs, ["g"], "id", num_partitions=7).collect()
+    got = exact_quantiles(spark.createDataFrame(pdf), "x", probs, ["g"]).collect()
     assert len(got) == 3 * len(probs)
     for row in got:
         want = np.percentile(pdf[pdf.g == row.g].x, probs[row.prob_idx] * 100)
         assert row["quantile"] == pytest.approx(want, abs=1e-12)
+    whole = exact_quantiles(spark.createDataFrame(pdf), "x", probs).collect()
+    assert [r["quantile"] for r in sorted(whole, key=lambda r: r.prob_idx)] == pytest.approx(list(np.percentile(pdf.x, [p * 100 for p in probs])), abs=1e-12)
     assert exact_quantiles(spark.createDataFrame(pdf).filter("x > 100"), "x", [0.5]).count() == 0
+
+
+def test_exact_quantiles_beyond_the_sketch(spark):
+    """More rows than the sketch holds exactly: the bracket is counted, and the answer is exact."""
+    from pitchside.functions.quantiles import exact_quantiles
+    rows = spark.range(600_000).select((F.pmod(F.xxhash64("id"), F.lit(10_000_019)) / 7.0).alias("x"))
+    x = np.sort(rows.toPandas().x.to_numpy())
+    got = {r.prob: r["quantile"] for r in exact_quantiles(rows, "x", [0.0, 0.25, 0.5, 0.999, 1.0]).collect()}
+    assert got == pytest.approx({p: np.percentile(x, p * 100) for p in got}, abs=1e-9)
