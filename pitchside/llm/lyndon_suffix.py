@@ -293,7 +293,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["r", "core", "cls", "a", "lo", "hi"])
 
     found = stage(rows.filter(F.octet_length("_text") >= WIDTH).select("_text", "r").mapInArrow(find, "r long, core long, cls long, a int, lo int, hi int"), "anchors")
-    shared = found.groupBy("core").count().filter("count > 1").select("core")
+    # Staged, so the join below has an exchange of its own on both sides and a hot core can be split.
+    shared = stage(found.groupBy("core").count().filter("count > 1").select("core"), "shared-cores")
     shared = stage(found.join(shared, "core"), "shared-anchors")
     spans = _span_table(shared, rows)
     per_row = spans.groupBy("r").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))  # at most the anchors and windows of one text
