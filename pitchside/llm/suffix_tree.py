@@ -38,7 +38,7 @@ from pitchside.sources.stage import stage
 
 KAPPA = 4.0
 GAIN = 2.0
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 END = int(mix(np.array([0xE17D], np.uint64))[0] >> np.uint64(8))
 _A = np.uint64(0x9E3779B97F4A7C15)
 
