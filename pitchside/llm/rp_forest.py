@@ -111,8 +111,8 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.size("vec") == (size[0][0] if size else 0))
 
 
-def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, trees: int = 8,
-            sample_rows: int = 20_000, leaf_points: int = 64, effort: float = 0.9, seed: int = 8) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, trees: int = 10,
+            sample_rows: int = 20_000, leaf_points: int = 32, effort: float = 1.3, seed: int = 8) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest found of every query row, by Euclidean distance.
 
     ``is_query`` selects queries by the column ``id``; candidates are all rows but the query's own id. Ties go to the smaller
