@@ -165,8 +165,10 @@ def removed_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     links = confirm(pairs, stage(held, "line-payloads"), line_similar)
     linked = components(links).select(F.col("node").alias("c"), "root")
     classes = firsts.join(linked, "c", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "c"))
-    kept = classes.groupBy("root").agg(F.min("first").alias("kept"))
-    marks = stage(classes.join(kept, "root").select("c", "kept"), "line-marks")
+    classes = stage(classes.select("c", "root", "first"), "line-classes")
+    # Staged, so the join has an exchange of its own and a component that holds very many lines can be split.
+    kept = stage(classes.groupBy("root").agg(F.min("first").alias("kept")), "kept-lines")
+    marks = stage(classes.join(broadcast_if_small(kept), "root").select("c", "kept"), "line-marks")
     gone = places.join(broadcast_if_small(marks), "c").filter((F.col("id") != F.col("kept.id")) | (F.col("line") != F.col("kept.line")))
     return gone.groupBy("id").agg(F.collect_set("line").alias("lines"))
 
