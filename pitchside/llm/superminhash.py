@@ -170,7 +170,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     linked = link(items, SIZE, numerator / denominator, sets, jaccard_at_least(numerator, denominator))
     ids = items.select("c", "id").join(linked, "c")
-    least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = broadcast_if_small(stage(ids.groupBy("root").agg(F.min("id").alias("component_id")), "least-ids"))
     placed = ids.join(least, "root").select("c", "component_id").union(
         items.select("c", "id").join(linked, "c", "left_anti").select("c", F.col("id").alias("component_id")))
     placed = stage(placed, "components")
