@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Self-links only name a node; null ends are left out; no links give no rows.
     """
-    named = links.select("u", "v").dropna()
+    named = stage(links.select("u", "v").dropna(), "named-links")
     work = stage(named.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while True:
         # Large star: every greater neighbour of a node moves to the least of the node and its neighbours.

@@ -118,7 +118,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in blocks(batches, "_text", 4 << 20, 20_000):
+        for _, texts in blocks(batches, "_text", 1 << 20, 20_000):
             lines, _, _ = _compared(texts)
             if not lines:
                 continue
