@@ -33,7 +33,9 @@ END = "</w>"
 #: the library itself: its Unicode tables differ from Python's for some scripts.
 SIMPLE = re.compile("[\x00-\x1b\x20-\u024f]*")
 #: Words whose ids a process keeps: twice as many at most, some 200 bytes each.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
+#: Pairs of tokens whose test a process keeps.
+CACHED_PAIRS = 300_000
 
 
 def byte_chars() -> list[str]:
@@ -75,13 +77,13 @@ class TrieBpe:
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.chars = byte_chars()
         self.byte_of = {c: b for b, c in enumerate(self.chars)}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by left * 2^32 + right
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether two tokens (ranks) stand side by side in some encoding."""
-        if (known := self.fits.get((left, right))) is not None:
+        if (known := self.fits.get(left << 32 | right)) is not None:
             return known
         a, b, limit = left, right, 1 << 60
         while True:
@@ -102,9 +104,9 @@ class TrieBpe:
                     if a == limit:
                         ok = True
                         break
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > CACHED_PAIRS:
             self.fits.clear()
-        self.fits[left, right] = ok
+        self.fits[left << 32 | right] = ok
         return ok
 
     def _last(self, prefix: str, end: str, states: list[int]) -> int:
@@ -117,7 +119,7 @@ class TrieBpe:
             if token is not None:
                 if not start:
                     return token
-                ok = fits.get((states[start], token))
+                ok = fits.get(states[start] << 32 | token)
                 if ok or ok is None and self.may_follow(states[start], token):
                     return token
         raise ValueError(f"no token ends {prefix!r}")
@@ -218,7 +220,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer_path)
-        for batch, raw in blocks(batches, "_text", 2 << 20):
+        for batch, raw in blocks(batches, "_text", 1 << 20):
             ids = bpe.encode_batch([r.decode() for r in raw])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=[id_col, "ids", "decoded"])

@@ -137,7 +137,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "_text", 2 << 20, 20_000):
+        for batch, texts in blocks(batches, "_text", 1 << 20, 10_000):
             elements, offsets = distinct_sets(texts)
             sig = signatures(elements, offsets)
             bands = band_hashes(sig).view(np.int64)
@@ -159,7 +159,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         texts = rows.join(which, F.col("_id") == F.col("id")).select("c", "_text")
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, raw in blocks(batches, "_text", 2 << 20, 20_000):
+            for batch, raw in blocks(batches, "_text", 1 << 20, 10_000):
                 elements, offsets = distinct_sets(raw)
                 # An id may stand in several rows with different texts: only the class's own set is its payload.
                 own = np.flatnonzero(_set_hash(elements, offsets).view(np.int64) == batch.column(0).to_numpy())

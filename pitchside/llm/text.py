@@ -68,6 +68,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 4
             size += len(raw)
         if texts:
             yield batch.slice(start), texts
+    pa.default_memory_pool().release_unused()  # a worker lives on: what Arrow has freed goes back
 
 
 def join_texts(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
