@@ -1,7 +1,7 @@
 """Operator 2: fuzzy line dedup by MinHash.
 
 A line is a maximal run without line ends, compared in lower case with white space joined and trimmed.
-Lines of at least MIN_CHARS characters take part (shorter ones recur by chance, not by copying). Equal
+Lines of at least MIN_CHARS bytes take part (shorter ones recur by chance, not by copying). Equal
 lines are one class by a map-side reduced ``groupBy``; the signature of a distinct line is a MinHash
 of its byte shingles with one permutation in SIZE bins (empty bins borrow from the next full one). Banding
 proposes partners, exact Jaccard on the full shingle sets confirms them, and distributed union-find
@@ -27,7 +27,7 @@ from pitchside.llm.superminhash import band_hashes
 from pitchside.llm.text import blocks, join_texts, mix, prefix_sums, span_hash
 from pitchside.sources.stage import stage
 
-MIN_CHARS = 40
+MIN_CHARS = 16
 SHINGLE = 8
 SIZE, ROWS = 48, 4
 THRESHOLD = (80, 100)
