@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from llm_cases import docs, empty, frame, rows  # noqa: F401  (fixtures)
-from pitchside.llm import fuzzy_lines, lyndon_suffix, superminhash
+from pitchside.llm import fuzzy_lines, linking, lyndon_suffix, superminhash
 from pitchside.llm.components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -74,7 +74,7 @@ def test_near_duplicates_match_brute_force(docs, rows, empty):
     assert superminhash.near_duplicates(empty).count() == 0
 
 
-def test_a_large_group_of_near_copies_is_one_component(spark):
+def test_a_large_group_of_near_copies_is_one_component(spark, monkeypatch):
     """300 variants of one text, each a little different, and one that only a chain of links reaches."""
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:i % 100] + [f"z{i}"] + base[i % 100 + 1:])) for i in range(300)]
@@ -89,6 +89,23 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
         for b in sets:
             if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 union.join(a, b)
+    monkeypatch.setattr(linking, "BLOCK", 40)   # families fall into several blocks
+    got = {r.doc_id: r.component_id for r in superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: union.find(i) for i in sets}
+
+
+def test_families_in_blocks_lose_no_link(spark, monkeypatch):
+    """Chains whose neighbours are linked, the others not: 60 texts, each a few words on from the one before."""
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join([f"v{k}" if k < 3 * i else w for k, w in enumerate(base)])) for i in range(12)]
+    rows += [(100 + i, " ".join(base[:60] + [f"x{i}_{k}" for k in range(25)] + base[85:])) for i in range(40)]
+    sets = dict((i, shingles(t)) for i, t in rows)
+    union = Union()
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                union.join(a, b)
+    monkeypatch.setattr(linking, "BLOCK", 5)
     got = {r.doc_id: r.component_id for r in superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: union.find(i) for i in sets}
 
