@@ -3,8 +3,9 @@
 A line is a maximal run without line ends, compared in lower case with white space joined and trimmed.
 Lines of at least MIN_CHARS bytes take part (shorter ones recur by chance, not by copying). Equal
 lines are one class by a map-side reduced ``groupBy``; the signature of a distinct line is a MinHash
-of its byte shingles with one permutation in SIZE bins (empty bins borrow from the next full one). Banding
-proposes partners, exact Jaccard on the full shingle sets confirms them, and distributed union-find
+of its byte shingles with one permutation in SIZE bins (empty bins borrow from the next full one). Lines that
+share a band are compared by exact Jaccard on the full shingle sets, first each with its band's centre, then
+those that still lie in different components with each other, and distributed union-find
 unites them (``components``). One line per component stays: the first by (document, line number); every
 other one is removed from its document.
 """
@@ -31,6 +32,8 @@ MIN_CHARS = 16
 SHINGLE = 8
 SIZE, ROWS = 48, 4
 THRESHOLD = (80, 100)
+#: Lines of a bucket compared at a time, and their bytes.
+BLOCK, BLOCK_BYTES = 500, 1 << 18
 
 
 def split_lines(text: bytes) -> list[bytes]:
@@ -109,12 +112,11 @@ def _compared(texts: list[bytes]) -> tuple[list[bytes], list[int], list[int]]:
     return lines, owner, number
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b) of lines that share a band: each line with its band's centre.
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(band, cs, centre) of the bands that several distinct lines share: per block of texts its lines of the band, and the band's centre.
 
-    The centre is the member with the least hash of line and band, so a line meets another centre in each band. Each block of
-    texts unites its own lines first: of its members of a band only the block's centre goes on to the exchange by band, the
-    others have their pair already and are spread at random, so a band that very many lines share is no large group.
+    The centre is the member with the least hash of line and band, so a line meets another centre in each band. A block sends one
+    row a band, so a band that very many lines share is no large group in the exchange.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +131,77 @@ def _candidates(rows: DataFrame) -> DataFrame:
             key = mix(c.view(np.uint64) ^ band)
             order = np.lexsort((key, band))
             c, band, key = c[order], band[order], key[order]
-            head = np.append(True, band[1:] != band[:-1])
-            centre = c[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(head, band, key).view(np.int64)), pa.array(c), pa.array(key.view(np.int64)), pa.array(centre, mask=head)],
-                names=["k", "c", "key", "centre"])
+            head = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+            cs = pa.ListArray.from_arrays(pa.array(np.append(head, len(c)).astype(np.int32)), pa.array(c))
+            yield pa.RecordBatch.from_arrays([pa.array(band[head].view(np.int64)), pa.array(key[head].view(np.int64)), cs], names=["band", "key", "cs"])
 
-    members = rows.mapInArrow(run, "k long, c long, key long, centre long")
-    best = F.first("c").over(Window.partitionBy("k").orderBy("key"))
-    pairs = members.select("c", F.coalesce("centre", best).alias("b")).filter("c <> b")
-    return pairs.select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct()
+    members = rows.mapInArrow(run, "band long, key long, cs array<long>")
+    whole = Window.partitionBy("band")
+    found = members.withColumn("centre", F.first(F.col("cs")[0]).over(whole.orderBy("key")))
+    found = found.withColumn("lo", F.min(F.array_min("cs")).over(whole)).withColumn("hi", F.max(F.array_max("cs")).over(whole))
+    return found.filter("lo < hi").select("band", "cs", "centre")
+
+
+def _rest(buckets: DataFrame, held: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (u, v) between lines that share a band and lie in different components of ``links``.
+
+    Buckets of two were compared by their centre. A larger one whose lines are not all in one component is compared inside the
+    tasks by pairs of blocks of at most about BLOCK lines and BLOCK_BYTES bytes; only links that unite two components leave them.
+    """
+    spark = buckets.sparkSession
+    roots = components(links).withColumnRenamed("node", "c")
+    members = buckets.select("band", F.explode("cs").alias("c")).distinct().join(held.select("c", "size"), "c").join(roots, "c", "left")
+    # Staged, so the join by band has an exchange of its own and a bucket that very many lines share can be split.
+    members = stage(members.withColumn("root", F.coalesce("root", "c")), "line-members")
+    several = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    several = several.filter("n > 2 AND lo <> hi").select("band", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = members.join(broadcast_if_small(stage(several, "open-bands")), "band").withColumn("block", F.pmod(F.xxhash64("c", "band"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("c", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts)))
+    return placed.join(held.select("c", "payload"), "c").groupBy("part").applyInArrow(_bucket_links, "u long, v long")
+
+
+def _bucket_links(table: pa.Table) -> pa.Table:
+    """Links between lines of different components within each (band, i, j)."""
+    table = table.sort_by([("band", "ascending"), ("i", "ascending"), ("j", "ascending"), ("c", "ascending")])
+    band, i, j, block, c, root = (table.column(x).to_numpy() for x in ("band", "i", "j", "block", "c", "root"))
+    payload = table.column("payload")
+    us, vs = [], []
+    cuts = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))) if len(c) else []
+    for start, stop in zip(cuts, np.append(cuts[1:], len(c)).astype(int), strict=True):
+        kinds, head = np.unique(root[start:stop], return_inverse=True)
+        if len(kinds) == 1:
+            continue
+        lines = payload[start:stop].to_pylist()
+        h, owner = line_shingles(lines)
+        order = np.lexsort((owner, h))
+        h, owner = h[order], owner[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
+        h, owner = h[new], owner[new]
+        sizes = np.bincount(owner, minlength=len(lines))
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))  # each shingle's lines are owner[first[s]:last[s]]
+        last = np.append(first[1:], len(h))
+        shingle = np.repeat(np.arange(len(first)), last - first)[np.argsort(owner, kind="stable")]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        side = block[start:stop]
+        most = np.bincount(head).argmax()  # of two lines in different components one is not in the largest
+        for x in np.flatnonzero(head != most):
+            own = shingle[at[x]:at[x + 1]]
+            own = own[last[own] - first[own] > 1]
+            length = last[own] - first[own]
+            index = np.repeat(first[own] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+            common = np.bincount(owner[index], minlength=len(lines))
+            near = THRESHOLD[1] * common >= THRESHOLD[0] * (sizes + sizes[x] - common)
+            if i[start] != j[start]:
+                near &= side != side[x]
+            for y in np.flatnonzero(near & (head != head[x])):
+                if head[y] != head[x] and line_similar(lines[x], lines[y]):
+                    head[head == head[y]] = head[x]
+                    us.append(int(c[start + x]))
+                    vs.append(int(c[start + y]))
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
 def removed_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,7 +209,9 @@ def removed_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id IS NOT NULL AND _text IS NOT NULL")
     places = stage(_places(rows), "line-places")
     firsts = places.groupBy("c").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
-    pairs = stage(_candidates(rows), "line-pairs")
+    buckets = stage(_buckets(rows), "line-buckets")
+    pairs = buckets.select(F.explode("cs").alias("c"), "centre").filter("c <> centre")
+    pairs = stage(pairs.select(F.greatest("c", "centre").alias("a"), F.least("c", "centre").alias("b")).distinct(), "line-pairs")
 
     wanted = stage(firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c").select("c", "first.id", "first.line"), "wanted-lines")
     which = wanted.groupBy("id").agg(F.collect_set("line").alias("lines"))  # at most the lines of one document
@@ -162,8 +227,9 @@ def removed_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_line_hash(found)), pa.array(found, pa.binary())], names=["c", "payload"])
 
     held = texts.mapInArrow(pick, "c long, payload binary").groupBy("c").agg(F.min("payload").alias("payload"))
-    links = confirm(pairs, stage(held, "line-payloads"), line_similar)
-    linked = components(links).select(F.col("node").alias("c"), "root")
+    held = stage(held.withColumn("size", F.octet_length("payload")), "line-payloads")
+    links = stage(confirm(pairs, held, line_similar), "line-links")
+    linked = components(links.union(_rest(buckets, held, links))).select(F.col("node").alias("c"), "root")
     classes = firsts.join(linked, "c", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "c"))
     classes = stage(classes.select("c", "root", "first"), "line-classes")
     # Staged, so the join has an exchange of its own and a component that holds very many lines can be split.

@@ -142,6 +142,41 @@ def test_fuzzy_lines_match_brute_force(docs, rows, empty, spark):
     assert fuzzy_lines.dedup_lines(empty).count() == 0
 
 
+def test_fuzzy_lines_of_a_template_over_blocks_and_partitions(spark):
+    """Lines of one template share bands with centres they are not similar to; every similar pair that shares a band is found."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i:03d}" for i in range(400)]
+    template = [str(x) for x in rng.choice(words, 36)]
+    lines = []
+    for _ in range(120):
+        line = list(template)
+        for k in rng.choice(36, 3, replace=False):
+            line[k] = str(rng.choice(words))
+        lines.append(" ".join(line))
+        near = list(line)
+        near[int(rng.integers(36))] = str(rng.choice(words))
+        lines.append(" ".join(near))
+    rows = [(i, "\n".join(str(x) for x in rng.permutation(lines)[:4])) for i in range(200)]
+    distinct = sorted({x.encode() for _, t in rows for x in t.split("\n")})
+    bands = [set(x) for x in superminhash.band_hashes(fuzzy_lines.minhash(distinct), fuzzy_lines.ROWS).tolist()]
+    union, pairs = Union(), Counter()
+    for a, p in enumerate(distinct):
+        for b in range(a + 1, len(distinct)):
+            if bands[a] & bands[b]:
+                pairs[fuzzy_lines.line_similar(p, distinct[b])] += 1
+                if fuzzy_lines.line_similar(p, distinct[b]):
+                    union.join(p, distinct[b])
+    assert pairs[True] > 50 and pairs[False] > pairs[True]
+    first = {}
+    for i, t in rows:
+        for j, x in enumerate(t.encode().split(b"\n")):
+            first.setdefault(union.find(x), (i, j))
+    want = {i: sum(first[union.find(x)] != (i, j) for j, x in enumerate(t.encode().split(b"\n"))) for i, t in rows}
+    for parts in (1, 7):
+        got = fuzzy_lines.dedup_lines(frame(spark, rows).repartition(parts))
+        assert {r.doc_id: r.n_removed for r in got.select("doc_id", "n_removed").collect()} == want
+
+
 def test_suffix_array_of_random_and_periodic_strings():
     rng = np.random.default_rng(4)
     for _ in range(600):
