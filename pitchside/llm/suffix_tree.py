@@ -78,7 +78,7 @@ class Chunk:
         self.got: dict[int, np.ndarray] = {}
         for kind in {r["kind"] for r in replies}:
             own = sorted((r for r in replies if r["kind"] == kind), key=lambda r: r["part"])
-            self.got[kind] = np.concatenate([unpack(r["answers"], np.uint32) for r in own])
+            self.got[kind] = np.concatenate([unpack(r["answers"], _answer_type(kind)) for r in own])
         self.total = sum(r["n"] for r in replies if r["kind"] == 0)
         self.kinds = sum(r["v"] for r in replies if r["kind"] == 0)
 
@@ -199,9 +199,35 @@ def _tokenise(rows: DataFrame, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, lens array<long>, vocab binary, tokens binary")
 
 
+def _count_type(kind: int) -> type:
+    """How a chunk's counts (at most its tokens) and partial divergences are sent."""
+    return np.uint32 if kind < 3 else np.float64
+
+
+def _answer_type(kind: int) -> type:
+    """How corpus totals and whether a context is retained are answered."""
+    return np.uint64 if kind < 3 else np.uint8
+
+
 _REPLY = "chunk long, kind int, part int, answers binary, n long, v long"
 
 
+def _total(asked: pa.Table) -> pa.Table:
+    """The corpus totals of what chunks sent of one kind and part, in the order of each chunk's keys."""
+    rows = asked.to_pylist()
+    kind = rows[0]["kind"]
+    keys = [_unpack_keys(r["keys"]) for r in rows]
+    sizes = np.cumsum([len(k) for k in keys])
+    counts = np.concatenate([unpack(r["counts"], _count_type(kind)) for r in rows])
+    distinct, of = _inverse(np.concatenate(keys))
+    sums = np.bincount(of, weights=counts.astype(float), minlength=len(distinct))
+    answers = sums if kind < 3 else sums > GAIN
+    n, v = (int(sums.sum()), int((sums > 0).sum())) if kind == 0 else (0, 0)
+    own = np.split(answers.astype(_answer_type(kind))[of], sizes[:-1])
+    return pa.table({"chunk": [r["chunk"] for r in rows], "kind": pa.array([kind] * len(rows), pa.int32()), "part": pa.array([r["part"] for r in rows], pa.int32()),
+                     "answers": pa.array([pack(a) for a in own], pa.binary()), "n": [n] * len(rows), "v": [v] * len(rows)})
+
+
 def _round(chunks: DataFrame, replies: DataFrame, ask: str, parts: int) -> DataFrame:
     """The replies to what ``Chunk.ask`` asks, for all chunks."""
 
@@ -209,29 +235,15 @@ def _round(chunks: DataFrame, replies: DataFrame, ask: str, parts: int) -> DataF
         out = []
         for row in chunk.to_pylist():
             for kind, keys, counts in getattr(Chunk(row, got.to_pylist()), ask)():
-                counts = counts.astype(np.uint32) if kind < 3 else np.clip(counts, -60_000, 60_000).astype(np.float16)
+                counts = counts.astype(_count_type(kind))
                 owner = ((keys >> np.uint64(24)) * np.uint64(parts)) >> np.uint64(32)
                 cut = np.searchsorted(owner, np.arange(parts + 1))
                 out += [{"chunk": row["chunk"], "kind": kind, "part": p, "keys": _pack_keys(keys[cut[p]:cut[p + 1]]), "counts": pack(counts[cut[p]:cut[p + 1]])}
                         for p in range(parts)]
         return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
-    def total(asked: pa.Table) -> pa.Table:
-        rows = asked.to_pylist()
-        kind = rows[0]["kind"]
-        keys = [_unpack_keys(r["keys"]) for r in rows]
-        sizes = np.cumsum([len(k) for k in keys])
-        counts = np.concatenate([unpack(r["counts"], np.uint32 if kind < 3 else np.float16) for r in rows])
-        distinct, of = _inverse(np.concatenate(keys))
-        sums = np.bincount(of, weights=counts.astype(float), minlength=len(distinct))
-        answers = sums if kind < 3 else sums > GAIN
-        n, v = (int(sums.sum()), int((sums > 0).sum())) if kind == 0 else (0, 0)
-        own = np.split(answers.astype(np.uint32)[of], sizes[:-1])
-        return pa.table({"chunk": [r["chunk"] for r in rows], "kind": pa.array([kind] * len(rows), pa.int32()), "part": pa.array([r["part"] for r in rows], pa.int32()),
-                         "answers": pa.array([pack(a) for a in own], pa.binary()), "n": [n] * len(rows), "v": [v] * len(rows)})
-
     asked = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send, "chunk long, kind int, part int, keys binary, counts binary")
-    return asked.groupBy("kind", "part").applyInArrow(total, _REPLY)
+    return asked.groupBy("kind", "part").applyInArrow(_total, _REPLY)
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:

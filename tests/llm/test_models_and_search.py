@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,20 @@ def test_suffix_tree_matches_brute_force(docs, rows, empty, monkeypatch):
     assert nothing.train_tokens == 0 and nothing.score == 0
 
 
+def test_suffix_tree_totals_beyond_32_bits_and_large_divergences():
+    keys = np.array([5, 9], np.uint64)
+
+    def total(kind, *counts):
+        asked = [{"chunk": i, "kind": kind, "part": 0, "keys": suffix_tree._pack_keys(keys), "counts": suffix_tree.pack(np.array(c, suffix_tree._count_type(kind)))} for i, c in enumerate(counts)]
+        return suffix_tree._total(pa.Table.from_pylist(asked)).to_pylist()
+
+    found = total(0, [3_000_000_000, 1], [2_000_000_000, 0])
+    assert [suffix_tree.unpack(r["answers"], suffix_tree._answer_type(0)).tolist() for r in found] == [[5_000_000_000, 1]] * 2
+    assert (found[0]["n"], found[0]["v"]) == (5_000_000_001, 2)
+    found = total(3, [70_000.0, 2.0001], [-69_990.0, -0.0002])
+    assert [suffix_tree.unpack(r["answers"], suffix_tree._answer_type(3)).tolist() for r in found] == [[1, 0]] * 2
+
+
 def test_suffix_tree_beats_its_base_on_held_out_text(spark):
     got = queries.op1_suffix_tree(spark, SMALL).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
