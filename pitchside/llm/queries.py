@@ -22,6 +22,8 @@ from pitchside.llm import (
 )
 
 QUALITY_THRESHOLD = 0.3
+#: Words in the longest context of operator 1.
+MAX_CONTEXT = 10
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -37,7 +39,7 @@ def _remainder(n: int) -> Column:
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document under a suffix tree learned from documents with remainder 0, 2, 3 or 4 of 5."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(5) == 1).alias("held_out"))
-    return suffix_tree.score_documents(docs)
+    return suffix_tree.score_documents(docs, max_context=MAX_CONTEXT)
 
 
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Operator 1: language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of no, one or two words. The root is the add-0.5 unigram law (the base score). A context
+States are contexts of no to ``max_context`` words. The root is the add-0.5 unigram law (the base score). A context
 of s is retained if it predicts the training text better than its parent: its divergence, the sum over
 its training occurrences of log P(next | s) / P(next | parent) with the occurrence itself left out of the counts,
 must exceed GAIN. Next-symbol laws are smoothed by the parent's with weight KAPPA:
@@ -12,7 +12,8 @@ The tree is never in one place. In every round each chunk sends its distinct n-g
 training texts, to the part that owns their hash, gets the corpus totals back in the same order, and goes on:
 
 1. words and word pairs: counts, and the corpus totals N and V;
-2. triples whose first pair recurs and whose last pair is known: counts (no other triple is ever used);
+2. one word more a round, n-grams whose context recurs and whose last words are known: counts (no other n-gram is ever used),
+   until no context recurs or contexts have ``max_context`` words;
 3. contexts that recur: partial divergences; the answer is whether the context is retained;
 
 then every chunk scores its own texts. A chunk sends an n-gram once, however often it occurs, so a
@@ -39,6 +40,8 @@ from pitchside.sources.stage import stage
 KAPPA = 4.0
 GAIN = 2.0
 CHUNK_BYTES = 4 << 20
+#: Kinds of n-grams of m words are m - 1, of whether a context of k words is retained RETAINED + k.
+RETAINED = 1 << 10
 END = int(mix(np.array([0xE17D], np.uint64))[0] >> np.uint64(8))
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,85 +87,86 @@ class Chunk:
 
         n = len(self.tok)
         self.at = np.arange(n) - np.repeat(np.concatenate([[0], np.cumsum(self.lens)[:-1]]), self.lens)  # place in the text
-        words = self.vocab[self.tok]
-        self.second = np.flatnonzero(self.at >= 1)  # tokens with a word before them
-        pair = _follow(words[self.second - 1], words[self.second])
-        self.pairs, self.pair_of = _inverse(pair)
-        self.pair_at = np.full(n, -1)
-        self.pair_at[self.second] = self.pair_of
-        self.words = words
-
-    # Round 1
-    def ask_counts(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        ones = np.bincount(self.tok[self.train], minlength=len(self.vocab))
-        twos = np.bincount(self.pair_of[self.train[self.second]], minlength=len(self.pairs))
-        return [(0, self.vocab, ones), (1, self.pairs, twos)]
-
-    # Round 2
-    def _triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens whose triple must be asked for, the distinct triples, the triple of each)."""
-        two = self.got[1]
-        t = np.flatnonzero(self.at >= 2)
-        ctx, end = two[self.pair_at[t - 1]], two[self.pair_at[t]]
-        t = t[(ctx >= 2) & (end >= 1)]
-        keys, of = _inverse(_follow(self.pairs[self.pair_at[t - 1]], self.words[t]))
-        return t, keys, of
-
-    def ask_triples(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        t, keys, of = self._triples()
-        return [(2, keys, np.bincount(of[self.train[t]], minlength=len(keys)))]
-
-    # Round 3
-    def _laws(self, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(P0, P1, P2, pair count of the context) per token; ``leave_out``: each training token's own occurrence is not counted."""
-        one, two = self.got[0], self.got[1]
-        p0 = (one[self.tok] + 0.5) / (self.total + 0.5 * (self.kinds + 1))
-        out = (self.train if leave_out else np.zeros(len(p0), bool)).astype(float)
-        p1, p2 = p0.copy(), p0.copy()
-        s = self.second
-        c, n = one[self.tok[s - 1]].astype(float), two[self.pair_of].astype(float)
-        p1[s] = (np.maximum(n - out[s], 0) + KAPPA * p0[s]) / (np.maximum(c - out[s], 0) + KAPPA)
-        three = np.zeros(len(p0))
-        t, _, of = self._triples()
-        three[t] = self.got[2][of] if 2 in self.got and len(t) else 0
-        ctx = np.zeros(len(p0))
-        far = np.flatnonzero(self.at >= 2)
-        ctx[far] = two[self.pair_at[far - 1]]
-        p2[far] = (np.maximum(three[far] - out[far], 0) + KAPPA * p1[far]) / (np.maximum(ctx[far] - out[far], 0) + KAPPA)
-        return p0, p1, p2, ctx
-
-    def _contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words and of the pairs that recur as contexts."""
-        return np.flatnonzero((self.got[0] >= 2) & (self.vocab != np.uint64(END))), np.flatnonzero(self.got[1] >= 2)
-
-    def ask_retained(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        p0, p1, p2, _ = self._laws(True)
-        words, pairs = self._contexts()
-        s = self.second[self.train[self.second]]
-        g1 = np.bincount(self.tok[s - 1], weights=np.log(p1[s] / p0[s]), minlength=len(self.vocab))
-        t = np.flatnonzero((self.at >= 2) & self.train)
-        g2 = np.bincount(self.pair_at[t - 1], weights=np.log(p2[t] / p1[t]), minlength=len(self.pairs))
-        return [(3, self.vocab[words], g1[words]), (4, self.pairs[pairs], g2[pairs])]
+        self.words = self.vocab[self.tok]
+        # Of each level (words in an n-gram): the tokens it is asked for, its distinct hashes, the number of each token's, and totals.
+        self.tokens, self.keys, self.of, self.count = [np.arange(n)], [self.vocab], [self.tok], []
+        self.level(1)
+        self.tokens.append(np.flatnonzero(self.at >= 1))
+        self._hash()
+        while self.level(len(self.count) + 1):
+            # Longer n-grams: of contexts that recur, and whose shorter n-gram is known.
+            far, count = self.tokens[-1], self.count[-1]
+            far = far[(self.at[far] >= len(self.count)) & (count[far - 1] >= 2) & (count[far] >= 1)]
+            self.tokens.append(far)
+            self._hash()
+
+    def level(self, m: int) -> bool:
+        """Whether the totals of n-grams of ``m`` words are there; if so, each token's is kept (0: not asked for)."""
+        if m - 1 not in self.got or m > len(self.tokens):
+            return False
+        count = np.zeros(len(self.tok))
+        count[self.tokens[m - 1]] = self.got[m - 1][self.of[m - 1]]
+        self.count.append(count)
+        return True
+
+    def _hash(self) -> None:
+        """Hashes of the n-grams that end at the last level's tokens, from those of one word less that end a token before."""
+        t = self.tokens[-1]
+        before = np.zeros(len(self.tok), np.uint64)
+        before[self.tokens[-2]] = self.keys[-1][self.of[-1]] if len(self.keys[-1]) else 0
+        keys, of = _inverse(_follow(before[t - 1], self.words[t]))
+        self.keys.append(keys)
+        self.of.append(of)
+
+    def ask_counts(self, levels: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """How often the n-grams of ``levels`` words occur in the chunk's training texts."""
+        out = []
+        for m in levels:
+            t, of = self.tokens[m - 1], self.of[m - 1]
+            out.append((m - 1, self.keys[m - 1], np.bincount(of[self.train[t]], minlength=len(self.keys[m - 1]))))
+        return out
+
+    def _root(self) -> np.ndarray:
+        return (self.count[0] + 0.5) / (self.total + 0.5 * (self.kinds + 1))
+
+    def _contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens whose context of ``k`` words recurs, the number of that context at level ``k``)."""
+        number = np.full(len(self.tok), -1)
+        number[self.tokens[k - 1]] = self.of[k - 1]
+        t = np.flatnonzero(self.at >= k)
+        t = t[self.count[k - 1][t - 1] >= 2]
+        return t, number[t - 1]
+
+    def ask_retained(self, levels: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Partial divergences of the contexts of ``levels`` words; a training token's own occurrence is not counted."""
+        out = []
+        p = self._root()
+        for k in levels:
+            t, number = self._contexts(k)
+            own = self.train[t].astype(float)
+            longer = (np.maximum(self.count[k][t] - own, 0) + KAPPA * p[t]) / (np.maximum(self.count[k - 1][t - 1] - own, 0) + KAPPA)
+            gain = np.bincount(number, weights=np.where(self.train[t], np.log(longer / p[t]), 0), minlength=len(self.keys[k - 1]))
+            recurs = self._recurring(k)
+            out.append((RETAINED + k, self.keys[k - 1][recurs], gain[recurs]))
+            p[t] = longer
+        return out
+
+    def _recurring(self, k: int) -> np.ndarray:
+        return np.flatnonzero((self.got[k - 1] >= 2) & ((self.keys[k - 1] != np.uint64(END)) | (k > 1)))
 
     def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, score) of each document."""
-        p0, p1, p2, _ = self._laws(False)
-        words, pairs = self._contexts()
-        one_state, two_state = np.zeros(len(self.vocab), bool), np.zeros(len(self.pairs), bool)
-        one_state[words], two_state[pairs] = self.got[3] > 0, self.got[4] > 0
-        p = p0.copy()
-        s = self.second
-        on1 = np.zeros(len(p), bool)
-        on1[s] = one_state[self.tok[s - 1]]
-        p[on1] = p1[on1]
-        far = np.flatnonzero(self.at >= 2)
-        far = far[two_state[self.pair_at[far - 1]]]
-        # The parent of a pair is its last word if that is a state, else the root.
-        ctx = self.got[1][self.pair_at[far - 1]]
-        n = p2[far] * (ctx + KAPPA) - KAPPA * p1[far]  # c(s x)
-        p[far] = (np.maximum(n, 0) + KAPPA * p[far]) / (ctx + KAPPA)
+        base = self._root()
+        p = base.copy()
+        for k in range(1, len(self.count)):
+            state = np.zeros(len(self.keys[k - 1]), bool)
+            state[self._recurring(k)] = self.got[RETAINED + k] > 0
+            t, number = self._contexts(k)
+            t = t[state[number]]
+            # The parent of a context is its longest ending that is a state, else the root.
+            p[t] = (self.count[k][t] + KAPPA * p[t]) / (self.count[k - 1][t - 1] + KAPPA)
         by_doc = lambda x: np.bincount(self.doc, weights=x, minlength=len(self.lens))
-        return by_doc(self.got[0][self.tok] > 0).astype(np.int64), by_doc(np.log10(p0)), by_doc(np.log10(p))
+        return by_doc(self.got[0][self.tok] > 0).astype(np.int64), by_doc(np.log10(base)), by_doc(np.log10(p))
 
 
 def _inverse(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,12 +205,12 @@ def _tokenise(rows: DataFrame, kind: str) -> DataFrame:
 
 def _count_type(kind: int) -> type:
     """How a chunk's counts (at most its tokens) and partial divergences are sent."""
-    return np.uint32 if kind < 3 else np.float64
+    return np.uint32 if kind < RETAINED else np.float64
 
 
 def _answer_type(kind: int) -> type:
     """How corpus totals and whether a context is retained are answered."""
-    return np.uint64 if kind < 3 else np.uint8
+    return np.uint64 if kind < RETAINED else np.uint8
 
 
 _REPLY = "chunk long, kind int, part int, answers binary, n long, v long"
@@ -221,20 +225,21 @@ def _total(asked: pa.Table) -> pa.Table:
     counts = np.concatenate([unpack(r["counts"], _count_type(kind)) for r in rows])
     distinct, of = _inverse(np.concatenate(keys))
     sums = np.bincount(of, weights=counts.astype(float), minlength=len(distinct))
-    answers = sums if kind < 3 else sums > GAIN
-    n, v = (int(sums.sum()), int((sums > 0).sum())) if kind == 0 else (0, 0)
+    answers = sums if kind < RETAINED else sums > GAIN
+    # Of words: occurrences and kinds; of longer n-grams: those that recur.
+    n, v = (int(sums.sum()), int((sums > 0).sum())) if kind == 0 else (0, int((sums >= 2).sum()) if kind < RETAINED else 0)
     own = np.split(answers.astype(_answer_type(kind))[of], sizes[:-1])
     return pa.table({"chunk": [r["chunk"] for r in rows], "kind": pa.array([kind] * len(rows), pa.int32()), "part": pa.array([r["part"] for r in rows], pa.int32()),
                      "answers": pa.array([pack(a) for a in own], pa.binary()), "n": [n] * len(rows), "v": [v] * len(rows)})
 
 
-def _round(chunks: DataFrame, replies: DataFrame, ask: str, parts: int) -> DataFrame:
-    """The replies to what ``Chunk.ask`` asks, for all chunks."""
+def _round(chunks: DataFrame, replies: DataFrame, ask: str, levels: list[int], parts: int) -> DataFrame:
+    """The replies to what ``Chunk.ask`` asks of ``levels``, for all chunks."""
 
     def send(chunk: pa.Table, got: pa.Table) -> pa.Table:
         out = []
         for row in chunk.to_pylist():
-            for kind, keys, counts in getattr(Chunk(row, got.to_pylist()), ask)():
+            for kind, keys, counts in getattr(Chunk(row, got.to_pylist()), ask)(levels):
                 counts = counts.astype(_count_type(kind))
                 owner = ((keys >> np.uint64(24)) * np.uint64(parts)) >> np.uint64(32)
                 cut = np.searchsorted(owner, np.arange(parts + 1))
@@ -246,12 +251,13 @@ def _round(chunks: DataFrame, replies: DataFrame, ask: str, parts: int) -> DataF
     return asked.groupBy("kind", "part").applyInArrow(_total, _REPLY)
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", max_context: int = 2) -> DataFrame:
     """(id_col, held_col, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model learns from the rows whose ``held_col`` is not true. Scores are log10 probabilities of the whole text: its words and
     one end. Null and empty texts have the end alone. Repeated rows count each time and have equal scores; without training rows
-    every token has the root's law over nothing (score 0). An empty table gives no rows.
+    every token has the root's law over nothing (score 0). An empty table gives no rows. Contexts have at most ``max_context`` words;
+    longer n-grams are counted until no context recurs.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
@@ -263,8 +269,17 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     _tokenise(rows, kind).write.bucketBy(parts, "chunk").option("path", path).saveAsTable(name)
     chunks = spark.table(name)
     replies = spark.createDataFrame([], _REPLY)
-    for ask in ("ask_counts", "ask_triples", "ask_retained"):
-        replies = replies.union(stage(_round(chunks, replies, ask, parts), ask))
+    asked, m = [1, 2], 2
+    while True:
+        new = stage(_round(chunks, replies, "ask_counts", asked, parts), "ask_counts")
+        replies = replies.union(new)
+        recurs = new.filter(F.col("kind") == m - 1).agg(F.max("v")).first()[0]
+        if m > max_context or not recurs:
+            break
+        m += 1
+        asked = [m]
+    # n-grams of up to m words are counted: contexts have up to m - 1.
+    replies = replies.union(stage(_round(chunks, replies, "ask_retained", list(range(1, m)), parts), "ask_retained"))
 
     def score(chunk: pa.Table, got: pa.Table) -> pa.Table:
         out = []

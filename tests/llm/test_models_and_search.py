@@ -77,8 +77,52 @@ def test_suffix_tree_totals_beyond_32_bits_and_large_divergences():
     found = total(0, [3_000_000_000, 1], [2_000_000_000, 0])
     assert [suffix_tree.unpack(r["answers"], suffix_tree._answer_type(0)).tolist() for r in found] == [[5_000_000_000, 1]] * 2
     assert (found[0]["n"], found[0]["v"]) == (5_000_000_001, 2)
-    found = total(3, [70_000.0, 2.0001], [-69_990.0, -0.0002])
-    assert [suffix_tree.unpack(r["answers"], suffix_tree._answer_type(3)).tolist() for r in found] == [[1, 0]] * 2
+    found = total(suffix_tree.RETAINED + 1, [70_000.0, 2.0001], [-69_990.0, -0.0002])
+    assert [suffix_tree.unpack(r["answers"], suffix_tree._answer_type(suffix_tree.RETAINED + 1)).tolist() for r in found] == [[1, 0]] * 2
+
+
+def test_suffix_tree_of_long_contexts_matches_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    near = "b c d e f".split()
+    texts = []
+    for i in range(90):   # what follows "b c d e f" depends on the word six places back
+        w = [f"x{k}" for k in rng.integers(0, 6, 4)]
+        first = ["p", "q", "r"][i % 3]
+        texts.append((i, w + [first, *near, first + "end"] + [f"x{k}" for k in rng.integers(0, 6, 3)], i % 5 == 0))
+    texts += [(100 + i, [f"w{k}" for k in range(30)], False) for i in range(4)]
+    depth, k = 10, suffix_tree.KAPPA
+    grams = Counter()
+    tokens = [(i, [*w, 0], out) for i, w, out in texts]
+    for _, w, out in tokens:
+        if not out:
+            grams.update(tuple(w[t:t + m]) for m in range(1, depth + 2) for t in range(len(w) - m + 1))
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    root = lambda x: (grams[x,] + 0.5) / (n + 0.5 * (v + 1))
+    gain = defaultdict(float)
+    for _, w, out in tokens:
+        for t in range(0 if out else len(w)):
+            p = root(w[t])
+            for m in range(1, min(depth, t) + 1):
+                s = tuple(w[t - m:t])
+                if grams[s] >= 2:
+                    q = (grams[*s, w[t]] - 1 + k * p) / (grams[s] - 1 + k)
+                    gain[s] += math.log(q / p)
+                    p = q
+    states = {s for s, g in gain.items() if g > suffix_tree.GAIN}
+    assert ("p", *near) in states and max(map(len, states)) > 5
+    want = {}
+    for i, w, _ in tokens:
+        want[i] = 0.0
+        for t, x in enumerate(w):
+            p = root(x)
+            for m in range(1, min(depth, t) + 1):
+                s = tuple(w[t - m:t])
+                if s in states:
+                    p = (grams[*s, x] + k * p) / (grams[s] + k)
+            want[i] += math.log10(p)
+    df = spark.createDataFrame([(i, " ".join(w), out) for i, w, out in texts], "doc_id long, text string, held_out boolean").repartition(3)
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(df, max_context=depth).collect()}
+    assert got == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
 
 
 def test_suffix_tree_beats_its_base_on_held_out_text(spark):
