@@ -297,7 +297,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = stage(found.groupBy("core").count().filter("count > 1").select("core"), "shared-cores")
     shared = stage(found.join(shared, "core"), "shared-anchors")
     spans = _span_table(shared, rows)
-    per_row = spans.groupBy("r").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))  # at most the anchors and windows of one text
+    # Equal rows share r: their runs are told apart by nothing, so one of each is enough.
+    per_row = spans.distinct().groupBy("r").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))  # at most the anchors and windows of one text
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

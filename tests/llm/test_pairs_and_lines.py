@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from llm_cases import docs, empty, frame, rows  # noqa: F401  (fixtures)
+from llm_cases import docs, empty, frame, plan_text, rows  # noqa: F401  (fixtures)
 from pitchside.llm import fuzzy_lines, linking, lyndon_suffix, superminhash
 from pitchside.llm.components import components
 
@@ -223,3 +223,20 @@ def test_passage_with_many_surroundings_and_windows_one_by_one(spark, monkeypatc
     assert sum(x[2] for x in want) > 10_000 and removed(df) == want
     monkeypatch.setattr(lyndon_suffix, "GROUP", 3)
     assert removed(df) == want
+
+
+def test_equal_rows_send_their_runs_once(spark, monkeypatch):
+    text = "".join(chr(97 + int(x)) for x in np.random.default_rng(5).integers(0, 26, 900))
+    df = spark.createDataFrame([(1, text)] * 40 + [(None, text)] * 30 + [(2, text[:700])], "doc_id long, text string")
+    most, plain_stage = [], lyndon_suffix.stage
+
+    def watch(table, name):
+        if name == "removed-spans":
+            most.append(plan_text(table))
+        return plain_stage(table, name)
+
+    monkeypatch.setattr(lyndon_suffix, "stage", watch)
+    got = lyndon_suffix.remove_repeats(df).collect()
+    assert len(got) == 71 and all(r.n_bytes == s.end - s.start for r in got for s in r.spans) and all(len(r.spans) == 1 for r in got)
+    keys = [x for x in most[0].splitlines() if "Aggregate" in x and "r#" in x and "first#" in x and "last#" in x and "collect_list" not in x]
+    assert keys
