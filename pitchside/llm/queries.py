@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside.llm import (
+    active_lloyd,
     attention_mil,
     bpe_trie,
+    budgeted_windows,
     centroid_langid,
     fuzzy_lines,
     hypergeometric_shards,
     lyndon_suffix,
     positional_index,
     rp_forest,
+    segment_bounds,
     suffix_tree,
     superminhash,
 )
@@ -113,10 +116,33 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_active_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every embedding: 16 parts, 64 entries a part, 2 rounds; errors, and a digest of the codebooks."""
+    codes, books = active_lloyd.vector_codes(_table(spark, sf_dir, "embeddings"))
+    found = active_lloyd.with_label_error(codes)
+    return found.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                        F.lit(active_lloyd.codebook_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted in windows; digests of what is read back from them."""
+    control = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
+    return budgeted_windows.digest(budgeted_windows.chat_windows(turns))
+
+
+def op13_segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vec_id divisible by 100, for each of its 5 positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return segment_bounds.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_tree, op2_fuzzy_lines, op3_centroid_langid, op4_trie_bpe, op5_hypergeometric_shards, op6_positional_index, op7_lyndon_suffix,
-        op8_rp_forest, op9_superminhash, op10_attention_mil)
+        op8_rp_forest, op9_superminhash, op10_attention_mil, op11_active_lloyd, op12_budgeted_windows, op13_segment_bounds)
 }
 
 _SQL_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
@@ -139,3 +165,74 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """}
+
+
+def _lloyd_sql(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    """Codes by full rescans: one assignment and one update per round, and the last assignment."""
+    comps, part_sum = [f"c{j}" for j in range(width)], " + ".join(f"(x.c{j} - b.c{j}) * (x.c{j} - b.c{j})" for j in range(width))
+    cut = ", ".join(f"v[{width} * p + {j + 1}] AS c{j}" for j in range(width))
+    steps = [f"""
+k AS (SELECT row_number() OVER () AS rid, vec_id, label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT rid, p, {cut} FROM k, (SELECT unnest(range(0, {parts})) AS p)),
+b0 AS (SELECT x.p, s.e, {', '.join('x.' + c for c in comps)} FROM x
+       JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM k) s ON x.rid = s.rid AND s.e < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT x.rid, x.p, min(({part_sum}) * {entries} + b.e) AS m FROM x JOIN b{r} b ON x.p = b.p GROUP BY x.rid, x.p)""")
+        if r < rounds:
+            means = ", ".join(f"CAST(floor(sum(x.{c}) / count(*)) AS BIGINT) AS {c}" for c in comps)
+            steps.append(f"""u{r} AS (SELECT x.p, a.m % {entries} AS e, {means} FROM x JOIN a{r} a ON x.rid = a.rid AND x.p = a.p GROUP BY 1, 2)""")
+            steps.append(f"""b{r + 1} AS (SELECT b.p, b.e, {', '.join(f'coalesce(u.{c}, b.{c}) AS {c}' for c in comps)}
+      FROM b{r} b LEFT JOIN u{r} u ON b.p = u.p AND b.e = u.e)""")
+    flat = "concat_ws(',', " + ", ".join(comps) + ")"
+    return f"""WITH {', '.join(steps)},
+f AS (SELECT rid, string_agg(lower(printf('%02x', m % {entries})), '' ORDER BY p) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error
+      FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg({flat}, ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM k JOIN f USING (rid)"""
+
+
+def _safe_sql(column: str) -> str:
+    return f"replace(replace(replace({column}, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t')"
+
+
+def _windows_sql(budget: int = budgeted_windows.BUDGET, history: int = budgeted_windows.HISTORY) -> str:
+    """Lengths from windows over running sums; the digests from the turns themselves."""
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
+t AS (SELECT *, '### ' || replace({_safe_sql('role')}, ':', '\\c') || ': ' || {_safe_sql('text')} || '</turn>' || chr(10) AS piece,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM c),
+s AS (SELECT *, CAST(ceil(strlen(piece) / 4.0) AS BIGINT) AS tokens FROM t),
+h AS (SELECT conv_id, tokens AS system, length(piece) AS system_chars FROM s WHERE n = 1 AND role = 'system' AND tokens <= {budget // 2}),
+e AS (SELECT s.*, coalesce(system, 0) AS system, system_chars, {budget - history} - coalesce(system, 0) AS room,
+             sum(tokens) OVER (PARTITION BY s.conv_id ORDER BY n) - coalesce(system, 0) AS ends
+      FROM s LEFT JOIN h USING (conv_id)),
+b AS (SELECT *, ends - tokens AS starts, CAST(floor((ends - tokens) / room) AS BIGINT) AS bucket FROM e WHERE NOT (n = 1 AND system > 0)),
+f AS (SELECT *, min(starts) OVER (PARTITION BY conv_id, bucket) AS first_start FROM b),
+w AS (SELECT *, CASE WHEN ends - first_start > room AND starts > first_start THEN starts ELSE first_start END AS win FROM f),
+o AS (SELECT DISTINCT conv_id, win, system_chars FROM w),
+again AS (SELECT o.conv_id, sum(length(w.piece)) AS chars FROM o JOIN w ON w.conv_id = o.conv_id AND w.ends <= o.win AND w.starts >= o.win - {history} GROUP BY 1),
+sys AS (SELECT conv_id, sum(system_chars) AS chars FROM o WHERE win > 0 GROUP BY 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (sum(length(piece)) + coalesce(any_value(again.chars), 0) + coalesce(any_value(sys.chars), 0))::BIGINT AS formatted_chars
+FROM s LEFT JOIN again USING (conv_id) LEFT JOIN sys USING (conv_id) GROUP BY conv_id"""
+
+
+ORACLE_SQL |= {"op11_active_lloyd": _lloyd_sql(), "op12_budgeted_windows": _windows_sql(), "op13_segment_bounds": """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+      FROM r a JOIN r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""}
