@@ -69,3 +69,12 @@ def compare(active: DataFrame, pairs: DataFrame, variant: str = "v2") -> DataFra
     return joined.select("player1_id", "player2_id", F.explode(items).alias("_s")).select(
         "player1_id", "player2_id", F.col("_s.ord").alias("ord"), F.col("_s.stat").alias("stat"),
         F.col("_s.player1").alias("player1"), F.col("_s.player2").alias("player2"))
+
+
+def named_pairs(active: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(player1_id, player2_id) of pairs of full names, for ``compare``; players who share a name are paired each, unknown names with nobody."""
+    spark = active.sparkSession
+    said = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "n1 string, n2 string")
+    first = active.select(F.col("full_name").alias("n1"), F.col("id").alias("player1_id"))
+    second = active.select(F.col("full_name").alias("n2"), F.col("id").alias("player2_id"))
+    return said.join(first, "n1").join(second, "n2").select("player1_id", "player2_id")

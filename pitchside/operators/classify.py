@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.functions.exprs import clip
+from pitchside.operators.filters import lookup_players
 
 # The ten features the importance chart names, in its order.
 MODEL_FEATURES = ["form_weight", "points_per_90", "momentum", "efficiency", "goals_per_90",
@@ -27,9 +28,9 @@ def score(df: DataFrame) -> F.Column:
     return clip(total / F.lit(K.CLASSIFY_DIVISOR), K.CLASSIFY_MIN, K.CLASSIFY_MAX)
 
 
-def classify_rules(features: DataFrame, ids=None) -> DataFrame:
+def classify_rules(features: DataFrame, ids=None, names=None) -> DataFrame:
     """Three rows per player (SVM, Random Forest, XGBoost): label, probabilities, confidence."""
-    df = features if ids is None else features.filter(F.col("id").isin([int(i) for i in ids]))
+    df = lookup_players(features, ids, names)
     df = df.select("id", score(df).alias("_score"))
     margin = F.abs(F.col("_score") - F.lit(K.CLASSIFY_THRESHOLD))
     rows = []

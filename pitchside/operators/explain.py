@@ -32,13 +32,13 @@ def decision_path(features: DataFrame, ids=None, names=None) -> DataFrame:
         "id", "_s.step_no", "_s.step", "_s.value", "_s.explanation")
 
 
-def local_contributions(features: DataFrame, ids=None) -> DataFrame:
+def local_contributions(features: DataFrame, ids=None, names=None) -> DataFrame:
     """Seven weighted features per player, centred on that player's own mean, ranked ascending.
 
     The ranking is a per-row ``array_sort`` (ties keep the feature order), so
     there is no window and no shuffle.
     """
-    df = features if ids is None else features.filter(F.col("id").isin([int(i) for i in ids]))
+    df = lookup_players(features, ids, names)
     raw = [(name, F.col(name) * F.lit(weight)) for name, weight in K.CONTRIBUTION_WEIGHTS]
     total = raw[0][1]
     for _, c in raw[1:]:

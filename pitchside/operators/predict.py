@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.functions.exprs import clip, lookup, num_text
+from pitchside.operators.filters import lookup_players
 from pitchside.operators.fixtures import resolve_difficulty
 
 
@@ -47,8 +48,9 @@ def predict(active: DataFrame, upcoming: DataFrame | None = None, gameweek: int
     )
 
 
-def prediction_card(predictions: DataFrame) -> DataFrame:
-    """The 13-row (metric, value) card per player, as text."""
+def prediction_card(predictions: DataFrame, ids=None, names=None) -> DataFrame:
+    """The 13-row (metric, value) card per player, as text; ``ids`` or ``names`` narrow it to some players."""
+    predictions = lookup_players(predictions, ids, names)
     d = F.col("fixture_difficulty")
     labels = F.array(*[F.lit(f"({name})") for name in K.DIFFICULTY_LABELS])
     label = F.coalesce(F.get(labels, d - 1), F.lit("NA"))
@@ -76,8 +78,9 @@ def prediction_card(predictions: DataFrame) -> DataFrame:
         "id", F.col("_c.row").alias("row"), F.col("_c.metric").alias("metric"), F.col("_c.value").alias("value"))
 
 
-def difficulty_sweep(active: DataFrame, current: int = K.DEFAULT_MANUAL_DIFFICULTY) -> DataFrame:
-    """Prediction at each difficulty 1..5 for every player; ``is_current`` marks the selected one."""
+def difficulty_sweep(active: DataFrame, current: int = K.DEFAULT_MANUAL_DIFFICULTY, ids=None, names=None) -> DataFrame:
+    """Prediction at each difficulty 1..5 for every player (or those of ``ids`` or ``names``); ``is_current`` marks the selected one."""
+    active = lookup_players(active, ids, names)
     labels = F.array(*[F.lit(name) for name in K.DIFFICULTY_LABELS])
     swept = active.select("id", "position", "form_numeric", "points_per_game_numeric",
                           F.explode(F.sequence(F.lit(1), F.lit(len(K.DIFFICULTY_LABELS)))).alias("difficulty"))

@@ -19,8 +19,9 @@ from pitchside.functions import constants as K
 from pitchside.operators import (aggregates, cards, classify, explain, features, filters, fixtures, players,
                                  predict, rankings, stats, timeseries)
 from pitchside.plans.oracle import CHECK_DIGITS
-from pitchside.sources import json_docs, sinks, testdata
+from pitchside.sources import json_docs, landing, sinks, testdata
 from pitchside.sources.stage import Staging
+from pitchside.streaming import snapshots
 
 
 class League:
@@ -104,26 +105,58 @@ class League:
 
     @cached_property
     def landed(self) -> str:
-        """A landing folder with two snapshots; the older one has every player's points changed."""
-        path = self._folder("landing")
-        older = self.players_raw.withColumn("total_points", F.col("total_points") + 7)
-        json_docs.land_bootstrap(older, self.teams, self.positions, f"{path}/snapshot-1")
-        json_docs.land_bootstrap(self.players_raw, self.teams, self.positions, f"{path}/snapshot-2")
+        """A landing folder of players: an older snapshot with other points and players who left since, the current one, and one that never became complete."""
+        path, raw = self._folder("landing"), self.players_raw
+        left = raw.filter("id % 10 = 0").withColumn("id", F.col("id") + 1_000_000_000)
+        older = raw.withColumn("total_points", F.col("total_points") + 7).unionByName(left)
+        json_docs.land_bootstrap(older, self.teams, self.positions, path)
+        json_docs.land_bootstrap(raw, self.teams, self.positions, path)
+        landing.write_documents(json_docs.bootstrap_documents(older, self.teams, self.positions), path, landing.SNAPSHOT, 3)
         return path
 
     def players_from_documents(self) -> DataFrame:
-        raw, teams, positions = json_docs.read_bootstrap(self.spark, f"{self.landed}/snapshot-*")
-        return players.build_players(raw, teams, positions)
+        return players.build_players(*json_docs.read_bootstrap(self.spark, self.landed, staging=self._staging))
+
+    def players_after_changes(self) -> DataFrame:
+        """A snapshot, a newer one without the players who left, then changes of some players' points."""
+        path, raw = self._folder("landing"), self.players_raw
+        json_docs.land_bootstrap(raw, self.teams, self.positions, path)
+        stayed = raw.filter("id % 7 <> 0")
+        json_docs.land_bootstrap(stayed, self.teams, self.positions, path)
+        changed = stayed.filter("id % 5 = 1").withColumn("total_points", F.col("total_points") + 10)
+        json_docs.land_bootstrap(changed, self.teams.limit(0), self.positions.limit(0), path, kind=landing.CHANGES)
+        return players.build_players(*json_docs.read_bootstrap(self.spark, path, staging=self._staging))
+
+    def streamed_players(self) -> DataFrame:
+        """The player table as the stream over the landing folder publishes it, all that has landed being done."""
+        out = self._folder("streamed")
+        query = snapshots.start_player_refresh(self.spark, self.landed, out, query_name=None, checkpoint_location=self._folder("stream"),
+                                               available_now=True)
+        query.awaitTermination()
+        return snapshots.latest_players(self.spark, out)
 
     def fixtures_from_document(self) -> DataFrame:
         path = self._folder("fixtures-document")
         json_docs.land_fixtures(self.fixtures_raw, path)
-        return json_docs.load_upcoming(self.spark, path, self.teams)
+        return json_docs.load_upcoming(self.spark, path, self.teams, self._staging)
+
+    def fixtures_after_changes(self) -> DataFrame:
+        """Upcoming fixtures after a second snapshot (some finished, some moved, some withdrawn) and changes of difficulty."""
+        path, raw = self._folder("fixtures-landing"), self.fixtures_raw
+        json_docs.land_fixtures(raw, path)
+        later = raw.filter("id % 9 <> 0").withColumn("finished", F.col("finished") | (F.col("id") % 4 == 0)) \
+            .withColumn("event", F.when(F.col("id") % 6 == 1, F.col("event") + 1).otherwise(F.col("event")))
+        json_docs.land_fixtures(later, path)
+        harder = later.filter("id % 13 = 2").withColumn("team_h_difficulty", F.lit(5))
+        json_docs.land_fixtures(harder, path, kind=landing.CHANGES)
+        return json_docs.load_upcoming(self.spark, path, self.teams, self._staging)
 
     def published_players(self) -> DataFrame:
+        """Published twice; readers follow the newest version."""
         path = self._folder("published")
+        sinks.publish(self.players.withColumn("total_points", F.col("total_points") + 7), path)
         sinks.publish(self.players, path)
-        return self.spark.read.parquet(path)
+        return sinks.read_published(self.spark, path)
 
 
 class LandedLeague(League):
@@ -136,7 +169,7 @@ class LandedLeague(League):
     def __init__(self, spark: SparkSession, bootstrap_path: str, fixtures_path: str,
                  player_points: DataFrame | None = None):
         super().__init__(spark, sf_dir="")
-        self._bootstrap = json_docs.read_bootstrap(spark, bootstrap_path)
+        self._bootstrap = json_docs.read_bootstrap(spark, bootstrap_path, staging=self._staging)
         self._fixtures_path = fixtures_path
         self._points = player_points
 
@@ -154,7 +187,7 @@ class LandedLeague(League):
 
     @cached_property
     def fixtures_raw(self) -> DataFrame | None:
-        return json_docs.read_fixtures(self.spark, self._fixtures_path)
+        return json_docs.read_fixtures(self.spark, self._fixtures_path, staging=self._staging)
 
     @cached_property
     def upcoming(self) -> DataFrame:
@@ -241,7 +274,7 @@ QUERIES: dict[str, Callable[[League], DataFrame]] = {
         "id", "team", "fixture_id", "gameweek", "fixture_difficulty"),
     "predict": lambda L: predict.predict(L.active, L.upcoming, per_week=L.fixtures_per_week),
     "predict_gameweek": lambda L: predict.predict(L.active, L.upcoming, gameweek=20),
-    "predict_no_fixtures": lambda L: predict.predict(L.active, json_docs.load_upcoming(L.spark, L.landed + "/no-fixtures.json", L.teams)),
+    "predict_no_fixtures": lambda L: predict.predict(L.active, json_docs.load_upcoming(L.spark, L._folder("no-fixtures"), L.teams)),
     "predict_manual": lambda L: predict.predict(L.active, None, manual=2),
     "prediction_card": lambda L: predict.prediction_card(predict.predict(L.active, L.upcoming, per_week=L.fixtures_per_week)),
     "prediction_card_manual": lambda L: predict.prediction_card(predict.predict(L.active, None, manual=2)),
@@ -260,6 +293,13 @@ QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "lookup_no_match": lambda L: _players_cols(filters.lookup_players(L.active, names=["Nobody"])),
     "radar_one": lambda L: cards.radar(L.active, names=["Customer 000000007"]),
     "decision_path_one": lambda L: explain.decision_path(L.features, names=["Customer 000000007"]),
+    "prediction_card_one": lambda L: predict.prediction_card(
+        predict.predict(L.active, L.upcoming, per_week=L.fixtures_per_week), names=["Customer 000000007"]),
+    "difficulty_sweep_one": lambda L: predict.difficulty_sweep(L.active, ids=[7, 11]),
+    "local_contributions_one": lambda L: explain.local_contributions(L.features, names=["Customer 000000007"]),
+    "classify_rules_one": lambda L: classify.classify_rules(L.features, names=["Customer 000000007"]),
+    "compare_named": lambda L: cards.compare(L.active, cards.named_pairs(
+        L.active, [("Customer 000000007", "Customer 000000011"), ("Customer 000000011", "Nobody")])),
     # the older table's variants
     "elite_squad_v1": lambda L: rankings.elite_squad(L.active_v1),
     "position_distribution_v1": lambda L: aggregates.position_distribution(L.active_v1),
@@ -269,7 +309,10 @@ QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "filter_domains_v1": lambda L: aggregates.filter_domains(L.active_v1),
     # landed documents and the published table
     "players_from_documents": lambda L: _players_cols(L.players_from_documents()),
+    "players_after_changes": lambda L: _players_cols(L.players_after_changes()),
+    "streamed_players": lambda L: _players_cols(L.streamed_players()),
     "fixtures_from_document": lambda L: L.fixtures_from_document(),
+    "fixtures_after_changes": lambda L: L.fixtures_after_changes(),
     "published_players": lambda L: _players_cols(L.published_players()),
     # statistics
     "feature_correlation": lambda L: stats.feature_correlation(L.features),

@@ -298,7 +298,7 @@ def _radar_v1() -> str:
     return _with("\nUNION ALL\n".join(parts), f"rv1 AS ({inner})")
 
 
-def _compare(variant: str) -> str:
+def _compare(variant: str, chosen: str | None = None) -> str:
     table = "active" if variant == "v2" else "active_v1"
     stats = [("Goals", "goals_scored", 1), ("Assists", "assists", 1), ("Clean Sheets", "clean_sheets", 1),
              ("Total Points", "total_points", 1)]
@@ -311,7 +311,7 @@ def _compare(variant: str) -> str:
     pairs = f"""best AS (
   SELECT position, id FROM (SELECT position, id, row_number() OVER (PARTITION BY position
                                    ORDER BY total_points DESC, id) AS rn FROM {table}) WHERE rn = 1),
-pairs AS (SELECT a.id AS p1, b.id AS p2 FROM {table} a JOIN best b ON a.position IS NOT DISTINCT FROM b.position)"""
+pairs AS ({chosen or f"SELECT a.id AS p1, b.id AS p2 FROM {table} a JOIN best b ON a.position IS NOT DISTINCT FROM b.position"})"""
     return _with("\nUNION ALL\n".join(parts), pairs)
 
 
@@ -487,6 +487,22 @@ UNION ALL SELECT model, 'precision', tp / nullif(p, 0)::DOUBLE FROM m
 UNION ALL SELECT model, 'recall', tp / nullif(t, 0)::DOUBLE FROM m"""
 
 
+_SWEEP = _with(
+    "SELECT id, difficulty, CASE difficulty WHEN 1 THEN 'Very Easy' WHEN 2 THEN 'Easy' WHEN 3 THEN 'Average' "
+    "WHEN 4 THEN 'Hard' WHEN 5 THEN 'Very Hard' END AS label, "
+    f"{_br(_SWEEP_X, 1)} "
+    "AS predicted_points, difficulty = 3 AS is_current "
+    "FROM (SELECT a.*, CAST(d.range AS INTEGER) AS difficulty FROM active a, range(1, 6) d)")
+
+
+def _changed(table: str, select: str, body: str) -> str:
+    """``body`` over the league in which ``select`` from ``landed`` stands for the raw table."""
+    return _with(body).replace(f"{table} AS (", "landed AS (", 1).replace(f"{_AFTER[table]} AS (", f"{table} AS ({select}),\n{_AFTER[table]} AS (", 1)
+
+
+#: The common table expression that follows a raw table.
+_AFTER = {"players_raw": "teams", "fixtures_raw": "upcoming"}
+
 _SQL: dict[str, str] = {
     "players": _with(f"SELECT {_PLAYER_COLS} FROM players"),
     "players_v1": _with(f"SELECT {_PLAYER_V1_COLS} FROM players_v1"),
@@ -558,12 +574,7 @@ _SQL: dict[str, str] = {
         "man AS (SELECT a.*, CAST(NULL AS BIGINT) AS fixture_id, CAST(NULL AS INTEGER) AS gameweek, "
         "CAST(2 AS INTEGER) AS fixture_difficulty FROM active a)," + _pred_sql("man", "fixture_difficulty")),
     "prediction_card": _with(_card_sql(), _pred_sql("resolved", "fixture_difficulty")),
-    "difficulty_sweep": _with(
-        "SELECT id, difficulty, CASE difficulty WHEN 1 THEN 'Very Easy' WHEN 2 THEN 'Easy' WHEN 3 THEN 'Average' "
-        "WHEN 4 THEN 'Hard' WHEN 5 THEN 'Very Hard' END AS label, "
-        f"{_br(_SWEEP_X, 1)} "
-        "AS predicted_points, difficulty = 3 AS is_current "
-        "FROM (SELECT a.*, CAST(d.range AS INTEGER) AS difficulty FROM active a, range(1, 6) d)"),
+    "difficulty_sweep": _SWEEP,
     "radar": _with(_radar_v2()),
     "radar_v1": _radar_v1(),
     "compare": _compare("v2"),
@@ -600,6 +611,19 @@ _SQL: dict[str, str] = {
     "players_from_documents": _with(f"SELECT {_PLAYER_COLS} FROM players"),
     "fixtures_from_document": _with("SELECT id, gameweek, home_team, away_team, difficulty, team_h, team_a FROM upcoming"),
     "published_players": _with(f"SELECT {_PLAYER_COLS} FROM players"),
+    "streamed_players": _with(f"SELECT {_PLAYER_COLS} FROM players"),
+    "players_after_changes": _changed(
+        "players_raw", "SELECT * REPLACE (CASE WHEN id % 5 = 1 THEN total_points + 10 ELSE total_points END AS total_points) FROM landed WHERE id % 7 <> 0",
+        f"SELECT {_PLAYER_COLS} FROM players"),
+    "fixtures_after_changes": _changed(
+        "fixtures_raw", "SELECT * REPLACE (finished OR id % 4 = 0 AS finished, CASE WHEN id % 6 = 1 THEN event + 1 ELSE event END AS event, "
+        "CASE WHEN id % 13 = 2 THEN 5 ELSE team_h_difficulty END AS team_h_difficulty) FROM landed WHERE id % 9 <> 0",
+        "SELECT id, gameweek, home_team, away_team, difficulty, team_h, team_a FROM upcoming"),
+    "prediction_card_one": f"SELECT * FROM ({_with(_card_sql(), _pred_sql('resolved', 'fixture_difficulty'))}) WHERE id = 7",
+    "difficulty_sweep_one": f"SELECT * FROM ({_SWEEP}) WHERE id IN (7, 11)",
+    "local_contributions_one": f"SELECT * FROM ({_local_contributions()}) WHERE id = 7",
+    "classify_rules_one": f"SELECT * FROM ({_classify()}) WHERE id = 7",
+    "compare_named": _compare("v2", "SELECT x.id AS p1, y.id AS p2 FROM active x JOIN active y ON x.full_name = 'Customer 000000007' AND y.full_name = 'Customer 000000011'"),
     "rule_metrics": _rule_metrics(),
 }
 
@@ -663,7 +687,10 @@ DOUBLE_COLUMNS = {
 
 
 for _same, _as in (("lookup_by_name", "players"), ("lookup_no_match", "players"), ("players_from_documents", "players"),
-                   ("published_players", "players"), ("predict_gameweek", "predict"), ("predict_no_fixtures", "predict")):
+                   ("published_players", "players"), ("streamed_players", "players"), ("players_after_changes", "players"),
+                   ("difficulty_sweep_one", "difficulty_sweep"), ("local_contributions_one", "local_contributions"),
+                   ("classify_rules_one", "classify_rules"), ("compare_named", "compare"), ("prediction_card_one", "prediction_card"),
+                   ("predict_gameweek", "predict"), ("predict_no_fixtures", "predict")):
     DOUBLE_COLUMNS[_same] = DOUBLE_COLUMNS[_as]
 
 

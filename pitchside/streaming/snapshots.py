@@ -1,12 +1,14 @@
-"""Incremental ingest of landed bootstrap snapshots with Structured Streaming.
+"""Incremental ingest of landed bootstrap generations with Structured Streaming.
 
 The reference has no streaming: its "real-time" data is one fetch at start-up.
-The incremental form of that load is a file-source stream over the landing
-folder: each new snapshot document becomes a micro-batch, which
-``foreachBatch`` turns into the player table with the batch operators (the
-player table needs table-wide values, such as the cost width, so it is built
-per batch, not row by row). Progress is kept in a checkpoint under the shared
-``spark.checkpoint.dir``, so a restarted query resumes where it stopped.
+The incremental form of that load is a file-source stream over the manifests of
+a landing folder. A manifest is written when all documents of its generation
+are there, so a micro-batch never holds part of a snapshot, however many
+files it has. ``foreachBatch`` builds the player table as of the newest
+generation of the batch with the batch operators (it needs table-wide values,
+such as the cost width) and publishes it as a version. Progress is kept in a
+checkpoint under the shared ``spark.checkpoint.dir``, so a restarted query
+resumes where it stopped; a batch that runs again publishes the same rows.
 """
 
 from __future__ import annotations
@@ -19,45 +21,47 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pitchside.operators.players import build_players
 from pitchside.session import checkpoint_dir
-from pitchside.sources import schemas
+from pitchside.sources import landing, sinks
+from pitchside.sources.json_docs import read_bootstrap
+from pitchside.sources.stage import Staging
 
 
-def snapshot_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Streaming rows of players from snapshot documents, tagged with their source file."""
-    docs = (spark.readStream.schema(schemas.BOOTSTRAP).option("multiLine", True)
-            .option("maxFilesPerTrigger", max_files_per_trigger).json(landing_dir))
-    return docs.select(F.input_file_name().alias("snapshot"), F.explode("elements").alias("e")) \
-        .select("snapshot", "e.*")
+def generation_stream(spark: SparkSession, landing_dir: str, max_per_trigger: int = 1) -> DataFrame:
+    """Streaming rows of manifests: one row for each complete generation of the landing folder."""
+    return spark.readStream.schema(landing.MANIFEST).option("maxFilesPerTrigger", max_per_trigger).json(f"{landing_dir}/manifests")
 
 
-def start_player_refresh(spark: SparkSession, landing_dir: str, teams: DataFrame, positions: DataFrame,
-                         output_path: str, query_name: str = "player_refresh",
-                         checkpoint_location: str | None = None) -> StreamingQuery:
-    """Start a query that adds the player table of each new snapshot at ``output_path``, one ``batch_id`` folder each.
+def start_player_refresh(spark: SparkSession, landing_dir: str, output_path: str, query_name: str | None = "player_refresh",
+                         checkpoint_location: str | None = None, max_per_trigger: int = 1, available_now: bool = False) -> StreamingQuery:
+    """Start a query that publishes the player table at ``output_path`` anew for each batch of landed generations.
 
-    ``latest_players`` reads the newest; readers never meet a table that is being rewritten.
+    A generation older than the one published is skipped, as is one before the first snapshot. ``available_now`` ends the query when all
+    that has landed is done.
     """
-    checkpoint_location = checkpoint_location or os.path.join(checkpoint_dir(spark), "streams", query_name)
+    checkpoint_location = checkpoint_location or os.path.join(checkpoint_dir(spark), "streams", query_name or "player_refresh")
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        # One snapshot per batch (maxFilesPerTrigger=1); the latest snapshot wins.
-        players = build_players(batch.drop("snapshot"), teams, positions)
-        # A folder per batch, written anew if the batch is retried: earlier batches stay whole while this one is written.
-        players.write.mode("overwrite").parquet(os.path.join(output_path, f"batch_id={batch_id}"))
+        newest = batch.agg(F.max("version")).first()[0]
+        published = sinks.versions(spark, output_path)
+        if newest is None or (published and int(published[-1]["note"]) > newest) or not landing.current(spark, landing_dir, newest):
+            return
+        staging = Staging()
+        try:
+            sinks.publish(build_players(*read_bootstrap(spark, landing_dir, newest, staging)), output_path, note=str(newest))
+        finally:
+            staging.close()
 
-    return (snapshot_stream(spark, landing_dir).writeStream.queryName(query_name)
-            .option("checkpointLocation", checkpoint_location)
-            .foreachBatch(refresh).start())
+    writer = generation_stream(spark, landing_dir, max_per_trigger).writeStream.option("checkpointLocation", checkpoint_location)
+    if query_name:
+        writer = writer.queryName(query_name)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.foreachBatch(refresh).start()
 
 
 def latest_players(spark: SparkSession, output_path: str) -> DataFrame:
-    """The player table of the newest complete batch (a batch without its success marker is not complete)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(output_path)
-    fs = root.getFileSystem(conf)
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [int(n.partition("=")[2]) for n in names if n.startswith("batch_id=")
-            and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{output_path}/{n}/_SUCCESS"))]
-    if not done:
-        raise FileNotFoundError(f"no complete batch at {output_path}")
-    return spark.read.parquet(f"{output_path}/batch_id={max(done)}").withColumn("batch_id", F.lit(max(done)))
+    """The player table as published last, with the ``generation`` of the landing folder that it shows."""
+    published = sinks.versions(spark, output_path)
+    if not published:
+        raise FileNotFoundError(f"no player table at {output_path}")
+    return sinks.read_published(spark, output_path, published[-1]["number"]).withColumn("generation", F.lit(int(published[-1]["note"])))
