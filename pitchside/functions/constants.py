@@ -86,6 +86,8 @@ BOX_WHISKER_IQR = 1.5
 # Rolling form windows.
 ROLLING_SHORT = 3
 ROLLING_LONG = 5
+# The last week a spine may reach; a row beyond it is an error in the data (two centuries of weekly rounds).
+MAX_WEEK = 10_000
 
 # Radar (v2): (metric label, column); each is divided by the table max and * 100,
 # except Form, which is form / 10 * 100.

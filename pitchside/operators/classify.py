@@ -2,18 +2,31 @@
 
 ``classify_rules`` is the dashboard's rule: a clipped weighted score, a label at
 0.5 and per-model confidence tiers (the reference's random jitter is dropped).
-``train_classifiers`` replaces the hard-coded model scores with models actually
-trained on the feature table with ``pyspark.ml``.
+``fit_classifiers`` replaces the hard-coded model scores with models actually
+trained on the feature table with ``pyspark.ml`` and kept in the shared folder;
+``permutation_importance`` replaces the typed-in importances.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import os
+import uuid
+from collections.abc import Callable, Sequence
+
+from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
 from pitchside.functions.exprs import clip
 from pitchside.operators.filters import lookup_players
+from pitchside.session import checkpoint_dir
+from pitchside.sources import files
+from pitchside.sources.stage import Staging
 
 # The ten features the importance chart names, in its order.
 MODEL_FEATURES = ["form_weight", "points_per_90", "momentum", "efficiency", "goals_per_90",
@@ -71,43 +84,109 @@ def rule_predictions(features: DataFrame) -> DataFrame:
     return said.join(truth, "id").select("id", "model", "label", "prediction")
 
 
-def train_classifiers(features: DataFrame, seed: int = 42, test_fraction: float = 0.3,
-                      max_iter: int = 10, num_trees: int = 20,
-                      models: tuple[str, ...] = ("SVM", "Random Forest", "XGBoost")) -> dict[str, DataFrame]:
-    """Train the three model families on the feature table to predict ``is_high_performer``.
-
-    Returns ``predictions`` (test rows, one per model), ``metrics`` (accuracy,
-    precision, recall per model) and ``importances`` (random forest). Note the
-    label is a threshold on total_points, and points_per_90/efficiency/team
-    average derive from total_points, so the metrics are optimistic (leakage
-    inherited from the feature definitions).
-    """
-    from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    spark = features.sparkSession
-    data = features.select("id", *MODEL_FEATURES,
-                           (F.col("is_high_performer") == "High").cast("double").alias("label"))
-    data = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features").transform(data)
-    # The split depends on the id alone, not on how the rows are laid out.
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    train, test = data.filter(place >= test_fraction), data.filter(place < test_fraction)
-    estimators = {
+def estimators(seed: int, max_iter: int = 10, num_trees: int = 20) -> dict[str, Estimator]:
+    """The three model families, by the names the dashboard gives them."""
+    return {
         "SVM": LinearSVC(maxIter=max_iter, regParam=0.01),
         "Random Forest": RandomForestClassifier(numTrees=num_trees, seed=seed),
         "XGBoost": GBTClassifier(maxIter=max_iter, seed=seed),
     }
-    preds, importances = None, None
-    for name in models:
-        estimator = estimators[name]
-        fitted = estimator.fit(train)
-        p = fitted.transform(test).select("id", F.lit(name).alias("model"), "label", "prediction")
-        preds = p if preds is None else preds.unionByName(p)
-        if name == "Random Forest":
-            imp = fitted.featureImportances.toArray().tolist()
-            # Ten numbers from the fitted model; chart_order is the chart's ascending order.
-            ranked = sorted(zip(MODEL_FEATURES, imp), key=lambda fv: (fv[1], fv[0]))
-            importances = spark.createDataFrame(
-                [(f, float(v) * 100.0, i + 1) for i, (f, v) in enumerate(ranked)],
-                "feature string, importance double, chart_order int")
-    return {"predictions": preds, "metrics": evaluate(preds), "importances": importances}
+
+
+def model_rows(features: DataFrame, seed: int = 42, test_fraction: float = 0.3) -> DataFrame:
+    """(id, the model features, label, is_test): the split depends on the id alone, not on how the rows are laid out."""
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    return features.select("id", *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES],
+                           (F.col("is_high_performer") == "High").cast("double").alias("label"), (place < test_fraction).alias("is_test"))
+
+
+def fit_classifiers(features: DataFrame, seed: int = 42, root: str | None = None) -> dict[str, PipelineModel]:
+    """The three models trained to predict ``is_high_performer``, fitted once per feature table and kept under ``root``.
+
+    ``root`` is by default a folder in the shared checkpoint folder. A table is known by a digest of the rows the models see, one
+    aggregate; if the models of that digest and seed are there, they are loaded and nothing is fitted. They count as there once their
+    manifest is, which is written last. Note the label is a threshold on total_points, and points_per_90/efficiency/team
+    average derive from total_points, so the models' metrics are optimistic (leakage inherited from the feature definitions).
+    """
+    spark = features.sparkSession
+    rows = model_rows(features, seed)
+    digest = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("h")).first()
+    root = root or os.path.join(checkpoint_dir(spark), "pitchside-models")
+    path = f"{root}/{digest.n}-{digest.h}-{seed}"
+    manifest = f"{path}/manifests/complete.json"
+    if files.exists(spark, manifest):
+        folder = json.loads(files.read_text(spark, manifest))["folder"]
+        return {name: PipelineModel.load(f"{path}/{folder}/{name}") for name in estimators(seed)}
+    staging, folder = Staging(), uuid.uuid4().hex
+    try:
+        assembler = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features")
+        train = staging.stage(assembler.transform(rows.filter(~F.col("is_test"))).select("features", "label"), "training-vectors")
+        fitted = {name: PipelineModel(stages=[assembler, estimator.fit(train)]) for name, estimator in estimators(seed).items()}
+    finally:
+        staging.close()
+    for name, model in fitted.items():
+        model.write().save(f"{path}/{folder}/{name}")
+    try:
+        files.write_new(spark, manifest, json.dumps({"folder": folder}))
+    except FileExistsError:   # another query fitted the same models meanwhile; they are equal
+        files.remove(spark, f"{path}/{folder}")
+    return fitted
+
+
+def trained_predictions(rows: DataFrame, models: dict[str, PipelineModel], keep: Sequence[str] = ("id", "is_test")) -> DataFrame:
+    """(*keep, model, label, prediction, score): every row of ``model_rows`` by every model.
+
+    ``score``: the probability of "High", or for the SVM the distance from its plane.
+    """
+    out = None
+    for name, model in models.items():
+        said = model.transform(rows)
+        value = vector_to_array("probability" if "probability" in said.columns else "rawPrediction")[1]
+        said = said.select(*keep, F.lit(name).alias("model"), "label", "prediction", value.alias("score"))
+        out = said if out is None else out.unionByName(said)
+    return out
+
+
+def shuffled_rows(rows: DataFrame, columns: Sequence[str], repeats: int, seed: int, rows_per_bucket: int = 1_000) -> DataFrame:
+    """``rows`` once for each repeat and column (``repeat``, ``shuffled``), with the values of that column dealt anew among them.
+
+    A keyed shuffle: a hash of (repeat, column, id) deals the rows into buckets of about ``rows_per_bucket`` and puts each bucket in
+    a random order; every row takes the value of its successor, the last that of the first. So every value is used once, and no
+    task holds more than some buckets. The order is fixed by ``seed`` and the ids.
+    """
+    buckets = max(1, rows.count() // rows_per_bucket)
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(c).alias("shuffled")) for r in range(repeats) for c in columns])).alias("_e")
+    h = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "repeat", "shuffled", "id")
+    long = rows.select("*", each).select(*rows.columns, "_e.*").withColumn("_bucket", F.pmod(h("bucket"), F.lit(buckets)))
+    own = F.coalesce(*[F.when(F.col("shuffled") == c, F.col(c)) for c in columns])
+    line = Window.partitionBy("repeat", "shuffled", "_bucket").orderBy(h("order"), "id")
+    long = long.withColumn("_own", own).withColumn("_new", F.coalesce(F.lead("_own").over(line), F.first("_own").over(line)))
+    return long.select(*[F.when(F.col("shuffled") == c, F.col("_new")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns],
+                       "repeat", "shuffled")
+
+
+def permutation_importance(rows: DataFrame, predict: Callable[[DataFrame, Sequence[str]], DataFrame], columns: Sequence[str] = tuple(MODEL_FEATURES),
+                           repeats: int = 3, seed: int = 42) -> DataFrame:
+    """(model, feature, accuracy, importance, chart_order): how much accuracy each model loses when a column is shuffled.
+
+    ``predict(rows, keep)`` gives (*keep, model, label, prediction). ``accuracy`` is that of the shuffled rows, over all ``repeats``;
+    ``importance`` the loss; ``chart_order`` ascends with it within a model, ties in the order of the feature's name. One pass scores all
+    columns; the shuffled rows are as many as rows x columns x repeats.
+    """
+    right = (F.col("label") == F.col("prediction")).cast("double")
+    whole = predict(rows, ()).groupBy("model").agg(F.avg(right).alias("_whole"))
+    dealt = predict(shuffled_rows(rows, columns, repeats, seed), ("shuffled",))
+    each = dealt.groupBy("model", F.col("shuffled").alias("feature")).agg(F.avg(right).alias("accuracy"))
+    each = each.join(whole, "model").withColumn("importance", F.col("_whole") - F.col("accuracy"))
+    order = Window.partitionBy("model").orderBy("importance", "feature")   # one row per feature
+    return each.select("model", "feature", "accuracy", "importance", F.row_number().over(order).alias("chart_order"))
+
+
+def train_classifiers(features: DataFrame, seed: int = 42, root: str | None = None) -> dict[str, DataFrame]:
+    """``predictions`` of every player by the three trained models, ``metrics`` (accuracy, precision, recall) and ``importances`` on the test part."""
+    models = fit_classifiers(features, seed, root)
+    rows = model_rows(features, seed)
+    predictions = trained_predictions(rows, models)
+    test = rows.filter("is_test")
+    return {"predictions": predictions, "metrics": evaluate(predictions.filter("is_test")),
+            "importances": permutation_importance(test, lambda df, keep: trained_predictions(df, models, keep), seed=seed)}

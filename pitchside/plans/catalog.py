@@ -322,7 +322,8 @@ QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "rolling_form": lambda L: timeseries.rolling_form(L.player_points),
     # trained models (no SQL oracle: rows-only check)
     "classifier_metrics": lambda L: classify.train_classifiers(L.features)["metrics"],
-    "feature_importance": lambda L: classify.train_classifiers(L.features, models=("Random Forest",))["importances"],
+    "trained_scores": lambda L: classify.train_classifiers(L.features)["predictions"],
+    "feature_importance": lambda L: classify.train_classifiers(L.features)["importances"],
 }
 
 

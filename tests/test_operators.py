@@ -282,3 +282,34 @@ def test_split_does_not_depend_on_the_layout(spark):
     ids = [sorted(r.id for r in classify.train_classifiers(x, max_iter=2, models=("SVM",))["predictions"].select("id").collect())
            for x in (df.coalesce(1), df.repartition(7))]
     assert ids[0] == ids[1] and 50 < len(ids[0]) < 130
+
+
+def test_permutation_importance_matches_numpy(spark):
+    import numpy as np
+    from pitchside.operators import classify
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 3)).round(3)
+    label = (x[:, 0] + 0.3 * x[:, 1] > 0).astype(float)
+    rows = spark.createDataFrame([(i, *map(float, x[i]), float(label[i])) for i in range(500)], "id long, a double, b double, c double, label double")
+    said = lambda a, b: (a + 0.3 * b > 0).cast("double")  # noqa: E731  a fixed rule in place of a trained model
+
+    def predict(df, keep):
+        return df.select(*keep, F.lit("rule").alias("model"), "label", said(F.col("a"), F.col("b")).alias("prediction"))
+
+    for per_bucket in (1_000, 40):
+        dealt = classify.shuffled_rows(rows, ["a", "b", "c"], 2, 5, per_bucket).toPandas()
+        assert len(dealt) == 500 * 3 * 2
+        want = {}
+        for (_, name), part in dealt.groupby(["repeat", "shuffled"]):
+            part = part.sort_values("id")
+            for i, c in enumerate("abc"):
+                same = (part[c].to_numpy() == x[:, i]).mean()
+                assert sorted(part[c]) == sorted(x[:, i]) and (same < 0.05 if c == name else same == 1)
+            want.setdefault(name, []).append(((part.a + 0.3 * part.b > 0) == label).mean())
+    got = {r.feature: r for r in classify.permutation_importance(rows, predict, ["a", "b", "c"], 2, 5).collect()}
+    dealt = classify.shuffled_rows(rows, ["a", "b", "c"], 2, 5).toPandas()
+    for name, part in dealt.groupby("shuffled"):
+        truth = label[part.id.to_numpy()]
+        assert got[name].accuracy == pytest.approx(((part.a + 0.3 * part.b > 0) == truth).mean())
+        assert got[name].importance == pytest.approx(1.0 - got[name].accuracy)
+    assert got["c"].importance == 0 and [got[c].chart_order for c in "cba"] == [1, 2, 3]

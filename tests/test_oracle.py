@@ -12,7 +12,7 @@ SQL = oracle_sql()
 
 
 def test_every_query_has_an_oracle_or_is_model_training():
-    assert set(QUERIES) - set(SQL) == {"classifier_metrics", "feature_importance"}
+    assert set(QUERIES) - set(SQL) == {"classifier_metrics", "feature_importance", "trained_scores"}
     assert set(SQL) <= set(QUERIES)
 
 
@@ -29,13 +29,29 @@ def test_query_matches_oracle(spark, con, name):
     assert r["values_match"], r
 
 
+MODELS = {"SVM", "Random Forest", "XGBoost"}
+
+
 def test_model_training_runs(spark):
     metrics = QUERIES["classifier_metrics"](spark, SF).collect()
-    assert {m.model for m in metrics} == {"SVM", "Random Forest", "XGBoost"}
+    assert {m.model for m in metrics} == MODELS
     assert all(0.0 <= m.value <= 1.0 for m in metrics)
 
 
+def test_models_are_fitted_once_and_score_every_player(spark, monkeypatch):
+    from pyspark.ml.base import Estimator
+    QUERIES["classifier_metrics"](spark, SF).count()
+    monkeypatch.setattr(Estimator, "fit", lambda *a: pytest.fail("a second query fits again"))
+    scores = QUERIES["trained_scores"](spark, SF)
+    players = QUERIES["features"](spark, SF).count()
+    assert {r.model: r["count"] for r in scores.groupBy("model").count().collect()} == dict.fromkeys(MODELS, players)
+    assert 0 < scores.filter("is_test").count() < scores.count()
+
+
 def test_feature_importance_runs(spark):
     imp = QUERIES["feature_importance"](spark, SF).collect()
-    assert len(imp) == 10 and sorted(r.chart_order for r in imp) == list(range(1, 11))
-    assert sum(r.importance for r in imp) == pytest.approx(100.0)
+    assert {r.model for r in imp} == MODELS and len(imp) == 30
+    for model in MODELS:
+        own = sorted((r for r in imp if r.model == model), key=lambda r: r.chart_order)
+        assert [r.chart_order for r in own] == list(range(1, 11))
+        assert [r.importance for r in own] == sorted(r.importance for r in own) and own[-1].importance > 0

@@ -8,6 +8,7 @@ from conftest import plan_text
 from pitchside.plans.catalog import QUERIES, League
 
 SF = "/root/testdata/sf0.001"
+TRAINED = ("classifier_metrics", "feature_importance", "trained_scores")
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +33,7 @@ def test_fixture_match_is_an_equi_join(league):
 def test_no_cross_joins_anywhere(league):
     """Table-wide values are scalar subqueries; every join is an equi-join."""
     for name, fn in QUERIES.items():
-        if name in ("classifier_metrics", "feature_importance"):
+        if name in TRAINED:
             continue
         text = plan_text(fn(league))
         assert "CartesianProduct" not in text and "NestedLoopJoin" not in text, name
@@ -122,7 +123,7 @@ def test_filters_reach_the_staged_scan(league):
 
 def test_no_python_evaluation_anywhere(league):
     for name, fn in QUERIES.items():
-        if name in ("classifier_metrics", "feature_importance"):
+        if name in TRAINED:
             continue
         text = plan_text(fn(league))
         assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text, name

@@ -101,6 +101,46 @@ def test_spine_reaches_the_last_week_of_the_data(spark):
     assert timeseries.rolling_form(pts.limit(0)).count() == 0
 
 
+def test_blocks_do_not_change_the_result(spark):
+    rng = np.random.default_rng(4)
+    recs = [(p, int(w), int(rng.integers(-5, 15))) for p in range(4) for w in rng.choice(np.arange(1, 70), 25, replace=False)]
+    recs += [(7, None, 3), (8, 69, 2), (9, 1, 4), (9, 1, 6)]
+    pts = spark.createDataFrame(recs, "player_id long, week int, points long")
+    rows = lambda df: sorted(df.collect())
+    want = rows(timeseries.rolling_form(pts))
+    assert len(want) == 7 * 69
+    for block in (1, 2, 3, 7, 23, 68, 69):
+        assert rows(timeseries.rolling_form(pts, block=block)) == want
+        by_sum = {(r.player_id, r.week): r.momentum for r in timeseries.momentum_by_differences(pts, block=block).collect()}
+        assert by_sum == {(r.player_id, r.week): r.momentum for r in want}
+        assert rows(timeseries.dense_weeks(pts, block=block)) == [(r.player_id, r.week, r.points) for r in want]
+
+
+def test_a_player_with_a_million_weeks_is_spread(spark):
+    n = 1_000_000
+    pts = spark.range(1, n + 1).filter("id % 3 <> 0").selectExpr("1L AS player_id", "CAST(id AS INT) AS week", "id % 17 AS points")
+    form = timeseries.rolling_form(pts, n_weeks=n, max_week=n)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # else the few sparse rows are put into few tasks
+    try:
+        per_task = [r["count"] for r in form.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(per_task) == n and len(per_task) >= 4 and max(per_task) < n // 2
+    i = np.arange(1, n + 1)
+    x = pd.Series(np.where(i % 3, i % 17, 0).astype(float))
+    got = form.agg(F.sum("ma_short"), F.sum("ma_long"), F.sum("volatility"), F.sum("momentum"), F.count("ma_long")).first()
+    want = (x.rolling(3).mean().sum(), x.rolling(5).mean().sum(), x.rolling(5).std().sum(), (x - x[0]).sum(), n - 4)
+    assert list(got) == pytest.approx(list(want), rel=1e-9)
+
+
+def test_an_absurd_week_is_reported_and_costs_nothing(spark):
+    pts = spark.createDataFrame([(1, 3, 5), (1, 2_000_000_000, 9), (2, 1, 4), (3, 10_001, 8)], "player_id long, week int, points long")
+    assert sorted((r.player_id, r.week) for r in timeseries.invalid_weeks(pts).collect()) == [(1, 2_000_000_000), (3, 10_001)]
+    got = timeseries.rolling_form(pts).collect()
+    assert len(got) == 3 * 3 and sum(r.points for r in got) == 9
+    assert timeseries.rolling_form(pts, max_week=10_001).filter("player_id = 3 AND points = 8").first().week == 10_001
+
+
 def test_exact_quantiles_with_a_hot_value(spark):
     from pitchside.functions.quantiles import exact_quantiles
     rng = np.random.default_rng(1)
@@ -110,6 +150,9 @@ def test_exact_quantiles_with_a_hot_value(spark):
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     got = exact_quantiles(spark.createDataFrame(pdf), "x", probs, ["g"]).collect()
     assert len(got) == 3 * len(probs)
+    key = lambda r: (r.g, r.prob_idx, r.n, r["quantile"])
+    for levels in (0, 1, 3):
+        assert sorted(map(key, exact_quantiles(spark.createDataFrame(pdf), "x", probs, ["g"], 40, levels).collect())) == sorted(map(key, got))
     for row in got:
         want = np.percentile(pdf[pdf.g == row.g].x, probs[row.prob_idx] * 100)
         assert row["quantile"] == pytest.approx(want, abs=1e-12)
@@ -125,3 +168,29 @@ def test_exact_quantiles_beyond_the_sketch(spark):
     x = np.sort(rows.toPandas().x.to_numpy())
     got = {r.prob: r["quantile"] for r in exact_quantiles(rows, "x", [0.0, 0.25, 0.5, 0.999, 1.0]).collect()}
     assert got == pytest.approx({p: np.percentile(x, p * 100) for p in got}, abs=1e-9)
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_exact_quantiles_order_a_bounded_number_of_values(spark, levels, monkeypatch):
+    """10^7 distinct values under a coarse sketch, a third of them crowded into one bin's width: few reach the last window."""
+    from pitchside.functions import quantiles
+    n, seen = 10_000_000, []
+    mixed = F.pmod(F.col("id") * 7_654_321, F.lit(n))   # a permutation
+    x = F.when(mixed < n // 3, mixed / 1e9).otherwise(mixed.cast("double") ** 1.5)
+    rows = spark.range(n).select(x.alias("x"))
+    kept = quantiles.last_candidates
+    monkeypatch.setattr(quantiles, "last_candidates", lambda *a: seen.append(kept(*a)) or seen[-1])
+    got = {r.prob: r["quantile"] for r in quantiles.exact_quantiles(rows, "x", [0.2, 0.33333, 0.5], accuracy=50, levels=levels).collect()}
+    i = np.arange(n)
+    want = np.sort(np.where(i < n // 3, i / 1e9, i.astype(float) ** 1.5))
+    assert got == {p: pytest.approx(np.quantile(want, p), rel=1e-12) for p in got}
+    largest = seen[0].groupBy("prob_idx", "_path", "_b").count().agg(F.max("count")).first()[0]
+    assert largest < (400_000 if levels == 1 else 2_000)   # of 800,000 values in a bracket
+
+
+def test_exact_quantiles_of_infinite_and_repeated_values(spark):
+    from pitchside.functions.quantiles import exact_quantiles
+    inf = float("inf")
+    rows = [-inf] * 3 + [1.0] * 5 + [2.0, 1e308, -1e308] + [inf] * 4
+    got = {r.prob: r["quantile"] for r in exact_quantiles(spark.createDataFrame([(v,) for v in rows], "x double"), "x", [0.0, 0.5, 1.0]).collect()}
+    assert got == {0.0: -inf, 0.5: 1.0, 1.0: inf}
