@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.functions import constants as K
@@ -97,9 +97,17 @@ def build_players(players_raw: DataFrame, teams: DataFrame, positions: DataFrame
                       & F.col("minutes").isNotNull())
 
 
+def is_active(min_minutes: float = K.ACTIVE_MIN_MINUTES_V2, require_form: bool = True) -> Column:
+    """``minutes > min_minutes`` (v2: 100, v1: 500); v2 also needs form and PPG present."""
+    out = F.col("minutes") > F.lit(min_minutes)
+    if require_form:
+        out = out & F.col("form_numeric").isNotNull() & F.col("points_per_game_numeric").isNotNull()
+    return F.coalesce(out, F.lit(False))
+
+
 def active_players(players: DataFrame, min_minutes: float = K.ACTIVE_MIN_MINUTES_V2,
                    require_form: bool = True) -> DataFrame:
-    """``minutes > min_minutes`` (v2: 100, v1: 500); v2 also needs form and PPG present."""
+    """The players who are ``is_active``."""
     out = players.filter(F.col("minutes") > F.lit(min_minutes))
     if require_form:
         out = out.filter(F.col("form_numeric").isNotNull() & F.col("points_per_game_numeric").isNotNull())

@@ -3,7 +3,7 @@
 Histograms and box statistics work on the feature table in long form
 ``(feature, x)``, obtained with a per-row ``explode`` (no shuffle), so one job
 covers every feature and each aggregate is grouped by a key whose cardinality
-is the number of features. The correlation matrix uses wide global aggregates.
+is the number of features. The correlation matrix is one wide global aggregate.
 """
 
 from __future__ import annotations
@@ -27,32 +27,21 @@ def long_features(features: DataFrame, cols: list[str]) -> DataFrame:
 def feature_correlation(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every feature pair over complete rows, as long rows (x, y, corr).
 
-    Two passes, each one global aggregate with partial aggregation: the means
-    (scalar subqueries, merged by Catalyst into one aggregate), then the
-    k*(k+1)/2 centred cross-product sums (plain sums: cheap buffers, and
-    centring keeps them numerically stable). A constant column gives NULL
-    (R: NA) instead of a division error; the diagonal is 1 for non-constant columns.
-
-    The k*k generated expressions are written as SQL expression strings: one
-    call each instead of one per Column operation, which keeps plan
-    construction cheap.
+    One scan and one global aggregate: ``covar_pop`` and ``var_pop`` keep a count, means and centred second moments, which
+    partial aggregates merge by the differences of their means, so a column far from zero loses no digits and nothing needs to
+    be known before. A constant column gives NULL (R: NA) instead of a division error: its second moment is exactly zero, as all its
+    means are equal. The diagonal is 1 for non-constant columns.
     """
     cols = list(K.CORRELATION_FEATURES if cols is None else cols)
     k = len(cols)
-    q = lambda c: f"`{c}`"
-    df = features.select(*cols).dropna(how="any")
-    means = [df.selectExpr(f"avg({q(c)})").scalar() for c in cols]
-    varies = [df.selectExpr(f"min({q(c)}) < max({q(c)})").scalar() for c in cols]
-    centred = df.select(*[(F.col(c) - m).alias(f"_d_{i}") for i, (c, m) in enumerate(zip(cols, means))])
-    one = centred.selectExpr(*[f"sum(_d_{i} * _d_{j}) AS _s_{i}_{j}" for i in range(k) for j in range(i, k)])
-    one = one.select("*", *[v.alias(f"_v_{i}") for i, v in enumerate(varies)])
+    df = features.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]).dropna(how="any")
+    one = df.selectExpr(*[f"covar_pop(_{i}, _{j}) AS _c_{i}_{j}" for i in range(k) for j in range(i + 1, k)],
+                        *[f"var_pop(_{i}) AS _v_{i}" for i in range(k)])
 
     def corr(i: int, j: int) -> str:
-        # A column varies iff min < max (exact, unlike a sum of squared deviations).
         if i == j:
-            return f"CASE WHEN _v_{i} THEN 1.0D END"
-        a, b = min(i, j), max(i, j)
-        return f"CASE WHEN _v_{a} AND _v_{b} THEN try_divide(_s_{a}_{b}, sqrt(_s_{a}_{a} * _s_{b}_{b})) END"
+            return f"CASE WHEN _v_{i} > 0 THEN 1.0D END"
+        return f"try_divide(_c_{min(i, j)}_{max(i, j)}, sqrt(_v_{i}) * sqrt(_v_{j}))"
 
     items = ", ".join(f"named_struct('feature_x', '{a}', 'feature_y', '{b}', 'corr', {corr(i, j)})"
                       for i, a in enumerate(cols) for j, b in enumerate(cols))

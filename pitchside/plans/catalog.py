@@ -32,6 +32,7 @@ class League:
         self.spark = spark
         self.sf_dir = sf_dir
         self._staging = Staging()
+        self._profile = aggregates.Profile()
         self._lazy = lazy
 
     def close(self) -> None:
@@ -65,8 +66,10 @@ class League:
     # ---- derived tables -----------------------------------------------------------
     @cached_property
     def players(self) -> DataFrame:
-        """Staged once: every scalar branch (widths, quantiles, team means) re-reads it."""
-        return self._stage(players.build_players(self.players_raw, self.teams, self.positions), "players")
+        """Staged once: every scalar branch (widths, quantiles, team means) re-reads it. The profile's counts are taken on the way."""
+        seen = self._profile
+        built = players.build_players(self.players_raw, seen.dimension(self.teams, "teams"), seen.dimension(self.positions, "positions"))
+        return self._stage(seen.players(built, players.is_active()), "players")
 
     @cached_property
     def players_v1(self) -> DataFrame:
@@ -97,7 +100,12 @@ class League:
     @cached_property
     def fixtures_per_week(self) -> DataFrame:
         """Staged: one row per team and week; the default gameweek's minimum and the match both read it."""
-        return self._stage(fixtures.first_fixture_per_team_week(self.upcoming), "fixtures-per-week")
+        return self._stage(fixtures.first_fixture_per_team_week(self._profile.fixtures(self.upcoming)), "fixtures-per-week")
+
+    def profile(self) -> DataFrame:
+        """Start-up diagnostics, observed while the player table and the weekly fixtures were staged."""
+        self.players, self.fixtures_per_week  # noqa: B018  (stages them unless they are)
+        return self._profile.row(self.spark)
 
     # ---- stand-in sources: the same tables through the landed-document and publishing paths -------
     def _folder(self, name: str) -> str:
@@ -264,7 +272,7 @@ QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "position_domain": lambda L: aggregates.position_domain(L.active),
     "team_domain": lambda L: aggregates.team_domain(L.active),
     "gameweek_domain": lambda L: aggregates.gameweek_domain(L.upcoming),
-    "profile": lambda L: aggregates.profile(L.players, L.active, L.upcoming, L.teams, L.positions),
+    "profile": lambda L: L.profile(),
     # features
     "feature_scalars": lambda L: features.table_statistics(L.active),
     "features": lambda L: L.features,

@@ -285,8 +285,6 @@ def test_split_does_not_depend_on_the_layout(spark):
 
 
 def test_permutation_importance_matches_numpy(spark):
-    import numpy as np
-    from pitchside.operators import classify
     rng = np.random.default_rng(8)
     x = rng.normal(size=(500, 3)).round(3)
     label = (x[:, 0] + 0.3 * x[:, 1] > 0).astype(float)

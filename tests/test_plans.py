@@ -127,3 +127,13 @@ def test_no_python_evaluation_anywhere(league):
             continue
         text = plan_text(fn(league))
         assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text, name
+
+
+def test_profile_reads_nothing_beyond_the_load(spark):
+    """The profile is observed in the jobs that stage the tables: its own plan has no scan and starts no job over a table."""
+    from pitchside.operators import aggregates
+    lg = League(spark, SF)
+    row = QUERIES["profile"](lg)
+    assert "Scan parquet" not in plan_text(row)
+    assert row.first() == aggregates.profile(lg.players, lg.active, lg.upcoming, lg.teams, lg.positions).first()
+    lg.close()

@@ -1,5 +1,7 @@
 """Statistics and rolling form against numpy/pandas brute force."""
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -34,6 +36,25 @@ def test_correlation_constant_column_is_null(spark):
     assert got[("a", "b")] is None and got[("b", "b")] is None and got[("a", "a")] == 1.0
 
 
+def test_correlation_is_one_scan_and_stable_far_from_zero(spark):
+    import contextlib
+    import io
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=5000)
+    pdf = pd.DataFrame({"a": x + 1e9, "b": 0.5 * x + rng.normal(size=5000) - 1e9, "c": 0.1})
+    df = spark.createDataFrame(pdf).repartition(7)
+    found = stats.feature_correlation(df, ["a", "b", "c"])
+    got = {(r.feature_x, r.feature_y): r.corr for r in found.collect()}
+    assert got["a", "b"] == pytest.approx(np.corrcoef(pdf.a - 1e9, pdf.b + 1e9)[0, 1], abs=1e-7)   # the columns themselves hold 7 digits
+    assert got["a", "c"] is None and got["c", "c"] is None and got["a", "a"] == 1.0
+    path = tempfile.mkdtemp(prefix="pitchside-corr-") + "/t"
+    df.write.parquet(path)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        stats.feature_correlation(spark.read.parquet(path), ["a", "b", "c"]).explain()
+    assert text.getvalue().count("FileScan") == 1 and "Subquery" not in text.getvalue()
+
+
 def test_histogram_matches_brute_force(table):
     pdf, df = table
     rows = stats.feature_histogram(df, COLS, bins=30).collect()
