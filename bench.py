@@ -55,6 +55,7 @@ def main() -> None:
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.scheduler.mode", "FAIR")
              .config("spark.driver.memory", "8g")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")   # no call-site lookup for every column expression
              .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

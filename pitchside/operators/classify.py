@@ -114,10 +114,16 @@ def fit_classifiers(features: DataFrame, seed: int = 42, root: str | None = None
     root = root or os.path.join(checkpoint_dir(spark), "pitchside-models")
     path = f"{root}/{digest.n}-{digest.h}-{seed}"
     manifest = f"{path}/manifests/complete.json"
-    if files.exists(spark, manifest):
-        folder = json.loads(files.read_text(spark, manifest))["folder"]
-        return {name: PipelineModel.load(f"{path}/{folder}/{name}") for name in estimators(seed)}
-    staging, folder = Staging(), uuid.uuid4().hex
+    if not files.exists(spark, manifest):
+        _fit(rows, path, manifest, seed)
+    folder = json.loads(files.read_text(spark, manifest))["folder"]
+    # Also just after a fit: a model read back carries no training summary, which would drag the session into every task.
+    return {name: PipelineModel.load(f"{path}/{folder}/{name}") for name in estimators(seed)}
+
+
+def _fit(rows: DataFrame, path: str, manifest: str, seed: int) -> None:
+    """Fit the models on the training part of ``rows``, write them in a new folder below ``path``, then ``manifest`` that names it."""
+    spark, staging, folder = rows.sparkSession, Staging(), uuid.uuid4().hex
     try:
         assembler = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features")
         train = staging.stage(assembler.transform(rows.filter(~F.col("is_test"))).select("features", "label"), "training-vectors")
@@ -130,7 +136,6 @@ def fit_classifiers(features: DataFrame, seed: int = 42, root: str | None = None
         files.write_new(spark, manifest, json.dumps({"folder": folder}))
     except FileExistsError:   # another query fitted the same models meanwhile; they are equal
         files.remove(spark, f"{path}/{folder}")
-    return fitted
 
 
 def trained_predictions(rows: DataFrame, models: dict[str, PipelineModel], keep: Sequence[str] = ("id", "is_test")) -> DataFrame:

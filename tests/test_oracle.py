@@ -38,6 +38,19 @@ def test_model_training_runs(spark):
     assert all(0.0 <= m.value <= 1.0 for m in metrics)
 
 
+def test_models_fitted_after_an_observation_score(spark, scratch_dir):
+    """An observation makes the session unfit for tasks; a model that carried it there would fail."""
+    import os
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    from pitchside.operators import classify
+    seen = Observation("before")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count()
+    features = QUERIES["features"](spark, SF)
+    got = classify.train_classifiers(features, root=os.path.join(scratch_dir, "fresh-models"))
+    assert got["predictions"].count() == 3 * features.count()
+
+
 def test_models_are_fitted_once_and_score_every_player(spark, monkeypatch):
     from pyspark.ml.base import Estimator
     QUERIES["classifier_metrics"](spark, SF).count()
