@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pitchside.llm.text import blocks
+from pitchside.llm.text import blocks, give_back
 
 END = "</w>"
 #: Texts with other characters (or with \x1c-\x1f, white space to Python alone) are normalised and split by
@@ -209,12 +209,13 @@ def encoder(path: str) -> TrieBpe:
     return _encoders[path]
 
 
-def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_encoder: bool = True) -> DataFrame:
     """(id_col, ``ids`` binary: little-endian unsigned 32-bit token ids, ``decoded`` string) of every row.
 
     Null and empty texts have no ids and an empty decoded text. Rows are encoded one by one, so repeated
     rows give repeated results and an empty table an empty result; other columns are not read.
-    ``tokenizer_path`` must exist on every executor.
+    ``tokenizer_path`` must exist on every executor. A worker keeps its encoder and the ids of recent words for its next
+    task, some 200 MB; without ``keep_encoder`` it drops them after each task, for a job in which other stages follow.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -224,6 +225,10 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             ids = bpe.encode_batch([r.decode() for r in raw])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=[id_col, "ids", "decoded"])
+        if not keep_encoder:
+            _encoders.clear()
+            del bpe
+            give_back()
 
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded string")

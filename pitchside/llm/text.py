@@ -6,6 +6,7 @@ word, shingle or window has the same hash in every task.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +23,31 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+#: Powers that a process keeps (8 bytes each, twice); a longer text's are made anew each time.
+KEPT_POWERS = 1 << 21
+
+
 def _power(kind: str, n: int) -> np.ndarray:
-    """The first n powers of the hash base (or of its inverse), kept per process."""
+    """The first n powers of the hash base (or of its inverse)."""
     if len(_powers[kind]) < n:
         p = np.full(max(n, 1 << 20), np.uint64(_BASE if kind == "up" else _INVERSE), np.uint64)
         p[0] = 1
-        _powers[kind] = np.cumprod(p)
+        p = np.cumprod(p, out=p)
+        if n > KEPT_POWERS:
+            return p[:n]
+        _powers[kind] = p
     return _powers[kind][:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, idle or in another stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # a C library without it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values that spreads every input bit (splitmix64's finisher)."""
     x = x ^ (x >> np.uint64(30))
@@ -68,7 +85,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 4
             size += len(raw)
         if texts:
             yield batch.slice(start), texts
-    pa.default_memory_pool().release_unused()  # a worker lives on: what Arrow has freed goes back
+    give_back()
 
 
 def join_texts(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
