@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian 32-bit numbers), their number and the decoded text of every document (operator 4)."""
-    coded = bpe_trie.encode_documents(docs, queries.TOKENIZER)
+    coded = bpe_trie.encode_documents(docs, queries.TOKENIZER, keep_encoder=False)
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
