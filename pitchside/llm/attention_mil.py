@@ -25,7 +25,7 @@ from pitchside.llm.text import LOWER, blocks, join_texts, prefix_sums, span_hash
 
 PASSAGE_WORDS = 64
 HIDDEN, GATE = 24, 12
-BLOCK = {"max_bytes": 1 << 20, "max_rows": 10_000}
+BLOCK = {"max_bytes": 1 << 19, "max_rows": 10_000}
 
 #: Byte classes: letters, capitals, digits, spaces, line ends, sentence signs, and other signs.
 _CLASS = np.full(256, 9, np.int64)

@@ -209,6 +209,12 @@ def encoder(path: str) -> TrieBpe:
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Drop this process's encoders. A function of the module: a task's own code would see a copy of ``_encoders``."""
+    _encoders.clear()
+    give_back()
+
+
 def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_encoder: bool = True) -> DataFrame:
     """(id_col, ``ids`` binary: little-endian unsigned 32-bit token ids, ``decoded`` string) of every row.
 
@@ -226,9 +232,8 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=[id_col, "ids", "decoded"])
         if not keep_encoder:
-            _encoders.clear()
             del bpe
-            give_back()
+            forget_encoders()
 
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded string")

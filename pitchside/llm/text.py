@@ -7,6 +7,8 @@ word, shingle or window has the same hash in every task.
 from __future__ import annotations
 
 import ctypes
+import gc
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,16 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
-def give_back() -> None:
-    """Return freed memory to the system: a worker lives on after its task, idle or in another stage."""
+def give_back(again_after: float = 1.0) -> None:
+    """Return freed memory to the system: a worker lives on after its task, idle or in another stage.
+
+    Once now and once ``again_after`` seconds later, when the task's last batches are freed, too.
+    """
+    if again_after:
+        later = threading.Timer(again_after, give_back, (0,))
+        later.daemon = True
+        later.start()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
