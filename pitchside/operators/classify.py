@@ -84,13 +84,17 @@ def rule_predictions(features: DataFrame) -> DataFrame:
     return said.join(truth, "id").select("id", "model", "label", "prediction")
 
 
-def estimators(seed: int, max_iter: int = 10, num_trees: int = 20) -> dict[str, Estimator]:
-    """The three model families, by the names the dashboard gives them."""
-    return {
+MODELS = ("SVM", "Random Forest", "XGBoost")
+
+
+def estimators(seed: int, max_iter: int = 10, num_trees: int = 20, models: Sequence[str] = MODELS) -> dict[str, Estimator]:
+    """The three model families (or those named), by the names the dashboard gives them."""
+    every = {
         "SVM": LinearSVC(maxIter=max_iter, regParam=0.01),
         "Random Forest": RandomForestClassifier(numTrees=num_trees, seed=seed),
         "XGBoost": GBTClassifier(maxIter=max_iter, seed=seed),
     }
+    return {name: every[name] for name in models}
 
 
 def model_rows(features: DataFrame, seed: int = 42, test_fraction: float = 0.3) -> DataFrame:
@@ -100,34 +104,36 @@ def model_rows(features: DataFrame, seed: int = 42, test_fraction: float = 0.3)
                            (F.col("is_high_performer") == "High").cast("double").alias("label"), (place < test_fraction).alias("is_test"))
 
 
-def fit_classifiers(features: DataFrame, seed: int = 42, root: str | None = None) -> dict[str, PipelineModel]:
+def fit_classifiers(features: DataFrame, seed: int = 42, root: str | None = None, test_fraction: float = 0.3, max_iter: int = 10,
+                    num_trees: int = 20, models: Sequence[str] = MODELS) -> dict[str, PipelineModel]:
     """The three models trained to predict ``is_high_performer``, fitted once per feature table and kept under ``root``.
 
     ``root`` is by default a folder in the shared checkpoint folder. A table is known by a digest of the rows the models see, one
-    aggregate; if the models of that digest and seed are there, they are loaded and nothing is fitted. They count as there once their
+    aggregate; if the models of that digest and these parameters are there, they are loaded and nothing is fitted. They count as there once their
     manifest is, which is written last. Note the label is a threshold on total_points, and points_per_90/efficiency/team
     average derive from total_points, so the models' metrics are optimistic (leakage inherited from the feature definitions).
     """
     spark = features.sparkSession
-    rows = model_rows(features, seed)
+    rows = model_rows(features, seed, test_fraction)
+    wanted = estimators(seed, max_iter, num_trees, models)
     digest = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("h")).first()
     root = root or os.path.join(checkpoint_dir(spark), "pitchside-models")
-    path = f"{root}/{digest.n}-{digest.h}-{seed}"
+    path = f"{root}/{digest.n}-{digest.h}-{seed}-{max_iter}-{num_trees}-{'-'.join(n.replace(' ', '') for n in models)}"
     manifest = f"{path}/manifests/complete.json"
     if not files.exists(spark, manifest):
-        _fit(rows, path, manifest, seed)
+        _fit(rows, path, manifest, wanted)
     folder = json.loads(files.read_text(spark, manifest))["folder"]
     # Also just after a fit: a model read back carries no training summary, which would drag the session into every task.
-    return {name: PipelineModel.load(f"{path}/{folder}/{name}") for name in estimators(seed)}
+    return {name: PipelineModel.load(f"{path}/{folder}/{name}") for name in wanted}
 
 
-def _fit(rows: DataFrame, path: str, manifest: str, seed: int) -> None:
+def _fit(rows: DataFrame, path: str, manifest: str, wanted: dict[str, Estimator]) -> None:
     """Fit the models on the training part of ``rows``, write them in a new folder below ``path``, then ``manifest`` that names it."""
     spark, staging, folder = rows.sparkSession, Staging(), uuid.uuid4().hex
     try:
         assembler = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features")
         train = staging.stage(assembler.transform(rows.filter(~F.col("is_test"))).select("features", "label"), "training-vectors")
-        fitted = {name: PipelineModel(stages=[assembler, estimator.fit(train)]) for name, estimator in estimators(seed).items()}
+        fitted = {name: PipelineModel(stages=[assembler, estimator.fit(train)]) for name, estimator in wanted.items()}
     finally:
         staging.close()
     for name, model in fitted.items():
@@ -187,11 +193,12 @@ def permutation_importance(rows: DataFrame, predict: Callable[[DataFrame, Sequen
     return each.select("model", "feature", "accuracy", "importance", F.row_number().over(order).alias("chart_order"))
 
 
-def train_classifiers(features: DataFrame, seed: int = 42, root: str | None = None) -> dict[str, DataFrame]:
-    """``predictions`` of every player by the three trained models, ``metrics`` (accuracy, precision, recall) and ``importances`` on the test part."""
-    models = fit_classifiers(features, seed, root)
-    rows = model_rows(features, seed)
-    predictions = trained_predictions(rows, models)
+def train_classifiers(features: DataFrame, seed: int = 42, test_fraction: float = 0.3, max_iter: int = 10, num_trees: int = 20,
+                      models: Sequence[str] = MODELS, root: str | None = None) -> dict[str, DataFrame]:
+    """``predictions`` of every player by the trained models, ``metrics`` (accuracy, precision, recall) and ``importances`` on the test part."""
+    fitted = fit_classifiers(features, seed, root, test_fraction, max_iter, num_trees, models)
+    rows = model_rows(features, seed, test_fraction)
+    predictions = trained_predictions(rows, fitted)
     test = rows.filter("is_test")
     return {"predictions": predictions, "metrics": evaluate(predictions.filter("is_test")),
-            "importances": permutation_importance(test, lambda df, keep: trained_predictions(df, models, keep), seed=seed)}
+            "importances": permutation_importance(test, lambda df, keep: trained_predictions(df, fitted, keep), seed=seed)}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchside.operators.fixtures import empty_upcoming, upcoming_fixtures
-from pitchside.sources import landing, schemas
+from pitchside.sources import files, landing, schemas
 from pitchside.sources.stage import Staging, stage
 
 CORRUPT = "_corrupt"
@@ -25,7 +25,9 @@ CORRUPT = "_corrupt"
 
 def _read_json(spark: SparkSession, schema: T.StructType, path: str, upto: int | None = None) -> DataFrame | None:
     """Documents with what landed when, unparsable text in CORRUPT; ``None`` for a missing path or nothing complete in it."""
-    paths = [path]
+    paths, single = [path], not any(c in path for c in "*?[{")
+    if single and not files.exists(spark, path):
+        return None
     if landing.is_landing(spark, path):
         generations = landing.current(spark, path, upto)
         if not generations:

@@ -279,7 +279,7 @@ def test_split_does_not_depend_on_the_layout(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), *map(float, rng.random(len(classify.MODEL_FEATURES))), "High" if rng.random() < 0.4 else "Low") for i in range(300)]
     df = spark.createDataFrame(rows, ["id", *classify.MODEL_FEATURES, "is_high_performer"])
-    ids = [sorted(r.id for r in classify.train_classifiers(x, max_iter=2, models=("SVM",))["predictions"].select("id").collect())
+    ids = [sorted(r.id for r in classify.train_classifiers(x, max_iter=2, models=("SVM",))["predictions"].filter("is_test").select("id").collect())
            for x in (df.coalesce(1), df.repartition(7))]
     assert ids[0] == ids[1] and 50 < len(ids[0]) < 130
 
