@@ -14,11 +14,15 @@ On the driver: ``blocks`` counts and a blocks x cells matrix, at most MAX_BLOCKS
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BLOCKS = 512
+#: Totals from which numpy draws no exact hypergeometric numbers.
+NUMPY_TOTAL = 1_000_000_000
 
 
 def communication_matrix(block_rows: list[int], cell_rows: list[int], seed: int) -> list[list[int]]:
@@ -27,8 +31,6 @@ def communication_matrix(block_rows: list[int], cell_rows: list[int], seed: int)
     left = np.array(cell_rows, np.int64)
     matrix = []
     for n in block_rows:
-        # "marginals" draws one hypergeometric number per cell; it takes totals under 10^9, so larger
-        # ones are split by halves of the cells with the same law.
         drawn = _draw(rng, left, int(n))
         left = left - drawn
         matrix.append(drawn.tolist())
@@ -36,20 +38,65 @@ def communication_matrix(block_rows: list[int], cell_rows: list[int], seed: int)
 
 
 def _draw(rng: np.random.Generator, colors: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows dealt to cells that still take ``colors`` rows; large totals are split by halves of the cells, which has the same law."""
     total = int(colors.sum())
-    if total < 1_000_000_000:
+    if total < NUMPY_TOTAL:
         return rng.multivariate_hypergeometric(colors, n, method="marginals")
     if len(colors) == 1:
         return np.array([n], np.int64)
     half = len(colors) // 2
     good = int(colors[:half].sum())
-    # Beyond numpy's exact range the normal limit of the law is used, kept inside its support.
-    mean = n * (good / total)
-    sd = (mean * (1 - good / total) * ((total - n) / max(1, total - 1))) ** 0.5
-    first = int(min(max(round(rng.normal(mean, sd)), n - (total - good), 0), n, good))
+    first = hypergeometric(rng, good, total - good, n)
     return np.concatenate([_draw(rng, colors[:half], first), _draw(rng, colors[half:], n - first)])
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` rows drawn from ``good + bad`` are good, for totals of any size, by exact rejection.
+
+    The law is log-concave, so with its greatest probability p at the mode it lies below p * min(1, exp(w - p * distance)),
+    w = 1 + p / 2 (Devroye's hat for such laws); under six tries are expected whatever the numbers are.
+    """
+    least, most = max(0, n - bad), min(n, good)
+    if least == most:
+        return least
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), least), most)
+    top = _log_law(mode, good, bad, n)
+    p = math.exp(top)
+    w = 1 + p / 2
+    while True:
+        flat = rng.random() <= w / (1 + w)
+        distance = (rng.random() * w if flat else w + rng.exponential()) / p
+        x = mode + (1 if rng.random() < 0.5 else -1) * round(distance)
+        if least <= x <= most and rng.random() * min(1.0, math.exp(w - p * distance)) <= math.exp(_log_law(x, good, bad, n) - top):
+            return x
+
+
+def _log_law(x: int, good: int, bad: int, n: int) -> float:
+    """Log of the hypergeometric probability, as a quotient of binomial ones: no difference of large log-factorials is taken."""
+    share = n / (good + bad)
+    return _log_binomial(x, good, share) + _log_binomial(n - x, bad, share) - _log_binomial(n, good + bad, share)
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Log of the binomial probability of ``x`` in ``n`` in saddle-point form (Loader): Stirling's remainders and deviances, all small numbers."""
+    if x in (0, n):
+        return n * (math.log1p(-p) if x == 0 else math.log(p))
+    remainder = _stirling(n) - _stirling(x) - _stirling(n - x)
+    return remainder - _deviance(x, n * p) - _deviance(n - x, n * (1 - p)) - 0.5 * math.log(2 * math.pi * x * ((n - x) / n))
+
+
+def _stirling(n: int) -> float:
+    """log(n!) less Stirling's formula for it."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _deviance(x: int, mean: float) -> float:
+    d = (x - mean) / mean
+    return mean * ((1 + d) * math.log1p(d) - d)
+
+
 def _cells(n_rows: int, n_shards: int, per_shard: int) -> list[list[int]]:
     """Rows of each cell of each shard: shard sizes at most one apart, and so are a shard's cells."""
     sizes = [n_rows // n_shards + (j < n_rows % n_shards) for j in range(n_shards)]
