@@ -7,7 +7,8 @@
    lists, each posting moved back by the term's place in the item, are intersected: what is left are
    alignments (document, item, shift). These few are intersected with the lists of all other terms of
    the item, and runs of ``window`` matches in a row are the exact phrase matches.
-3. ``proximity_hits`` matches the two rarest terms of an item at a distance of at most ``slop`` words.
+3. ``proximity_hits`` matches the two rarest terms of an item at a distance of at most ``slop`` words; ``near_items`` counts
+   the items that match a document so.
 
 All steps are DataFrame functions. Shuffled are the two rarest lists per window and the
 postings of aligned documents, spread by (document, position), so a frequent term or passage has no task of
@@ -115,7 +116,9 @@ def proximity_hits(index: DataFrame, items: DataFrame, slop: int = 20) -> DataFr
     terms = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(counts, "term")
     by_item = Window.partitionBy("item_id").orderBy("count", "term")
     rare = terms.withColumn("r", F.row_number().over(by_item)).filter(F.col("r") <= 2)
-    lists = index.join(F.broadcast(rare) if rare.count() <= 500_000 else rare, "term") \
+    rare = stage(rare.select("item_id", "term", "r"), "rare-terms")
+    # Repeated rows share a key: one posting of each place is enough.
+    lists = index.join(broadcast_if_small(rare), "term").select(*KEY, "item_id", "r", "pos").distinct() \
         .select(*KEY, "item_id", "r", "pos", F.floor(F.col("pos") / slop).alias("block"))
     a = lists.filter(F.col("r") == 1).drop("r")
     b = lists.filter(F.col("r") == 2).select(*KEY, "item_id", F.col("pos").alias("other"),
@@ -124,8 +127,16 @@ def proximity_hits(index: DataFrame, items: DataFrame, slop: int = 20) -> DataFr
     return near.filter(F.col("distance") <= slop).groupBy(*KEY, "item_id").agg(F.min("distance").alias("distance"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13) -> DataFrame:
-    """One row per document: (id_col, k1, k2, n_words, n_hit, items): words, words hit, sorted ids of items with windows in it.
+def near_items(index: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
+    """(k1, k2, n_near): in how many items (by id, null ids left out) a document has a proximity match; documents without one are absent."""
+    near = proximity_hits(index, items.filter("item_id IS NOT NULL"), slop)
+    return near.groupBy(*KEY).agg(F.count("*").alias("n_near"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13,
+                 slop: int | None = 20) -> DataFrame:
+    """One row per document: (id_col, k1, k2, n_words, n_hit, items, n_near): words, words hit, sorted ids of items with windows in it,
+    and in how many items it has a proximity match (0 for all where ``slop`` is None, which skips the search).
 
     Null and empty texts have no words; items without words have no window; empty tables give no rows or no hits. Repeated rows
     give repeated results. Items with a null id hit words but are not listed. Columns beside the named ones are not read.
@@ -137,13 +148,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     listed = hits.groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     total = index.filter(F.col("term") == "").select(id_col, *KEY, F.col("pos").cast("long").alias("n_words"))
     found = total.join(broadcast_if_small(stage(words.join(listed, KEY), "hit-documents")), KEY, "left")
+    if slop is None:
+        found = found.withColumn("n_near", F.lit(0))
+    else:
+        found = found.join(broadcast_if_small(stage(near_items(index, items, slop), "near-documents")), KEY, "left")
     return found.select(id_col, *KEY, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+                        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated: fewer than a twentieth of their words hit, or none."""
-    found = decontaminate(docs, benchmark, id_col, text_col)
+    found = decontaminate(docs, benchmark, id_col, text_col, slop=None)
     bad = found.filter((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(*KEY).distinct()
     bad = broadcast_if_small(stage(bad, "contaminated"))
     k1, k2 = _keys(id_col, text_col)

@@ -78,12 +78,12 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document that lie in 13-word windows of benchmark items, the items, and the verdict."""
+    """Words of every document that lie in 13-word windows of benchmark items, the items, the verdict, and its proximity matches."""
     found = positional_index.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near")
 
 
 def op7_lyndon_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +159,20 @@ dw AS (SELECT rid, k, s, array_to_string(w[s:s + k - 1], ' ') AS g
 m AS (SELECT rid, item_id, k, s FROM dw JOIN iw USING (k, g)),
 h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + k)) AS p FROM m) GROUP BY rid),
 t AS (SELECT rid, count(DISTINCT item_id) AS n_items,
-             string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY rid)
+             string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY rid),
+it AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, unnest(w) AS term FROM i WHERE item_id IS NOT NULL),
+post AS (SELECT rid, pos, term FROM (SELECT rid, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d) WHERE term IN (SELECT term FROM it)),
+rare AS (SELECT it.item_id, it.term, row_number() OVER (PARTITION BY it.item_id ORDER BY c.n, it.term) AS r
+         FROM it JOIN (SELECT term, count(*) AS n FROM post GROUP BY term) c USING (term) QUALIFY r <= 2),
+pr AS (SELECT DISTINCT rid, item_id, r, pos, pos // 20 AS block FROM post JOIN rare USING (term)),
+near AS (SELECT a.rid, count(DISTINCT a.item_id) AS n_near
+         FROM (SELECT * FROM pr WHERE r = 1) a
+         JOIN (SELECT rid, item_id, pos, unnest([block - 1, block, block + 1]) AS block FROM pr WHERE r = 2) b USING (rid, item_id, block)
+         WHERE abs(a.pos - b.pos) <= 20 GROUP BY a.rid)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN near USING (rid)
 """}
 
 
