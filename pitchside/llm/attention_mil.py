@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pitchside.llm.sampling import hash_sample
 from pitchside.llm.text import LOWER, blocks, join_texts, prefix_sums, span_hash, word_spans
+from pitchside.sources.stage import stage
 
 PASSAGE_WORDS = 64
 HIDDEN, GATE = 24, 12
@@ -54,7 +55,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return out, owner
     # Bytes from a word's start to the next word's start in the same text belong to its passage.
     reach = np.append(starts[1:], len(data))
-    reach = np.minimum(reach, offsets[text_of + 1])
+    reach = np.minimum(reach, offsets[text_of + 1] - 1)  # the newline that join_texts adds leads into another text
     sizes = reach - starts
     index = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
     of = np.repeat(passage, sizes)
@@ -65,7 +66,8 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, : CLASSES * CLASSES] = np.sqrt(seen / total)
     low = LOWER[data]
     h = span_hash(prefix_sums(low), starts, ends)
-    words = np.maximum(np.bincount(passage, minlength=n), 1)
+    count = np.bincount(passage, minlength=n)
+    words = np.maximum(count, 1)
     share = lambda mask: np.bincount(passage[mask], minlength=n) / words
     same_text = np.append(False, text_of[1:] == text_of[:-1])
     length = ends - starts
@@ -77,7 +79,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     extra[:, 2] = np.bincount(passage, weights=length, minlength=n) / words / 10
     extra[:, 3] = share(length <= 3)
     extra[:, 4] = share(length > 15)
-    extra[:, 5] = words / PASSAGE_WORDS
+    extra[:, 5] = count / PASSAGE_WORDS
     return out, owner
 
 
@@ -133,29 +135,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``labels`` has id_col and a 0/1 label_col; rows with a null in either are left out, and an id labelled twice
     takes its smaller label. At most ``sample_rows`` labelled rows (smallest hashes of the id) and ``sample_passages``
-    passages of them are learned from.
+    passages of them are learned from: in order of the hashes every document that still fits, whole. Of several texts of one id
+    one is taken, by its hash. Order and partitions of the rows play no part.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
     known = hash_sample(known.groupBy("_id").agg(F.min("_y").alias("_y")), "_id", sample_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.join(F.broadcast(known), "_id").select("_y", "_text")  # at most sample_rows rows
+    rows = rows.join(F.broadcast(known), "_id")  # at most sample_rows rows
+    rows = stage(rows.select(F.xxhash64(F.lit(10), "_id").alias("o"), F.xxhash64("_id", "_text").alias("r"), F.col("_y").alias("y"), "_text"), "labelled-texts")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, "_text", **BLOCK):
+            n = np.bincount(passages(texts)[1], minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["o", "r", "n"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "_text", **BLOCK):
             x, owner = passages(texts)
             at = np.searchsorted(owner, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[at[i]:at[i + 1]].tobytes() for i in range(len(texts))], pa.binary())], names=["y", "x"])
-
-    bags, left = [], sample_passages
-    for y, x in rows.mapInArrow(vectors, "y int, x binary").collect():
-        x = np.frombuffer(x, np.float32).reshape(-1, FEATURES)
-        if len(x) <= left:
-            bags.append((y, x))
-            left -= len(x)
+                [batch.column(0), batch.column(1), pa.array([x[at[i]:at[i + 1]].tobytes() for i in range(len(texts))], pa.binary())], names=["r", "y", "x"])
+
+    # The bounds are applied to the numbers of passages; only vectors within them come to the driver.
+    counted = rows.select("o", "r", "_text").mapInArrow(sizes, "o long, r long, n long").groupBy("o").agg(F.min(F.struct("r", "n")).alias("m"))
+    taken, left = [], sample_passages
+    for one in counted.orderBy("o").select("m.r", "m.n").collect():  # at most sample_rows rows
+        if one.n <= left:
+            taken.append((one.r,))
+            left -= one.n
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "r long"))
+    found = rows.join(chosen, "r", "left_semi").select("r", "y", "_text").mapInArrow(vectors, "r long, y int, x binary")
+    found = sorted(found.groupBy("r").agg(F.min("y"), F.min("x")).collect())  # the same order whatever the partitions were
+    bags = [(y, np.frombuffer(x, np.float32).reshape(-1, FEATURES)) for _, y, x in found]
     if not bags:
         return None
-    bags.sort(key=lambda b: (b[0], b[1].tobytes()))  # the same order whatever the partitions were
     owner = np.repeat(np.arange(len(bags)), [len(x) for _, x in bags])
     return train(np.concatenate([x for _, x in bags]), owner, np.array([y for y, _ in bags], float))
 
