@@ -125,16 +125,9 @@ def jaccard_at_least(numerator: int, denominator: int):
     return similar
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 85, denominator: int = 100) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) of every row.
-
-    Rows are linked when denominator * |A and B| >= numerator * |A or B| for their sets of 5-word shingles; component_id is the
-    smallest id reachable and ``kept`` tells whether it is the row's own. Null, empty and wordless texts have an empty set and are
-    linked with nothing. Repeated rows are in one component (of one id, all kept). Ids are whole numbers; a row with a null id has no
-    component (null) and is kept. An empty table gives no rows. Classes are told apart by 64-bit hashes of their sets.
-    """
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+def _groups(df: DataFrame, id_col: str, text_col: str, numerator: int, denominator: int) -> DataFrame:
+    """(id, r, n, root, component_id) of every row: r is a hash of its text, n its shingles, root its group (null without id or shingles)."""
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(text_col).alias("_r"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "_text", 1 << 20, 10_000):
@@ -143,12 +136,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             bands = band_hashes(sig).view(np.int64)
             low = np.ascontiguousarray(sig.astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets)), pa.array(_set_hash(elements, offsets).view(np.int64)),
+                [batch.column(0), batch.column(2), pa.array(np.diff(offsets)), pa.array(_set_hash(elements, offsets).view(np.int64)),
                  pa.array([r.tobytes() for r in low], pa.binary()),
                  pa.ListArray.from_arrays(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1], pa.array(bands.ravel()))],
-                names=["id", "n", "c", "sig", "bands"])
+                names=["id", "r", "n", "c", "sig", "bands"])
 
-    seen = stage(rows.mapInArrow(describe, "id long, n long, c long, sig binary, bands array<long>"), "signatures")
+    seen = stage(rows.mapInArrow(describe, "id long, r long, n long, c long, sig binary, bands array<long>"), "signatures")
     named = seen.filter("n > 0 AND id IS NOT NULL")
     classes = named.groupBy("c").agg(F.min("id").alias("id"))
     # Signatures of a class are equal, so one document stands for it.
@@ -171,11 +164,46 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = link(items, SIZE, numerator / denominator, sets, jaccard_at_least(numerator, denominator))
     ids = items.select("c", "id").join(linked, "c")
     least = broadcast_if_small(stage(ids.groupBy("root").agg(F.min("id").alias("component_id")), "least-ids"))
-    placed = ids.join(least, "root").select("c", "component_id").union(
-        items.select("c", "id").join(linked, "c", "left_anti").select("c", F.col("id").alias("component_id")))
+    placed = ids.join(least, "root").select("c", "root", "component_id").union(
+        items.select("c", "id").join(linked, "c", "left_anti").select("c", F.col("c").alias("root"), F.col("id").alias("component_id")))
     placed = stage(placed, "components")
-    found = seen.select("id", "n", "c").join(placed, "c", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    component = F.when(F.col("id").isNotNull(), component)
-    return found.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    named = F.col("n") > 0
+    found = seen.select("id", "r", "n", "c").join(placed, "c", "left")
+    component = F.when(F.col("id").isNotNull(), F.when(named, F.col("component_id")).otherwise(F.col("id")))
+    return found.select("id", "r", "n", F.when(named & F.col("id").isNotNull(), F.col("root")).alias("root"), component.alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 85, denominator: int = 100) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) of every row.
+
+    Rows are linked when denominator * |A and B| >= numerator * |A or B| for their sets of 5-word shingles; component_id is the
+    smallest id reachable and ``kept`` tells whether it is the row's own. Null, empty and wordless texts have an empty set and are
+    linked with nothing. Repeated rows are in one component (of one id, all kept). Ids are whole numbers; a row with a null id has no
+    component (null) and is kept. An empty table gives no rows. Classes are told apart by 64-bit hashes of their sets.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    found = _groups(df, id_col, text_col, numerator, denominator)
+    return found.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+                        F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 85, denominator: int = 100) -> DataFrame:
+    """All columns of the rows of ``df`` that stay when one row of every group of near duplicates does: that of the smallest id.
+
+    Of several texts of that id the one with the least hash stays, of fully repeated rows (id and text) one. A row that only shares
+    its id with a near duplicate stays, and so do rows with a null id and texts without words, repeated or not.
+    """
+    found = stage(_groups(df, id_col, text_col, numerator, denominator).filter("root IS NOT NULL").select("id", "r", "root"), "group-members")
+    first = stage(found.groupBy("root").agg(F.min(F.struct("id", "r")).alias("first")), "group-firsts")
+    gone = found.join(first, "root").filter((F.col("id") != F.col("first.id")) | (F.col("r") != F.col("first.r"))).select("id", "r").distinct()
+    again = stage(found.groupBy("id", "r").count().filter("count > 1").select("id", "r"), "repeated-rows")
+    # Two hashed texts can only be confused within one id.
+    key = lambda of: (F.col(id_col).cast("long") == of["id"]) & (F.xxhash64(text_col) == of["r"])
+    gone = broadcast_if_small(stage(gone, "near-duplicates"))
+    kept = df.join(gone, key(gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    # Partial aggregation leaves one of a task's repeated rows before the exchange.
+    again = broadcast_if_small(again)
+    one = kept.join(again, key(again), "left_semi").withColumn("_r", F.xxhash64(text_col)).dropDuplicates([id_col, "_r"]).drop("_r")
+    return kept.join(again, key(again), "left_anti").unionByName(one)
