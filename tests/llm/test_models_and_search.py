@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm_cases import docs, empty, plan_text, rows  # noqa: F401  (fixtures)
-from pitchside.llm import attention_mil, bpe_trie, centroid_langid, hypergeometric_shards, positional_index, queries, rp_forest, suffix_tree
+from pitchside.llm import attention_mil, bpe_trie, centroid_langid, hypergeometric_shards, joins, positional_index, queries, rp_forest, suffix_tree
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -180,6 +180,41 @@ def test_communication_matrix_has_its_margins_and_law():
     assert np.allclose(total / 400, np.outer(rows, cells) / 50, atol=0.35)
 
 
+def test_exact_draws_have_the_law_whatever_the_total(monkeypatch):
+    # Small numbers against the law itself, all by rejection.
+    monkeypatch.setattr(hypergeometric_shards, "NUMPY_TOTAL", 0)
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((5, 7, 4), (30, 11, 25), (1, 40, 20), (400, 300, 350)):
+        law = {x: math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n) for x in range(max(0, n - bad), min(n, good) + 1)}
+        for x, p in law.items():
+            assert p < 1e-250 or math.isclose(math.exp(hypergeometric_shards._log_law(x, good, bad, n)), p, rel_tol=1e-9)
+        seen = Counter(hypergeometric_shards.hypergeometric(rng, good, bad, n) for _ in range(6_000))
+        assert set(seen) <= set(law)
+        for x, p in law.items():
+            assert abs(seen[x] - 6_000 * p) <= 5 * (6_000 * p * (1 - p)) ** 0.5 + 3
+    assert hypergeometric_shards.hypergeometric(rng, 5, 0, 3) == 3 and hypergeometric_shards.hypergeometric(rng, 9, 4, 0) == 0
+    monkeypatch.undo()
+    # Three times 10^9 rows: margins, and mean, spread and shape of one cell.
+    m = np.array(hypergeometric_shards.communication_matrix([10**9] * 3, [3 * 10**9 // 8] * 8, 7))
+    assert m.sum(axis=1).tolist() == [10**9] * 3 and m.sum(axis=0).tolist() == [375_000_000] * 8
+    good, total, n = 1_500_000_000, 3_000_000_000, 10**9
+    sd = (n * 0.25 * (total - n) / (total - 1)) ** 0.5
+    z = np.array([(hypergeometric_shards.hypergeometric(rng, good, total - good, n) - n / 2) / sd for _ in range(4_000)])
+    assert abs(z.mean()) < 0.08 and abs(z.std() - 1) < 0.05 and abs((np.abs(z) < 1).mean() - 0.6827) < 0.03
+    for x in (500_000_000, 500_020_000):  # the ratio of neighbours is known exactly
+        ratio = (good - x) * (n - x) / ((x + 1) * (total - good - n + x + 1))
+        got = hypergeometric_shards._log_law(x + 1, good, total - good, n) - hypergeometric_shards._log_law(x, good, total - good, n)
+        assert abs(got - math.log(ratio)) < 1e-8
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    df = spark.range(50).select("id", F.array_repeat(F.lit("x" * 90), 100).alias("texts")).cache()
+    hinted = lambda d: "strategy=broadcast" in plan_text(spark.range(9).join(d, "id"))
+    assert hinted(joins.broadcast_if_small(df)) and not hinted(joins.broadcast_if_small(df, max_bytes=400_000))
+    assert not hinted(joins.broadcast_if_small(df.select("id"), max_rows=49)) and hinted(joins.broadcast_if_small(df.select("id"), max_bytes=1))
+    assert hinted(joins.broadcast_if_small(df.filter("id < 0")))
+
+
 def test_shards_are_even_gapless_and_whole(spark, docs, rows, empty):
     for df, n in ((docs, len(rows)), (spark.range(10_001).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), 10_001)):
         got = hypergeometric_shards.shard_rows(df.select("doc_id", "text"), ["doc_id", "text"], ["doc_id"]).collect()
@@ -242,6 +277,31 @@ def test_proximity(spark):
     assert {(r.doc_id, r.item_id, r.distance) for r in near.collect()} == {(1, "7", 4), (3, "7", 1)}
 
 
+def test_items_near_match_brute_force(spark):
+    import re
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    texts = TEXTS + [(20, "three " + "x " * 19 + "one"), (21, "three " + "x " * 20 + "one"), (22, "here " * 30 + "lonely"), (20, "three " + "x " * 19 + "one")]
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER))
+    count = Counter(w for _, t in texts for w in words(t))
+    terms = defaultdict(set)
+    for i, t in BENCH:
+        if i is not None:
+            terms[str(i)] |= set(words(t))
+    rare = {i: sorted((count[w], w) for w in ws if count[w])[:2] for i, ws in terms.items()}
+    want = []
+    for d, t in texts:
+        at = defaultdict(list)
+        for p, w in enumerate(words(t)):
+            at[w].append(p)
+        near = [i for i, r in rare.items() if len(r) == 2 and any(abs(p - q) <= 20 for p in at[r[0][1]] for q in at[r[1][1]])]
+        want.append((d, len(near)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r.doc_id, r.n_near) for r in positional_index.decontaminate(df, bench).collect()]
+    order = lambda x: (str(x[0]), x[1])
+    assert sorted(got, key=order) == sorted(want, key=order) and max(n for _, n in want) > 1
+    assert {r.n_near for r in positional_index.decontaminate(df, bench, slop=None).collect()} == {0}
+
+
 def test_decontamination_is_native(spark, docs):
     text = plan_text(positional_index.decontaminate(docs, spark.createDataFrame(BENCH, "item_id long, text string")))
     assert "Python" not in text and "Arrow" not in text
@@ -300,6 +360,29 @@ def test_quality_edge_cases(docs, rows, empty, spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.score >= 0.5 for r in got)
 
 
+def test_passages_do_not_depend_on_the_texts_beside_them():
+    texts = [b"", b"Some words, some WORDS.\n", b" \n", b"x" * 90 + b" 12", b"word " * 200, b"", "é à ü.".encode()]
+    for some in (texts, texts[::-1], texts[2:5]):
+        x, owner = attention_mil.passages(some)
+        for i, text in enumerate(some):
+            assert np.array_equal(x[owner == i], attention_mil.passages([text])[0])
+
+
+def test_quality_sample_is_bounded_and_the_same_in_any_order(spark, monkeypatch):
+    docs = [(i, f"Sentence {i} of some text, " * (i % 7 * 6 + 1)) for i in range(60)] + [(7, "Another text of an id that stands twice."), (8, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    learned = []
+    monkeypatch.setattr(attention_mil, "train", lambda x, owner, y: learned.append((x.copy(), owner.copy(), y.copy())) or {})
+    frames = [spark.createDataFrame(d, "doc_id long, text string").repartition(n) for d, n in ((docs, 1), (docs[::-1], 5), (docs + docs[3:9], 3))]
+    for bound in (60_000, 40):
+        learned.clear()
+        for df in frames:
+            attention_mil.fit(df, labels, sample_passages=bound)
+        for x, owner, y in learned:
+            assert len(x) <= bound and all(np.array_equal(a, b) for a, b in zip((x, owner, y), learned[0], strict=True))
+        assert len(learned[0][2]) == 60 if bound > 40 else 5 < len(learned[0][2]) < 60
+
+
 def test_attention_gradient():
     """The analytic gradient against differences: one small step of training lowers the loss."""
     rng = np.random.default_rng(1)

@@ -240,3 +240,20 @@ def test_equal_rows_send_their_runs_once(spark, monkeypatch):
     assert len(got) == 71 and all(r.n_bytes == s.end - s.start for r in got for s in r.spans) and all(len(r.spans) == 1 for r in got)
     keys = [x for x in most[0].splitlines() if "Aggregate" in x and "r#" in x and "first#" in x and "last#" in x and "collect_list" not in x]
     assert keys
+
+
+def test_first_of_groups_goes_by_rows(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base + " more"
+    rows = [(1, base), (1, base), (1, near), (2, near), (2, "a clean text under an id that a near copy has too"), (3, "short"), (3, "short"),
+            (None, base), (4, None), (4, None), (5, "..."), (6, "two rows with this id and"), (6, "another text that is not close to it")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, r string").repartition(3)
+    left = superminhash.first_of_groups(df, numerator=80)
+    assert left.columns == df.columns
+    key = lambda x: (str(x[0]), str(x[1]))
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=key)
+    one = [t for i, t in got if i == 1]
+    assert len(one) == 1 and one[0] in (base, near)  # of two texts of the smallest id the one with the least hash
+    want = [(1, one[0]), (2, rows[4][1]), (3, "short"), (None, base), (4, None), (4, None), (5, "..."), rows[11], rows[12]]
+    assert got == sorted(want, key=key)
+    assert superminhash.first_of_groups(df.limit(0)).count() == 0

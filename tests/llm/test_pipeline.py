@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 import oracle_harness
+from llm_cases import docs, rows  # noqa: F401  (fixtures)
 from pitchside.llm import queries
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +42,24 @@ def test_stages_on_empty_documents(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
 
 
+def test_stages_on_awkward_documents(spark, docs, rows):
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = docs.withColumn("n_removed", F.lit("clash"))  # the awkward rows have clashing columns, n_lines among them
+    good = dict(corpus_pipeline.STAGES)
+    cut = good["line_dedup"](spark, extra, SF).cache()
+    assert cut.columns == extra.columns and {(r.n_removed, r.n_lines) for r in cut.select("n_removed", "n_lines").distinct().collect()} == {("clash", "x")}
+    left = lambda df, i: sorted(str(r.text) for r in df.filter(F.col("doc_id").eqNullSafe(i)).collect())
+    assert left(cut, None) == ["A row without an id, but with a text of some words.", "None"] and left(cut, 9000) == ["None"] and left(cut, 9001) == [""]
+    one = good["near_dedup"](spark, extra, SF)
+    assert len(left(one, 9013)) == 1 and not left(one, 9005 if left(one, 9004) else 9004) and len(left(one, None)) == 2 and left(one, 9000) == ["None"]
+    clean = good["decontamination"](spark, extra, SF)
+    assert len(left(clean, 9013)) == 2 and left(clean, 9000) == ["None"] and clean.columns == extra.columns
+    coded = good["bpe_encoding"](spark, extra, SF)
+    assert coded.count() == len(rows) and {r.n_tokens for r in coded.filter("doc_id IN (9000, 9001)").collect()} == {0}
+    judged = good["quality_classifier"](spark, extra.drop("n_removed").unionByName(real.select("doc_id", "text"), allowMissingColumns=True), SF)
+    assert len(left(judged, 9013)) in (0, 2)
+
+
 def test_sql_of_the_queries(spark):
     con = oracle_harness.duck(SF)
     for name, sql in queries.ORACLE_SQL.items():
