@@ -6,7 +6,8 @@ map-side first); only buckets of at most SMALL members are compared whole. Candi
 when their signatures rule the threshold out by MARGIN standard errors. Round 1 checks each item
 exactly against its likeliest candidate and unites the links. Components that likely pairs still connect form
 families; in round 2 the members of a family that lie in different components are compared among themselves,
-first by size and signature, then exactly, so no link is lost because neither text was a centre. That happens
+first by size and signature, then exactly, so no link of a family is lost because neither text was a centre. What is
+left out: a pair that shares only large buckets, and whose centres the signatures rule out for one of the two. Families are compared
 inside the tasks, by pairs of blocks of at most BLOCK members, and only links that unite two components leave
 them: neither a large family nor its pairs are ever in one place.
 """
