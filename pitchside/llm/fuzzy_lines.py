@@ -3,7 +3,9 @@
 A line is a maximal run without line ends, compared in lower case with white space joined and trimmed.
 Lines of at least MIN_CHARS bytes take part (shorter ones recur by chance, not by copying). Equal
 lines are one class by a map-side reduced ``groupBy``; the signature of a distinct line is a MinHash
-of its byte shingles with one permutation in SIZE bins (empty bins borrow from the next full one). Lines that
+of its byte shingles with one permutation in SIZE bins (empty bins borrow from the next full one). The texts are
+read once: a block of texts keeps its bands packed, asks once per band which others have it, and only
+bands that several lines share become rows. Lines that
 share a band are compared by exact Jaccard on the full shingle sets, first each with its band's centre, then
 those that still lie in different components with each other, and distributed union-find
 unites them (``components``). One line per component stays: the first by (document, line number); every
@@ -17,13 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchside.llm.components import components
 from pitchside.llm.joins import broadcast_if_small
-from pitchside.llm.linking import confirm
 from pitchside.llm.superminhash import band_hashes
 from pitchside.llm.text import blocks, join_texts, mix, prefix_sums, span_hash
 from pitchside.sources.stage import stage
@@ -34,6 +36,8 @@ SIZE, ROWS = 48, 4
 THRESHOLD = (80, 100)
 #: Lines of a bucket compared at a time, and their bytes.
 BLOCK, BLOCK_BYTES = 500, 1 << 18
+#: Bands that one group of the exchange counts, about; the number of groups follows the data.
+PART_BANDS = 1 << 20
 
 
 def split_lines(text: bytes) -> list[bytes]:
@@ -46,22 +50,28 @@ def plain(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def line_shingles(lines: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every byte shingle, owner line); lines have at least ``width`` bytes."""
+def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(every byte shingle, owner line): a shingle is its SHINGLE = 8 bytes as one number, so equal numbers are equal shingles."""
     data, offsets = join_texts(lines, lower=False)
-    starts = np.arange(max(0, len(data) - width))
-    owner = np.repeat(np.arange(len(lines)), np.diff(offsets))[: len(starts)]
-    inside = starts + width < offsets[owner + 1]
-    starts, owner = starts[inside], owner[inside]
-    return span_hash(prefix_sums(data), starts, starts + width), owner
+    if len(data) < SHINGLE:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    values = np.lib.stride_tricks.sliding_window_view(data, SHINGLE).copy().view(np.uint64).ravel()
+    sizes = np.diff(offsets)
+    inside = np.ones(len(data), bool)
+    for back in range(1, SHINGLE + 1):   # a line's last bytes and its end start no shingle
+        inside[(offsets[1:] - back)[sizes >= back]] = False
+    return values[inside[: len(values)]], np.repeat(np.arange(len(lines)), np.maximum(sizes - SHINGLE, 0))
 
 
 def minhash(lines: list[bytes], size: int = SIZE) -> np.ndarray:
     """One-permutation MinHash: the least hash of each of ``size`` bins; an empty bin takes the next full one's, mixed with the way."""
-    h, owner = line_shingles(lines)
-    n = len(lines)
+    values, owner = line_shingles(lines)
+    n, half = len(lines), np.uint64(32)
+    h = mix(values)
+    place = ((h >> half) * np.uint64(size) >> half).astype(np.int64)   # the bin by the upper half, the order within by the lower one first
+    place += owner * size
     sig = np.full(n * size, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(sig, owner * size + (h % np.uint64(size)).astype(np.int64), mix(h) >> np.uint64(1))
+    np.minimum.at(sig, place, (h << half) | (h >> half))
     sig = sig.reshape(n, size)
     empty = sig == np.uint64(0xFFFFFFFFFFFFFFFF)
     out, todo = sig.copy(), empty & ~empty.all(axis=1, keepdims=True)
@@ -82,21 +92,53 @@ def line_similar(a: bytes, b: bytes) -> bool:
     return THRESHOLD[1] * common >= THRESHOLD[0] * (len(x) + len(y) - common)
 
 
-def _line_hash(lines: list[bytes]) -> np.ndarray:
-    data, offsets = join_texts(lines, lower=False)
-    return span_hash(prefix_sums(data), offsets[:-1], offsets[1:] - 1).view(np.int64)
+def similar_pairs(left: list[bytes], right: list[bytes]) -> list[bool]:
+    """``line_similar`` of each pair; the shingles of a line that several pairs name are made once."""
+    index = {t: i for i, t in enumerate(dict.fromkeys([*left, *right]))}
+    lines = list(index)
+    values, owner = line_shingles(lines)
+    ends = np.searchsorted(owner, np.arange(len(lines) + 1))
+    sets = [_distinct(np.sort(values[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    out = []
+    for a, b in zip(left, right, strict=True):
+        x, y = sets[index[a]], sets[index[b]]
+        both = np.concatenate((x, y))
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        out.append(THRESHOLD[1] * common >= THRESHOLD[0] * (len(x) + len(y) - common))
+    return out
+
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats."""
+    if len(values) < 2:
+        return values
+    new = np.empty(len(values), bool)
+    new[0] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values if new.all() else values[new]
 
-def _places(rows: DataFrame) -> DataFrame:
-    """(c, id, line) of every line that takes part."""
+
+def _confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (u, v) of ``pairs`` (a, b) whose lines are similar, compared by blocks of about BLOCK_BYTES bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "_text", 2 << 20, 20_000):
-            lines, owner, number = _compared(texts)
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(_line_hash(lines)), batch.column(0).take(pa.array(owner)), pa.array(number, pa.int32())], names=["c", "id", "line"])
+        for batch in batches:
+            size = np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(size // BLOCK_BYTES, prepend=-1))
+            for start, stop in zip(cuts, np.append(cuts[1:], batch.num_rows), strict=True):
+                part = batch.slice(start, stop - start)
+                keep = pa.array(similar_pairs(part.column(2).to_pylist(), part.column(3).to_pylist()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["u", "v"])
 
-    return rows.mapInArrow(run, "c long, id long, line int")
+    both = pairs.select("a", "b").join(held.select(F.col("c").alias("a"), F.col("payload").alias("pa")), "a") \
+        .join(held.select(F.col("c").alias("b"), F.col("payload").alias("pb")), "b")
+    return both.select("a", "b", "pa", "pb").mapInArrow(run, "u long, v long")
+
+
+def _line_hash(lines: list[bytes]) -> np.ndarray:
+    data, offsets = join_texts(lines, lower=False)
+    return span_hash(prefix_sums(data), offsets[:-1], offsets[1:] - 1).view(np.int64)
 
 
 def _compared(texts: list[bytes]) -> tuple[list[bytes], list[int], list[int]]:
@@ -112,34 +154,121 @@ def _compared(texts: list[bytes]) -> tuple[list[bytes], list[int], list[int]]:
     return lines, owner, number
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """(band, cs, centre) of the bands that several distinct lines share: per block of texts its lines of the band, and the band's centre.
+def _scan(rows: DataFrame) -> DataFrame:
+    """All that the texts are read for: rows (c, id, line) of every line that takes part, and a row (block, cs, bands) per block of texts.
 
-    The centre is the member with the least hash of line and band, so a line meets another centre in each band. A block sends one
-    row a band, so a band that very many lines share is no large group in the exchange.
+    ``cs`` are the block's distinct lines and ``bands`` the bands of each of them in turn, as packed 64-bit numbers. Columns of the other kind are null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in blocks(batches, "_text", 1 << 20, 20_000):
-            lines, _, _ = _compared(texts)
+        names, number_of = ["c", "id", "line", "block", "cs", "bands"], 0
+        for batch, texts in blocks(batches, "_text", 1 << 20, 20_000):
+            lines, owner, number = _compared(texts)
             if not lines:
                 continue
-            c, first = np.unique(_line_hash(lines), return_index=True)
+            c = _line_hash(lines)
+            none = [pa.nulls(len(c), t) for t in (pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c), batch.column(0).take(pa.array(owner)), pa.array(number, pa.int32()), *none], names=names)
+            c, first = np.unique(c, return_index=True)
             bands = band_hashes(minhash([lines[i] for i in first]), ROWS)
-            c = np.repeat(c, bands.shape[1])
-            band = bands.ravel()
-            key = mix(c.view(np.uint64) ^ band)
-            order = np.lexsort((key, band))
-            c, band, key = c[order], band[order], key[order]
-            head = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-            cs = pa.ListArray.from_arrays(pa.array(np.append(head, len(c)).astype(np.int32)), pa.array(c))
-            yield pa.RecordBatch.from_arrays([pa.array(band[head].view(np.int64)), pa.array(key[head].view(np.int64)), cs], names=["band", "key", "cs"])
-
-    members = rows.mapInArrow(run, "band long, key long, cs array<long>")
-    whole = Window.partitionBy("band")
-    found = members.withColumn("centre", F.first(F.col("cs")[0]).over(whole.orderBy("key")))
-    found = found.withColumn("lo", F.min(F.array_min("cs")).over(whole)).withColumn("hi", F.max(F.array_max("cs")).over(whole))
-    return found.filter("lo < hi").select("band", "cs", "centre")
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+            block = (TaskContext.get().partitionId() << 32) + number_of
+            yield pa.RecordBatch.from_arrays([*none, pa.array([block], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (c, bands))], names=names)
+            number_of += 1
+
+    return rows.mapInArrow(run, "c long, id long, line int, block long, cs binary, bands binary")
+
+
+def _unpacked(cs: bytes, bands: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(band, line, position of each band's first row) of a block, rows in order of band."""
+    c, band = np.frombuffer(cs, np.int64), np.frombuffer(bands, np.uint64)
+    order = np.argsort(band, kind="stable")
+    band, c = band[order], np.repeat(c, len(band) // len(c))[order]
+    return band, c, np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+
+
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """One binary value per run of ``values`` from a cut to the next."""
+    ends = np.append(cuts, len(values)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _centre_key(c: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """A band's centre is its line of least key, so a line meets another centre in each band."""
+    return mix(c.view(np.uint64) ^ band)
+
+
+def _shared_bands(table: pa.Table) -> pa.Table:
+    """(block, bands, centres) of the bands of one group that several distinct lines have; the group has one line a block and band."""
+    counts = np.array([len(x) // 8 for x in table.column("cs").to_pylist()], np.int64)
+    band, c, several = (np.frombuffer(b"".join(table.column(x).to_pylist()), kind) for x, kind in (("bands", np.uint64), ("cs", np.int64), ("several", bool)))
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.argsort(band, kind="stable")
+    band, c, several, row = band[order], c[order], several[order], row[order]
+    new = np.append(True, band[1:] != band[:-1])
+    often = several | ~(new & np.append(new[1:], True))   # what else is alone in its band goes first
+    band, c, several, row = band[often], c[often], several[often], row[often]
+    blocks_out, bands_out, centres_out = np.zeros(0, np.int64), pa.array([], pa.binary()), pa.array([], pa.binary())
+    if len(band):
+        first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        size = np.diff(np.append(first, len(band)))
+        key = _centre_key(c, band)
+        least = np.repeat(np.minimum.reduceat(key, first), size)
+        centre = np.repeat(c[key == least][np.append(True, band[key == least][1:] != band[key == least][:-1])], size)
+        keep = np.repeat(np.logical_or.reduceat(several, first) | (np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)), size)
+        band, centre, row = band[keep], centre[keep], row[keep]
+        order = np.argsort(row, kind="stable")
+        band, centre, row = band[order], centre[order], row[order]
+        cuts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+        blocks_out, bands_out, centres_out = table.column("block").to_numpy()[row[cuts]], _packed(band, cuts), _packed(centre, cuts)
+    return pa.table({"block": pa.array(blocks_out, pa.int64()), "bands": bands_out, "centres": centres_out})
+
+
+def _members(block: pa.Table, shared: pa.Table) -> pa.Table:
+    """(band, cs, centre) of a block's bands that several lines share."""
+    bands, centres, lists = np.zeros(0, np.uint64), np.zeros(0, np.int64), pa.array([], pa.list_(pa.int64()))
+    if block.num_rows and shared.num_rows:
+        band, c, first = _unpacked(block.column("cs")[0].as_py(), block.column("bands")[0].as_py())
+        wanted, centres = (np.frombuffer(b"".join(shared.column(x).to_pylist()), kind) for x, kind in (("bands", np.uint64), ("centres", np.int64)))
+        order = np.argsort(wanted, kind="stable")
+        bands, centres = wanted[order], centres[order]
+        keep = np.repeat(np.isin(band[first], bands, assume_unique=True), np.diff(np.append(first, len(band))))
+        band, c = band[keep], c[keep]
+        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(c)).astype(np.int32)), pa.array(c))
+    return pa.table({"band": pa.array(bands.view(np.int64)), "cs": lists, "centre": pa.array(centres)})
+
+
+def _buckets(scan: DataFrame) -> DataFrame:
+    """(band, cs, centre) of the bands that several distinct lines share: per block of texts its lines of the band, and the band's centre.
+
+    A block sends a band once, with its own line of least key, so a band that very many lines share is no large
+    group; the answers meet the block's lines again by its number.
+    """
+    packed = scan.filter("block IS NOT NULL").select("block", "cs", "bands")
+    total = packed.agg(F.sum(F.octet_length("bands"))).first()[0] or 0
+    parts = max(int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (8 * PART_BANDS))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, cs, bands in zip(*(batch.column(i) for i in range(3)), strict=True):
+                band, c, first = _unpacked(cs.as_py(), bands.as_py())
+                key = _centre_key(c, band)
+                several = np.diff(np.append(first, len(band))) > 1
+                for i in np.flatnonzero(several):   # the line of least key comes first
+                    j = first[i] + key[first[i]: first[i + 1] if i + 1 < len(first) else len(key)].argmin()
+                    c[first[i]] = c[j]
+                band, c = band[first], c[first]
+                part = (band % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                part = part[order]
+                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(np.full(len(cuts), block.as_py(), np.int64)),
+                                                  *(_packed(x[order], cuts) for x in (band, c, several))], names=["part", "block", "bands", "cs", "several"])
+
+    asked = packed.mapInArrow(ask, "part int, block long, bands binary, cs binary, several binary")
+    shared = asked.groupBy("part").applyInArrow(_shared_bands, "block long, bands binary, centres binary")
+    return packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_members, "band long, cs array<long>, centre long")
 
 
 def _rest(buckets: DataFrame, held: DataFrame, links: DataFrame) -> DataFrame:
@@ -197,7 +326,7 @@ def _bucket_links(table: pa.Table) -> pa.Table:
             if i[start] != j[start]:
                 near &= side != side[x]
             for y in np.flatnonzero(near & (head != head[x])):
-                if head[y] != head[x] and line_similar(lines[x], lines[y]):
+                if head[y] != head[x]:
                     head[head == head[y]] = head[x]
                     us.append(int(c[start + x]))
                     vs.append(int(c[start + y]))
@@ -207,9 +336,10 @@ def _bucket_links(table: pa.Table) -> pa.Table:
 def removed_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, lines array<int>): per document, the numbers of its lines that repeat a line kept elsewhere (or earlier in it)."""
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id IS NOT NULL AND _text IS NOT NULL")
-    places = stage(_places(rows), "line-places")
+    scan = stage(_scan(rows), "line-scan")
+    places = scan.filter("block IS NULL").select("c", "id", "line")
     firsts = places.groupBy("c").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
-    buckets = stage(_buckets(rows), "line-buckets")
+    buckets = stage(_buckets(scan), "line-buckets")
     pairs = buckets.select(F.explode("cs").alias("c"), "centre").filter("c <> centre")
     pairs = stage(pairs.select(F.greatest("c", "centre").alias("a"), F.least("c", "centre").alias("b")).distinct(), "line-pairs")
 
@@ -228,7 +358,7 @@ def removed_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     held = texts.mapInArrow(pick, "c long, payload binary").groupBy("c").agg(F.min("payload").alias("payload"))
     held = stage(held.withColumn("size", F.octet_length("payload")), "line-payloads")
-    links = stage(confirm(pairs, held, line_similar), "line-links")
+    links = stage(_confirmed(pairs, held), "line-links")
     linked = components(links.union(_rest(buckets, held, links))).select(F.col("node").alias("c"), "root")
     classes = firsts.join(linked, "c", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "c"))
     classes = stage(classes.select("c", "root", "first"), "line-classes")
