@@ -245,3 +245,39 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.sc
       FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """}
+
+#: Operator 7: every 400-byte window by its hash, runs of repeated windows as spans; texts in hexadecimal, cut in pieces for speed alone.
+ORACLE_SQL["op7_lyndon_suffix"] = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, strlen(h) // 2 AS n FROM d),
+c AS (SELECT rid, n, o, substr(h, 2 * o + 1, 2 * (1024 + 399)) AS piece
+      FROM (SELECT rid, h, n, unnest(range(0, n - 399, 1024)) AS o FROM n WHERE n >= 400)),
+g AS (SELECT rid, s, md5(substr(piece, 2 * (s - o) + 1, 800)) AS w
+      FROM (SELECT rid, o, piece, unnest(range(o, least(o + 1024, n - 399))) AS s FROM c)),
+r AS (SELECT rid, s FROM g WHERE w IN (SELECT w FROM g GROUP BY w HAVING count(*) > 1)),
+b AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM r),
+p AS (SELECT rid, min(s) AS a, max(s) + 400 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY s) AS k FROM b) GROUP BY rid, k),
+q AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS f FROM p),
+k AS (SELECT rid, sum(z - a) AS gone, count(*) AS spans, max(z) AS tail, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS head
+      FROM q JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN k USING (rid)
+"""
+
+#: Operator 9: links from shared shingles, components by a recursive walk.
+ORACLE_SQL["op9_superminhash"] = """
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+e AS (SELECT rid, doc_id, len(sh) AS n, unnest(sh) AS x FROM s WHERE doc_id IS NOT NULL),
+l AS (SELECT DISTINCT u, v FROM (
+        SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+        GROUP BY a.rid, b.rid, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*)))),
+reach AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM reach r JOIN l ON r.v = l.u),
+c AS (SELECT u AS doc_id, min(least(u, v)) AS root FROM reach GROUP BY u)
+SELECT s.doc_id, len(sh) AS n_shingles, coalesce(root, s.doc_id) AS component_id, s.doc_id IS NULL OR coalesce(root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON s.doc_id = c.doc_id
+"""
