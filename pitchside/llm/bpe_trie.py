@@ -3,9 +3,10 @@
 The state of a prefix is the last token of its encoding; with it the encoding of the prefix is that
 of the prefix without this token, and the token. The last token is the one token that ends the
 prefix and may follow the last token of what is left, so states go from parent to child in a trie:
-distinct words are inserted, one depth-first walk gives every node its state, and words that share
-a prefix share its work. A pair of tokens may follow each other when undoing their merges, latest
-first, never meets a merge across the pair that would have come earlier.
+distinct words in order are its leaves, one depth-first walk gives every node its state (only the branch it is on is
+held), and words that share a prefix share its work. Besides its state a node has the place where its longest ending begins that begins a token; the tokens
+that end this ending are all that end the prefix, and a child's ending begins no earlier. A pair of tokens may follow
+each other when undoing their merges, latest first, never meets a merge across the pair that would have come earlier.
 
 Each task walks the tries of the words that are new to it, block by block, and keeps the ids of words met lately. Normalisation, splitting and special
 tokens follow the tokenizer file (NFC, white space, lower case, words and signs). Decoding joins the
@@ -18,10 +19,10 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -45,6 +46,12 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(hidden)) for b in range(256)]
 
 
+def _simple_class(kind: str) -> str:
+    """Characters of a general category in SIMPLE texts and their lower cases, to stand in a character class."""
+    chars = {x for c in map(chr, range(0x250)) for x in c + c.lower()}
+    return "".join(re.escape(c) for c in sorted(chars) if unicodedata.category(c)[0] == kind)
+
+
 class TrieBpe:
     """Encoder for one tokenizer file (BPE with an end-of-word suffix)."""
 
@@ -65,14 +72,16 @@ class TrieBpe:
         n = len(singles)
         self.pair = {(self.rank[a], self.rank[b]): n + i for i, (a, b) in enumerate(merges)}
         self.parts = [(i, i) for i in range(n)] + [(self.rank[a], self.rank[b]) for a, b in merges]
-        self.id_of = {r: self.vocab[t] for t, r in self.rank.items()}
+        self.raw_id = [np.uint32(self.vocab[t]).tobytes() for t in self.rank]  # in the order of ranks
         self.sizes = [len(t.removesuffix(END)) for t in self.rank]  # in the order of ranks
-        self.longest = max(self.sizes)
+        # Tokens that end a beginning of a token, the longest first: inside a word, and at its end (found when first asked for).
+        self.inside: dict[str, tuple[tuple[int, int], ...] | None] = {t[:n]: None for t in map(lambda t: t.removesuffix(END), self.rank) for n in range(1, len(t) + 1)}
+        self.at_end: dict[str, tuple[tuple[int, int], ...]] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text_of |= {i: t for t, i in self.special.items()}
         self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.word_re = regex.compile(split["pattern"]["Regex"])
+        self.simple_re = re.compile(reduce(lambda p, kind: p.replace(f"\\p{{{kind}}}", _simple_class(kind)), "LN", split["pattern"]["Regex"]))
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.chars = byte_chars()
@@ -109,48 +118,51 @@ class TrieBpe:
         self.fits[left << 32 | right] = ok
         return ok
 
-    def _last(self, prefix: str, end: str, states: list[int]) -> int:
-        """The last token of a prefix (with ``end``, of the whole word), from the states of shorter prefixes."""
-        rank, fits = self.rank, self.fits
-        d = len(prefix)
-        symbols = prefix + end
-        for start in range(max(0, d - self.longest), d):
-            token = rank.get(symbols[start:])
-            if token is not None:
-                if not start:
-                    return token
-                ok = fits.get(states[start] << 32 | token)
-                if ok or ok is None and self.may_follow(states[start], token):
-                    return token
-        raise ValueError(f"no token ends {prefix!r}")
+    def _endings(self, part: str, end: str) -> tuple[tuple[int, int], ...]:
+        """(size, rank) of the tokens that end ``part`` (with ``end``, of the whole word), the longest first."""
+        found = [(len(part) - i, self.rank.get(part[i:] + end)) for i in range(len(part))]
+        return tuple((size, token) for size, token in found if token is not None)
+
+    def _last(self, endings: tuple[tuple[int, int], ...], d: int, states: list[int]) -> int:
+        """The last token of a prefix of ``d`` characters, from the tokens that end it and the states of shorter prefixes."""
+        fits = self.fits
+        for size, token in endings:
+            if size == d:
+                return token
+            left = states[d - size]
+            ok = fits.get(left << 32 | token)
+            if ok or ok is None and self.may_follow(left, token):
+                return token
+        raise ValueError(f"no token ends a prefix of {d} characters")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Token ranks of each distinct word, by one depth-first walk of their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[END] = word
         out: dict[str, list[int]] = {}
-        states: list[int] = [-1]
-        todo: list[tuple[str, dict]] = [("", root)]
-        while todo:
-            prefix, node = todo.pop()
-            d = len(prefix)
-            del states[max(d, 1):]
-            if d:
-                states.append(self._last(prefix, "", states))
-            for c, child in node.items():
-                if c == END:
-                    token = self._last(prefix, END, states)
-                    found, at = [token], d - self.sizes[token]
-                    while at:
-                        found.append(states[at])
-                        at -= self.sizes[states[at]]
-                    out[child] = found[::-1]
-                else:
-                    todo.append((prefix + c, child))
+        inside, at_end, sizes, last = self.inside, self.at_end, self.sizes, self._last
+        # The branch of the word before: state and beginning of the longest ending at each depth.
+        before, states, begins = "", [-1], [0]
+        for word in sorted(words):
+            d, shared = 0, min(len(word), len(before))
+            while d < shared and word[d] == before[d]:
+                d += 1
+            del states[d + 1:], begins[d + 1:]
+            before, begin = word, begins[d]
+            for d in range(d + 1, len(word) + 1):
+                while (part := word[begin:d]) not in inside:
+                    begin += 1
+                if (endings := inside[part]) is None:
+                    endings = inside[part] = self._endings(part, "")
+                states.append(last(endings, d, states))
+                begins.append(begin)
+            d, part = len(word), word[begin:]
+            if (endings := at_end.get(part)) is None:
+                endings = at_end[part] = self._endings(part, END)
+            token = last(endings, d, states)
+            found, at = [token], d - sizes[token]
+            while at:
+                found.append(states[at])
+                at -= sizes[states[at]]
+            out[word] = found[::-1]
         return out
 
     def _words(self, text: str) -> list[str]:
@@ -160,7 +172,7 @@ class TrieBpe:
             return [bytes([self.byte_of[c] for c in w]).decode() for w, _ in pieces]
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        return self.word_re.findall(text.lower())
+        return self.simple_re.findall(text.lower())
 
     def words(self, text: str) -> list[str]:
         """The words of a text; a special token is its text after a line end, with which no word begins."""
@@ -184,10 +196,10 @@ class TrieBpe:
                     self.ids[w] = np.uint32(self.special[w[1:]]).tobytes()
                 else:
                     new.append(w)
-        chars = self.chars
-        spelt = {"".join([chars[b] for b in w.encode()]): w for w in new}
+        raw_id = self.raw_id
+        spelt = {w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.chars): w for w in new}
         for spelling, ranks in self.encode_words(spelt).items():
-            self.ids[spelt[spelling]] = np.array([self.id_of[r] for r in ranks], "<u4").tobytes()
+            self.ids[spelt[spelling]] = b"".join([raw_id[r] for r in ranks])
 
     def decode(self, ids: bytes) -> str:
         """The tokens' texts, a space between them."""

@@ -170,6 +170,26 @@ def test_trie_bpe_on_every_script():
         assert bpe.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_trie_bpe_looks_tokens_up_once_per_beginning():
+    """A walk over prefixes met before looks no part of a word up in the vocabulary again."""
+    bpe, asked = bpe_trie.TrieBpe(TOKENIZER), []
+
+    class Watched(dict):
+        def get(self, *key):
+            asked.append(key)
+            return super().get(*key)
+
+    bpe.rank = Watched(bpe.rank)
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("aeinrst"), int(n))) for n in rng.integers(1, 14, 2_000)]
+    ranks = bpe.encode_words(words)
+    first = len(asked)
+    assert first and bpe.encode_words(words) == ranks and len(asked) == first
+    library = Tokenizer.from_file(TOKENIZER)
+    for w in set(words):
+        assert [np.frombuffer(bpe.raw_id[r], "<u4")[0] for r in ranks[w]] == library.encode(w, add_special_tokens=False).ids
+
+
 def test_communication_matrix_has_its_margins_and_law():
     rows, cells = [7, 0, 30, 13], [20, 20, 10]
     total = np.zeros((4, 3))
