@@ -13,8 +13,10 @@ training texts, to the part that owns their hash, gets the corpus totals back in
 
 1. words and word pairs: counts, and the corpus totals N and V;
 2. one word more a round, n-grams whose context recurs and whose last words are known: counts (no other n-gram is ever used),
-   until no context recurs or contexts have ``max_context`` words;
-3. contexts that recur: partial divergences; the answer is whether the context is retained;
+   until no context recurs or contexts have ``max_context`` words. A round reads the answers of the round before alone, with
+   which the chunk gets back the tokens it asked for, as bits;
+3. contexts that recur, a few lengths a round: partial divergences; the answer is whether the context is retained. An n-gram's
+   share of its context's divergence is the same at all its training occurrences, so one chunk sends it for all;
 
 then every chunk scores its own texts. A chunk sends an n-gram once, however often it occurs, so a
 word that is a third of all text is one number per chunk. What is exchanged grows with the corpus; nothing is
@@ -23,14 +25,16 @@ broadcast or sent to the driver. N-grams are known by 56-bit hashes.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside.llm.text import blocks, join_texts, mix, prefix_sums, span_hash, word_spans
@@ -40,8 +44,11 @@ from pitchside.sources.stage import stage
 KAPPA = 4.0
 GAIN = 2.0
 CHUNK_BYTES = 4 << 20
-#: Kinds of n-grams of m words are m - 1, of whether a context of k words is retained RETAINED + k.
+#: Kinds of n-grams of m words are m - 1, of whether a context of k words is retained RETAINED + k, of the tokens asked for ASKED.
 RETAINED = 1 << 10
+ASKED = -1
+#: Lengths of contexts whose divergences are summed in one round.
+LENGTHS = 4
 END = int(mix(np.array([0xE17D], np.uint64))[0] >> np.uint64(8))
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,16 +79,16 @@ def _follow(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 class Chunk:
     """Tokens of some documents and, round by round, the corpus totals of their n-grams."""
 
-    def __init__(self, row: dict, replies: list[dict]):
+    def __init__(self, row: dict, replies: list[dict], up_to: int = 1 << 30):
         self.vocab = _unpack_keys(row["vocab"])
         self.tok = unpack(row["tokens"], np.uint32).astype(np.int64)
         self.lens = np.array(row["lens"], np.int64)
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
         self.train = ~np.array(row["held"], bool)[self.doc]
         self.got: dict[int, np.ndarray] = {}
-        for kind in {r["kind"] for r in replies}:
-            own = sorted((r for r in replies if r["kind"] == kind), key=lambda r: r["part"])
-            self.got[kind] = np.concatenate([unpack(r["answers"], _answer_type(kind)) for r in own])
+        self.sends: dict[int, np.ndarray] = {}   # of n-grams: whether this chunk sends their share of a divergence
+        for kind in {r["kind"] for r in replies} - {ASKED}:
+            self.got[kind], self.sends[kind] = _answers(replies, kind)
         self.total = sum(r["n"] for r in replies if r["kind"] == 0)
         self.kinds = sum(r["v"] for r in replies if r["kind"] == 0)
 
@@ -91,13 +98,11 @@ class Chunk:
         # Of each level (words in an n-gram): the tokens it is asked for, its distinct hashes, the number of each token's, and totals.
         self.tokens, self.keys, self.of, self.count = [np.arange(n)], [self.vocab], [self.tok], []
         self.level(1)
-        self.tokens.append(np.flatnonzero(self.at >= 1))
-        self._hash()
-        while self.level(len(self.count) + 1):
-            # Longer n-grams: of contexts that recur, and whose shorter n-gram is known.
-            far, count = self.tokens[-1], self.count[-1]
-            far = far[(self.at[far] >= len(self.count)) & (count[far - 1] >= 2) & (count[far] >= 1)]
-            self.tokens.append(far)
+        if up_to:
+            self.tokens.append(np.flatnonzero(self.at >= 1))
+            self._hash()
+        while len(self.count) < up_to and self.level(len(self.count) + 1) and len(self.count) in self.got:
+            self.tokens.append(_go_on(self.tokens[-1], self.count[-1], self.at, len(self.count)))
             self._hash()
 
     def level(self, m: int) -> bool:
@@ -118,13 +123,12 @@ class Chunk:
         self.keys.append(keys)
         self.of.append(of)
 
-    def ask_counts(self, levels: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """How often the n-grams of ``levels`` words occur in the chunk's training texts."""
-        out = []
-        for m in levels:
-            t, of = self.tokens[m - 1], self.of[m - 1]
-            out.append((m - 1, self.keys[m - 1], np.bincount(of[self.train[t]], minlength=len(self.keys[m - 1]))))
-        return out
+    def hashes(self, tokens: np.ndarray, m: int) -> np.ndarray:
+        """Hashes of the n-grams of ``m`` words that end at the tokens."""
+        h = self.words[tokens - m + 1]
+        for back in range(m - 2, -1, -1):
+            h = _follow(h, self.words[tokens - back])
+        return h
 
     def _root(self) -> np.ndarray:
         return (self.count[0] + 0.5) / (self.total + 0.5 * (self.kinds + 1))
@@ -141,15 +145,22 @@ class Chunk:
         """Partial divergences of the contexts of ``levels`` words; a training token's own occurrence is not counted."""
         out = []
         p = self._root()
-        for k in levels:
+        for k in range(1, levels[-1] + 1):
             t, number = self._contexts(k)
-            own = self.train[t].astype(float)
-            longer = (np.maximum(self.count[k][t] - own, 0) + KAPPA * p[t]) / (np.maximum(self.count[k - 1][t - 1] - own, 0) + KAPPA)
-            gain = np.bincount(number, weights=np.where(self.train[t], np.log(longer / p[t]), 0), minlength=len(self.keys[k - 1]))
+            t, number = t[self.train[t]], number[self.train[t]]
+            longer = (self.count[k][t] - 1 + KAPPA * p[t]) / (self.count[k - 1][t - 1] - 1 + KAPPA)
+            # The first of a chunk's training occurrences stands for all, if the chunk is the one that sends the n-gram's share.
+            gram = np.full(len(self.tok), -1)
+            gram[self.tokens[k]] = self.of[k]
+            gram = gram[t]
+            share = np.zeros(len(t), bool)
+            share[_first_of_each(gram, len(self.keys[k]))] = True
+            share &= self.sends[k][gram]
+            gain = np.bincount(number[share], weights=self.count[k][t[share]] * np.log(longer[share] / p[t[share]]), minlength=len(self.keys[k - 1]))
             recurs = self._recurring(k)
             out.append((RETAINED + k, self.keys[k - 1][recurs], gain[recurs]))
             p[t] = longer
-        return out
+        return [x for x in out if x[0] - RETAINED in levels]
 
     def _recurring(self, k: int) -> np.ndarray:
         return np.flatnonzero((self.got[k - 1] >= 2) & ((self.keys[k - 1] != np.uint64(END)) | (k > 1)))
@@ -169,6 +180,51 @@ class Chunk:
         return by_doc(self.got[0][self.tok] > 0).astype(np.int64), by_doc(np.log10(base)), by_doc(np.log10(p))
 
 
+def _go_on(tokens: np.ndarray, count: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Of the tokens asked for n-grams of ``m`` words, those asked for one word more: contexts that recur, shorter n-grams that are known."""
+    return tokens[(at[tokens] >= m) & (count[tokens - 1] >= 2) & (count[tokens] >= 1)]
+
+
+def _first_of_each(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Place of the first of each number there is below ``n``."""
+    first = np.full(n, -1)
+    first[numbers[::-1]] = np.arange(len(numbers))[::-1]
+    return first[first >= 0]
+
+
+def ask_counts(row: dict, replies: list[dict], levels: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """How often the n-grams of ``levels`` words occur in the chunk's training texts, from the answers of the round before."""
+    c, out = Chunk(row, [], int(1 in levels)), []
+    if 1 in levels:
+        out += [(m - 1, c.keys[m - 1], np.bincount(c.of[m - 1][c.train[c.tokens[m - 1]]], minlength=len(c.keys[m - 1]))) for m in levels]
+        tokens = c.tokens[1]
+    else:
+        m = levels[0]
+        bits = next(r["answers"] for r in replies if r["kind"] == ASKED)
+        asked = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(c.tok)))
+        _, of = _inverse(c.hashes(asked, m - 1))
+        count = np.zeros(len(c.tok))
+        count[asked] = _answers(replies, m - 2)[0][of]
+        tokens = _go_on(asked, count, c.at, m - 1)
+        keys, of = _inverse(c.hashes(tokens, m))
+        out.append((m - 1, keys, np.bincount(of[c.train[tokens]], minlength=len(keys))))
+    bits = np.zeros(len(c.tok), bool)
+    bits[tokens] = True
+    return [*out, (ASKED, np.packbits(bits), np.zeros(0))]
+
+
+def ask_retained(row: dict, replies: list[dict], levels: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return Chunk(row, replies, levels[-1] + 1).ask_retained(levels)
+
+
+def _answers(replies: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The answers of a kind in the order of the chunk's keys; of counts also whether the chunk sends the n-gram's share."""
+    own = sorted((r for r in replies if r["kind"] == kind), key=lambda r: r["part"])
+    got = np.concatenate([unpack(r["answers"], _answer_type(kind)) for r in own]) if own else np.zeros(0, _answer_type(kind))
+    sends = np.concatenate([np.unpackbits(np.frombuffer(r["sends"] or b"", np.uint8), count=len(r["answers"]) // 8) for r in own]) if own and kind < RETAINED else np.zeros(0, np.uint8)
+    return got, sends.astype(bool)
+
+
 def _inverse(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the number of each key's among them."""
     if not len(keys):
@@ -213,33 +269,44 @@ def _answer_type(kind: int) -> type:
     return np.uint64 if kind < RETAINED else np.uint8
 
 
-_REPLY = "chunk long, kind int, part int, answers binary, n long, v long"
+_REPLY = "chunk long, kind int, part int, answers binary, sends binary, n long, v long"
 
 
 def _total(asked: pa.Table) -> pa.Table:
     """The corpus totals of what chunks sent of one kind and part, in the order of each chunk's keys."""
     rows = asked.to_pylist()
     kind = rows[0]["kind"]
+    if kind == ASKED:
+        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "part": asked["part"], "answers": asked["keys"], "sends": pa.nulls(len(rows), pa.binary()),
+                         "n": [0] * len(rows), "v": [0] * len(rows)})
     keys = [_unpack_keys(r["keys"]) for r in rows]
     sizes = np.cumsum([len(k) for k in keys])
     counts = np.concatenate([unpack(r["counts"], _count_type(kind)) for r in rows])
     distinct, of = _inverse(np.concatenate(keys))
     sums = np.bincount(of, weights=counts.astype(float), minlength=len(distinct))
+    sends = np.zeros(len(of), bool)
+    if kind < RETAINED:
+        there = np.flatnonzero(counts)
+        sends[there[_first_of_each(of[there], len(distinct))]] = True
     answers = sums if kind < RETAINED else sums > GAIN
     # Of words: occurrences and kinds; of longer n-grams: those that recur.
     n, v = (int(sums.sum()), int((sums > 0).sum())) if kind == 0 else (0, int((sums >= 2).sum()) if kind < RETAINED else 0)
     own = np.split(answers.astype(_answer_type(kind))[of], sizes[:-1])
     return pa.table({"chunk": [r["chunk"] for r in rows], "kind": pa.array([kind] * len(rows), pa.int32()), "part": pa.array([r["part"] for r in rows], pa.int32()),
-                     "answers": pa.array([pack(a) for a in own], pa.binary()), "n": [n] * len(rows), "v": [v] * len(rows)})
+                     "answers": pa.array([pack(a) for a in own], pa.binary()),
+                     "sends": pa.array([np.packbits(x).tobytes() for x in np.split(sends, sizes[:-1])], pa.binary()), "n": [n] * len(rows), "v": [v] * len(rows)})
 
 
-def _round(chunks: DataFrame, replies: DataFrame, ask: str, levels: list[int], parts: int) -> DataFrame:
-    """The replies to what ``Chunk.ask`` asks of ``levels``, for all chunks."""
+def _round(chunks: DataFrame, replies: DataFrame, ask: Callable, levels: list[int], parts: int) -> DataFrame:
+    """The replies to what ``ask`` asks of ``levels``, for all chunks."""
 
     def send(chunk: pa.Table, got: pa.Table) -> pa.Table:
         out = []
         for row in chunk.to_pylist():
-            for kind, keys, counts in getattr(Chunk(row, got.to_pylist()), ask)(levels):
+            for kind, keys, counts in ask(row, got.to_pylist(), levels):
+                if kind == ASKED:
+                    out.append({"chunk": row["chunk"], "kind": kind, "part": row["chunk"] % parts, "keys": keys.tobytes(), "counts": b""})
+                    continue
                 counts = counts.astype(_count_type(kind))
                 owner = ((keys >> np.uint64(24)) * np.uint64(parts)) >> np.uint64(32)
                 cut = np.searchsorted(owner, np.arange(parts + 1))
@@ -251,6 +318,12 @@ def _round(chunks: DataFrame, replies: DataFrame, ask: str, levels: list[int], p
     return asked.groupBy("kind", "part").applyInArrow(_total, _REPLY)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of ended rounds now: it does so when the driver collects its garbage, else every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", max_context: int = 2) -> DataFrame:
     """(id_col, held_col, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -268,18 +341,25 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = os.path.join(checkpoint_dir(spark), "pitchside-stage", name)
     _tokenise(rows, kind).write.bucketBy(parts, "chunk").option("path", path).saveAsTable(name)
     chunks = spark.table(name)
-    replies = spark.createDataFrame([], _REPLY)
-    asked, m = [1, 2], 2
+    last = spark.createDataFrame([], _REPLY)
+    counts, asked, m = [], [1, 2], 2
     while True:
-        new = stage(_round(chunks, replies, "ask_counts", asked, parts), "ask_counts")
-        replies = replies.union(new)
-        recurs = new.filter(F.col("kind") == m - 1).agg(F.max("v")).first()[0]
+        last = stage(_round(chunks, last, ask_counts, asked, parts), "ask_counts")
+        counts.append(last.filter(F.col("kind") != ASKED))
+        drop_shuffles(spark)
+        recurs = last.filter(F.col("kind") == m - 1).agg(F.max("v")).first()[0]
         if m > max_context or not recurs:
             break
         m += 1
         asked = [m]
     # n-grams of up to m words are counted: contexts have up to m - 1.
-    replies = replies.union(stage(_round(chunks, replies, "ask_retained", list(range(1, m)), parts), "ask_retained"))
+    retained = []
+    for k in range(1, m, LENGTHS):
+        levels = list(range(k, min(k + LENGTHS, m)))
+        known = reduce(DataFrame.union, counts).filter(F.col("kind") <= levels[-1])
+        retained.append(stage(_round(chunks, known, ask_retained, levels, parts), "ask_retained"))
+        drop_shuffles(spark)
+    replies = reduce(DataFrame.union, counts + retained)
 
     def score(chunk: pa.Table, got: pa.Table) -> pa.Table:
         out = []
