@@ -47,8 +47,8 @@ CHUNK_BYTES = 4 << 20
 #: Kinds of n-grams of m words are m - 1, of whether a context of k words is retained RETAINED + k, of the tokens asked for ASKED.
 RETAINED = 1 << 10
 ASKED = -1
-#: Lengths of contexts whose divergences are summed in one round.
-LENGTHS = 4
+#: Lengths of contexts whose divergences are summed in one round, and in the first, in which most differ.
+LENGTHS, FIRST_LENGTHS = 4, 2
 END = int(mix(np.array([0xE17D], np.uint64))[0] >> np.uint64(8))
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,22 +133,24 @@ class Chunk:
     def _root(self) -> np.ndarray:
         return (self.count[0] + 0.5) / (self.total + 0.5 * (self.kinds + 1))
 
-    def _contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens whose context of ``k`` words recurs, the number of that context at level ``k``)."""
+    def _contexts(self, k: int, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens whose context of ``k`` words recurs, the number of that context at level ``k``), out of those of one word less."""
         number = np.full(len(self.tok), -1)
         number[self.tokens[k - 1]] = self.of[k - 1]
-        t = np.flatnonzero(self.at >= k)
+        t = np.flatnonzero(self.at >= k) if shorter is None else shorter[self.at[shorter] >= k]
         t = t[self.count[k - 1][t - 1] >= 2]
         return t, number[t - 1]
 
     def ask_retained(self, levels: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """Partial divergences of the contexts of ``levels`` words; a training token's own occurrence is not counted."""
-        out = []
+        out, t = [], None
         p = self._root()
         for k in range(1, levels[-1] + 1):
-            t, number = self._contexts(k)
-            t, number = t[self.train[t]], number[self.train[t]]
+            t, number = self._contexts(k, np.flatnonzero(self.train & (self.at >= 1)) if t is None else t)
             longer = (self.count[k][t] - 1 + KAPPA * p[t]) / (self.count[k - 1][t - 1] - 1 + KAPPA)
+            if k not in levels:
+                p[t] = longer
+                continue
             # The first of a chunk's training occurrences stands for all, if the chunk is the one that sends the n-gram's share.
             gram = np.full(len(self.tok), -1)
             gram[self.tokens[k]] = self.of[k]
@@ -160,7 +162,7 @@ class Chunk:
             recurs = self._recurring(k)
             out.append((RETAINED + k, self.keys[k - 1][recurs], gain[recurs]))
             p[t] = longer
-        return [x for x in out if x[0] - RETAINED in levels]
+        return out
 
     def _recurring(self, k: int) -> np.ndarray:
         return np.flatnonzero((self.got[k - 1] >= 2) & ((self.keys[k - 1] != np.uint64(END)) | (k > 1)))
@@ -168,12 +170,12 @@ class Chunk:
     def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, score) of each document."""
         base = self._root()
-        p = base.copy()
+        p, within = base.copy(), None
         for k in range(1, len(self.count)):
             state = np.zeros(len(self.keys[k - 1]), bool)
             state[self._recurring(k)] = self.got[RETAINED + k] > 0
-            t, number = self._contexts(k)
-            t = t[state[number]]
+            within, number = self._contexts(k, within)
+            t = within[state[number]]
             # The parent of a context is its longest ending that is a state, else the root.
             p[t] = (self.count[k][t] + KAPPA * p[t]) / (self.count[k - 1][t - 1] + KAPPA)
         by_doc = lambda x: np.bincount(self.doc, weights=x, minlength=len(self.lens))
@@ -354,8 +356,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         asked = [m]
     # n-grams of up to m words are counted: contexts have up to m - 1.
     retained = []
-    for k in range(1, m, LENGTHS):
-        levels = list(range(k, min(k + LENGTHS, m)))
+    cuts = [1, *range(1 + FIRST_LENGTHS, m, LENGTHS), m]
+    for k, end in zip(cuts, cuts[1:], strict=False):
+        levels = list(range(k, end))
         known = reduce(DataFrame.union, counts).filter(F.col("kind") <= levels[-1])
         retained.append(stage(_round(chunks, known, ask_retained, levels, parts), "ask_retained"))
         drop_shuffles(spark)

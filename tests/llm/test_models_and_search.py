@@ -125,6 +125,27 @@ def test_suffix_tree_of_long_contexts_matches_brute_force(spark, monkeypatch):
     assert got == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
 
 
+def test_suffix_tree_rounds_read_the_last_answers_alone(spark, monkeypatch):
+    """A round of counts gets one level of answers back, and an n-gram's share of a divergence is sent by one chunk."""
+    df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(12)), False) for i in range(6)], "doc_id long, text string, held_out boolean").repartition(3)
+    got, plain_round = [], suffix_tree._round
+
+    def watch(chunks, replies, ask, levels, parts):
+        out = plain_round(chunks, replies, ask, levels, parts)
+        if getattr(ask, "__name__", ask) == "ask_counts" and levels != [1, 2]:
+            got.append((levels[0], {r.kind for r in replies.select("kind").distinct().collect()}))
+        return out
+
+    monkeypatch.setattr(suffix_tree, "_round", watch)
+    assert len({r.score for r in suffix_tree.score_documents(df, max_context=4).collect()}) == 1
+    assert [m for m, _ in got] == [3, 4, 5]
+    assert all(kinds - {0} == {m - 2, suffix_tree.ASKED} and (m == 3 or 0 not in kinds) for m, kinds in got)
+    asked = pa.Table.from_pylist([{"chunk": i, "kind": 3, "part": 0, "keys": suffix_tree._pack_keys(np.array([5, 9], np.uint64)),
+                                   "counts": suffix_tree.pack(np.array(c, np.uint32))} for i, c in enumerate([[0, 1], [2, 1], [3, 0]])])
+    sends = [np.unpackbits(np.frombuffer(r["sends"], np.uint8), count=2).tolist() for r in suffix_tree._total(asked).to_pylist()]
+    assert sends == [[0, 1], [1, 0], [0, 0]]
+
+
 def test_suffix_tree_beats_its_base_on_held_out_text(spark):
     got = queries.op1_suffix_tree(spark, SMALL).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
