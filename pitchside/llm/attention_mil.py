@@ -161,9 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     taken, left = [], sample_passages
     for one in counted.orderBy("o").select("m.r", "m.n").collect():  # at most sample_rows rows
         if one.n <= left:
-            taken.append((one.r,))
+            taken.append(one.r)
             left -= one.n
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "r long"))
+    # An Arrow table: rows from a list would start a second set of Python workers on every executor.
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"r": pa.array(taken, pa.int64())})))
     found = rows.join(chosen, "r", "left_semi").select("r", "y", "_text").mapInArrow(vectors, "r long, y int, x binary")
     found = sorted(found.groupBy("r").agg(F.min("y"), F.min("x")).collect())  # the same order whatever the partitions were
     bags = [(y, np.frombuffer(x, np.float32).reshape(-1, FEATURES)) for _, y, x in found]

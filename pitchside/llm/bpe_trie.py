@@ -33,8 +33,10 @@ END = "</w>"
 #: Texts with other characters (or with \x1c-\x1f, white space to Python alone) are normalised and split by
 #: the library itself: its Unicode tables differ from Python's for some scripts.
 SIMPLE = re.compile("[\x00-\x1b\x20-\u024f]*")
-#: Words whose ids a process keeps: twice as many at most, some 200 bytes each.
-CACHED_WORDS = 150_000
+#: Words whose ids a process keeps (twice as many at most, some 200 bytes each) and bytes of text in a block.
+CACHED_WORDS, BLOCK_BYTES = 150_000, 1 << 20
+#: The same for a job in which other stages' processes stay beside this one: some 40 MB less, a third more time.
+LIGHT_WORDS, LIGHT_BYTES = 50_000, 1 << 18
 #: Pairs of tokens whose test a process keeps.
 CACHED_PAIRS = 300_000
 
@@ -70,23 +72,27 @@ class TrieBpe:
         singles = [t for t in self.vocab if t not in merged]
         self.rank = {t: i for i, t in enumerate([*singles, *made])}
         n = len(singles)
-        self.pair = {(self.rank[a], self.rank[b]): n + i for i, (a, b) in enumerate(merges)}
-        self.parts = [(i, i) for i in range(n)] + [(self.rank[a], self.rank[b]) for a, b in merges]
+        pairs = [(self.rank[a], self.rank[b]) for a, b in merges]
+        self.pair = {p: n + i for i, p in enumerate(pairs)}
+        self.parts = [(i, i) for i in range(n)] + pairs
         self.raw_id = [np.uint32(self.vocab[t]).tobytes() for t in self.rank]  # in the order of ranks
         self.sizes = [len(t.removesuffix(END)) for t in self.rank]  # in the order of ranks
         # Tokens that end a beginning of a token, the longest first: inside a word, and at its end (found when first asked for).
         self.inside: dict[str, tuple[tuple[int, int], ...] | None] = {t[:n]: None for t in map(lambda t: t.removesuffix(END), self.rank) for n in range(1, len(t) + 1)}
         self.at_end: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.ending: list[tuple[int, int] | None] = [None] * len(self.rank)  # (size, rank), one for all beginnings that a token ends
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text_of |= {i: t for t, i in self.special.items()}
         self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.simple_re = re.compile(reduce(lambda p, kind: p.replace(f"\\p{{{kind}}}", _simple_class(kind)), "LN", split["pattern"]["Regex"]))
-        library = Tokenizer.from_file(path)
+        # The library normalises and splits alone: its own copy of the vocabulary would double a process's memory while it is read.
+        library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.chars = byte_chars()
         self.byte_of = {c: b for b, c in enumerate(self.chars)}
         self.fits: dict[int, bool] = {}  # by left * 2^32 + right
+        self.cached_words = CACHED_WORDS
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -121,7 +127,12 @@ class TrieBpe:
     def _endings(self, part: str, end: str) -> tuple[tuple[int, int], ...]:
         """(size, rank) of the tokens that end ``part`` (with ``end``, of the whole word), the longest first."""
         found = [(len(part) - i, self.rank.get(part[i:] + end)) for i in range(len(part))]
-        return tuple((size, token) for size, token in found if token is not None)
+        return tuple(self._ending(size, token) for size, token in found if token is not None)
+
+    def _ending(self, size: int, token: int) -> tuple[int, int]:
+        if (known := self.ending[token]) is None or known[0] != size:
+            known = self.ending[token] = (size, token)
+        return known
 
     def _last(self, endings: tuple[tuple[int, int], ...], d: int, states: list[int]) -> int:
         """The last token of a prefix of ``d`` characters, from the tokens that end it and the states of shorter prefixes."""
@@ -185,7 +196,7 @@ class TrieBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encodings of the words; the new ones from one trie. Those not met for long are forgotten."""
-        if len(self.ids) > CACHED_WORDS:
+        if len(self.ids) > self.cached_words:
             self.ids, self.older = {}, self.ids
         new = []
         for w in words:
@@ -218,6 +229,7 @@ _encoders: dict[str, TrieBpe] = {}
 def encoder(path: str) -> TrieBpe:
     if path not in _encoders:
         _encoders[path] = TrieBpe(path)
+        give_back(0)   # what reading the file took, half as much again
     return _encoders[path]
 
 
@@ -233,13 +245,14 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     Null and empty texts have no ids and an empty decoded text. Rows are encoded one by one, so repeated
     rows give repeated results and an empty table an empty result; other columns are not read.
     ``tokenizer_path`` must exist on every executor. A worker keeps its encoder and the ids of recent words for its next
-    task, some 200 MB; without ``keep_encoder`` it drops them after each task, for a job in which other stages follow.
+    task, some 120 MB; without ``keep_encoder`` it keeps fewer ids and drops all after each task, for a job of several stages.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer_path)
-        for batch, raw in blocks(batches, "_text", 1 << 20):
+        bpe.cached_words = CACHED_WORDS if keep_encoder else LIGHT_WORDS
+        for batch, raw in blocks(batches, "_text", BLOCK_BYTES if keep_encoder else LIGHT_BYTES):
             ids = bpe.encode_batch([r.decode() for r in raw])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=[id_col, "ids", "decoded"])

@@ -56,7 +56,7 @@ def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """The staged index: (k1, k2, id_col, pos, term); a row with the empty term per document has n_words as pos."""
     k1, k2 = _keys(id_col, text_col)
     keyed = docs.select(F.col(id_col), k1.alias("k1"), k2.alias("k2"), F.array_append(_words(F.col(text_col)), F.lit("")).alias("words"))
-    terms = items.select(F.explode("words").alias("term")).union(items.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    terms = items.select(F.explode("words").alias("term")).union(items.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     postings = keyed.select(*KEY, id_col, F.posexplode("words").alias("pos", "word")).select(*KEY, id_col, "pos", _lower(F.col("word")).alias("term"))
     return stage(postings.join(broadcast_if_small(terms), "term", "left_semi"), "positional-index")
 

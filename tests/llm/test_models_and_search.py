@@ -1,6 +1,9 @@
 """Operators 1, 3, 4, 5, 6, 8 and 10: brute force, exact round trips, held-out accuracy."""
 
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,11 +15,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm_cases import docs, empty, plan_text, rows  # noqa: F401  (fixtures)
-from pitchside.llm import attention_mil, bpe_trie, centroid_langid, hypergeometric_shards, joins, positional_index, queries, rp_forest, suffix_tree
+from pitchside.llm import attention_mil, bpe_trie, centroid_langid, hypergeometric_shards, joins, positional_index, queries, rp_forest, suffix_tree, text
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SMALL = "/root/testdata/sf0.01"
+REPO = os.path.dirname(bpe_trie.__file__).removesuffix("/pitchside/llm")
 
 
 def held(i, n):
@@ -211,6 +215,26 @@ def test_trie_bpe_looks_tokens_up_once_per_beginning():
         assert [np.frombuffer(bpe.raw_id[r], "<u4")[0] for r in ranks[w]] == library.encode(w, add_special_tokens=False).ids
 
 
+def test_trie_bpe_keeps_few_words_and_little_memory():
+    """An encoder holds as many words as it may, and is read with little more memory than it keeps; a task's end drops the powers."""
+    bpe, library = bpe_trie.TrieBpe(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    bpe.cached_words = 100
+    for a in range(0, 2_000, 50):
+        texts = [f"word{i} and some{i % 7}" for i in range(a, a + 50)]
+        for t, ids in zip(texts, bpe.encode_batch(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(bpe.ids) + len(bpe.older) < 1_000
+    look = ("import re, sys; from pitchside.llm import bpe_trie\n"
+            "kb = lambda: int(re.search(r'RssAnon:\\s+(\\d+)', open('/proc/self/status').read())[1])\n"
+            "before = kb(); bpe_trie.encoder(sys.argv[1]); print(kb() - before)")
+    grown = subprocess.run([sys.executable, "-c", look, TOKENIZER], capture_output=True, text=True, check=True, cwd=REPO).stdout
+    assert int(grown.split()[-1]) < 55_000
+    text.span_hash(text.prefix_sums(np.zeros(9, np.uint8)), np.array([0]), np.array([9]))
+    assert len(text._powers["up"]) > 9
+    list(text.blocks(iter([pa.record_batch({"t": ["a"]})]), "t"))
+    assert len(text._powers["up"]) == len(text._powers["down"]) == 1
+
+
 def test_communication_matrix_has_its_margins_and_law():
     rows, cells = [7, 0, 30, 13], [20, 20, 10]
     total = np.zeros((4, 3))

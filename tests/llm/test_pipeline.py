@@ -3,6 +3,7 @@
 import os
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import oracle_harness
@@ -35,6 +36,16 @@ def test_run_gives_the_last_stage(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() > 50
 
 
+def test_stages_make_no_frames_from_rows(spark, monkeypatch):
+    """Rows of a list are made into a frame by a second set of Python workers, which stay beside those of the next stages."""
+    made, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: made.append(type(data)) or make(self, data, *a, **k))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES:
+        step(spark, docs, SF).count()
+    assert set(made) <= {pa.Table}
+
+
 def test_stages_on_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, step in corpus_pipeline.STAGES[:-1]:
